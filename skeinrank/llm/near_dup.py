@@ -211,7 +211,7 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         hubs = staged(big.join(sizes, ["key", "label"]).withColumn("i", F.row_number().over(order)).where(F.col("i") <= many).select("key", F.col("node").alias("h"), F.col("label").alias("hl")), "hubs")
         star = big.join(hubs, "key").where("label <> hl").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
         pairs = staged(each.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        open_ = big.join(hubs, (big["key"] == hubs["key"]) & (big["node"] == hubs["h"]), "left_anti")
+        open_ = big.join(hubs, (big["key"] == hubs["key"]) & (big["node"] == hubs["h"]), "left_anti").select("key", "node")
         many *= 4
 
 
