@@ -7,12 +7,16 @@ bitmap of parities, so that the ones in the XOR of two sketches tell the number
 precisely for high similarities. Candidates whose estimate is far too low are dropped, and the rest are confirmed on
 the full sets.
 
-Buckets may be of any size, so their pairs are not written out. In each round a bucket compares a few hubs, members of
-its smallest components so far, with all its members of other components; a hub has then met the whole bucket and
-leaves it. Components of confirmed links are found after each round, and a bucket is done when all of its remaining
-members are in one component: what it has not compared could only link what is linked already. Buckets of up to `small`
-members compare what is open at once. So no link between components is lost but by the bands themselves, whose number
-makes that less likely than `miss` for a pair at the threshold.
+Buckets may be of any size, so their pairs are not written out. First each bucket's least member is compared with the
+others, and components of the confirmed links are found. Only members of buckets that still hold several components can
+have further links. They get an exact index in place of the bands: in an order of shingles by rising (sketched)
+frequency, two sets that are similar enough must share one of their first n - ceil(t n) + 1, and enough must follow it. What sets a document apart
+from its group stands first there, so that documents far from all others of a large group of near copies meet hardly
+any. In each round a bucket of this index compares a few hubs, members of its smallest components so far, with its
+members of other components; a hub has then met the whole bucket and leaves it. Buckets of up to `small` members compare
+what is open at once. A bucket is done when its remaining members are in one component: what it has not compared could
+only link what is linked already. So no link between components is lost but by the bands themselves, whose number makes
+that less likely than `miss` for a pair at the threshold.
 
 Edge cases: a null or empty text has an empty set, is linked with nothing and kept; a null doc_id sorts after all
 others and comes out as null; rows that share a doc_id are one node and get one answer; an empty table gives no rows;
@@ -170,8 +174,8 @@ def _estimate(p: NearDup, a: Column, b: Column) -> Column:
     return 1 + F.log(free) * p.sketch_bits / (4.0 * p.samples)
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b) that the sketches don't rule out, and those of them whose full sets are similar enough."""
+def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, p: NearDup) -> DataFrame:
+    """Those of pairs (a, b) that the sketches don't rule out and whose full sets are similar enough."""
     sk = classes.select("node", "sketch")
     near = pairs.join(sk.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(sk.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
     near = staged(near.where(_estimate(p, F.col("sa"), F.col("sb")) >= p.least_estimate).select("a", "b"), "near")
@@ -180,7 +184,56 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, p: NearDup)
     both = near.join(sets.withColumnsRenamed({"node": "a", "set": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "t"}), "b")
     inter = F.size(F.array_intersect("s", "t"))
     both = both.withColumn("inter", inter)
-    return near, staged(both.where(F.col("inter") * 100 >= (F.size("s") + F.size("t") - F.col("inter")) * p.percent).select("a", "b").distinct(), "links")
+    return staged(both.where(F.col("inter") * 100 >= (F.size("s") + F.size("t") - F.col("inter")) * p.percent).select("a", "b").distinct(), "links")
+
+
+def _counter(slots: int):
+    def count(batches):
+        for batch in batches:
+            at, n = np.unique(_slots(batch["set"].flatten(), slots), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    return count
+
+
+def _slots(hashes: pa.Array, slots: int) -> np.ndarray:
+    return mix(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(slots)
+
+
+def _prefixer(frequency: np.ndarray, percent: int):
+    def cut(batches):
+        for batch in batches:
+            nodes, keys, sizes, places = [], [], [], []
+            for node, one in zip(batch["node"].to_pylist(), batch["set"], strict=True):
+                s = one.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                first = len(s) - -(-percent * len(s) // 100) + 1
+                order = np.lexsort((s, frequency[_slots(one.values, len(frequency)).astype(np.int64)]))[:first]
+                keys.append(s[order])
+                nodes.append(np.full(len(order), node))
+                sizes.append(np.full(len(order), len(s)))
+                places.append(np.arange(len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, sizes, places)], names=["key", "node", "size", "pos"])
+
+    return cut
+
+
+def prefixes(sets: DataFrame, percent: int, slots: int = 2**20) -> DataFrame:
+    """(key, node, size, pos) of the first shingles of sets (node, set) by rising frequency; it is counted in `slots` counters."""
+    counts = sets.mapInArrow(_counter(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(slots, np.int64)
+    frequency[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    found = staged(sets.mapInArrow(_prefixer(frequency, percent), "key long, node long, size long, pos long"), "prefixes")
+    # A row counts only if what stands from it on could be enough with the smallest set of its bucket.
+    low = found.groupBy("key").agg(F.min("size").alias("low"), F.count("*").alias("of")).where("of > 1")
+    other = F.greatest(F.col("low"), F.col("size") * percent / 100)
+    return found.join(low, "key").where((F.col("size") - F.col("pos")) * (100 + percent) >= (F.col("size") + other) * percent - 1e-6).select("key", "node", "size", "pos")
+
+
+def _undone(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """member (key, node, ...) of the buckets that hold several components, with label and n, the bucket's members."""
+    tagged = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    state = tagged.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "n")
+    return tagged.join(state, "key")
 
 
 def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
@@ -188,30 +241,35 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     member = staged(classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node"), "bands")
     buckets = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     member = staged(member.join(buckets, "key"), "buckets")
-    tested = found = None
-    pairs = staged(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    tested = staged(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    found = _confirm(docs, classes, tested, p)
+    labels = staged(components(found), "labels")
     # A bucket of two is done by its one pair; the hub of a larger one has met all of it.
-    open_ = member.where("n > 2 and node <> hub").select("key", "node")
+    rest = _undone(member.where("n > 2 and node <> hub").select("key", "node"), labels).select("node").distinct()
+    sets = staged(docs.join(staged(rest, "open"), "node", "left_semi").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), "open-sets")
+    open_ = staged(prefixes(sets, p.percent), "prefixes")
     many = p.hubs
+
+
+    def fits(a: Column, b: Column, at: Column, bt: Column) -> Column:
+        """Whether sets of sizes a and b whose first common shingle has the places at and bt can be similar enough."""
+        return (F.least(a - at, b - bt) * (100 + p.percent) >= (a + b) * p.percent) & (F.least(a, b) * 100 >= F.greatest(a, b) * p.percent)
+
     while True:
-        _, good = _confirm(docs, classes, pairs, p)
-        found = good if found is None else found.union(good)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = staged(components(found), "labels")
-        tagged = open_.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        state = tagged.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "n")
-        left = staged(tagged.join(state, "key"), "open")
+        left = staged(_undone(open_, labels).select("key", "node", "size", "pos", "label", "n"), "open")
         if left.isEmpty():
             return labels
-        little = left.where(F.col("n") <= p.small).select("key", "node", "label")
-        each = little.alias("x").join(little.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        big = left.where(F.col("n") > p.small).select("key", "node", "label")
-        sizes = big.groupBy("key", "label").agg(F.count("*").alias("of"))
+        x, y = (left.where(F.col("n") <= p.small).alias(c) for c in "xy")
+        each = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.size"), F.col("y.size"), F.col("x.pos"), F.col("y.pos"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        big = left.where(F.col("n") > p.small).select("key", "node", "size", "pos", "label")
+        counts = big.groupBy("key", "label").agg(F.count("*").alias("of"))
         order = Window.partitionBy("key").orderBy("of", "node")
-        hubs = staged(big.join(sizes, ["key", "label"]).withColumn("i", F.row_number().over(order)).where(F.col("i") <= many).select("key", F.col("node").alias("h"), F.col("label").alias("hl")), "hubs")
-        star = big.join(hubs, "key").where("label <> hl").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
+        hubs = staged(big.join(counts, ["key", "label"]).withColumn("i", F.row_number().over(order)).where(F.col("i") <= many).select("key", F.col("node").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hs"), F.col("pos").alias("hp")), "hubs")
+        star = big.join(hubs, "key").where((F.col("label") != F.col("hl")) & fits(F.col("size"), F.col("hs"), F.col("pos"), F.col("hp"))).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
         pairs = staged(each.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        open_ = big.join(hubs, (big["key"] == hubs["key"]) & (big["node"] == hubs["h"]), "left_anti").select("key", "node")
+        found, tested = found.union(_confirm(docs, classes, pairs, p)), tested.union(pairs)
+        labels = staged(components(found), "labels")
+        open_ = big.join(hubs, (big["key"] == hubs["key"]) & (big["node"] == hubs["h"]), "left_anti").select("key", "node", "size", "pos")
         many *= 4
 
 
