@@ -179,7 +179,8 @@ def rules(docs: DataFrame, cutoff: float = CHI_FAR) -> DataFrame:
 
 
 def keep(docs: DataFrame, cutoff: float = CHI_FAR) -> DataFrame:
-    """The rows of docs that are kept. The texts are never shuffled: their statistics are taken again beside them."""
-    stats = staged(prepared(statistics(_core(docs))).drop("text"), "quality-stats")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "doc_id", "lang", "source", "text")
-    return judged(prepared(statistics(whole)), fitted(stats), cutoff).where("kept").select("__row.*")
+    """The rows of docs that are kept: those whose hash of identity and text isn't among the rejected ones."""
+    key = F.xxhash64("doc_id", "lang", "source", "text")
+    stats = staged(prepared(statistics(_core(docs).withColumn("__key", key))).drop("text"), "quality-stats")
+    gone = staged(judged(stats, fitted(stats), cutoff).where(~F.col("kept")).select("__key").distinct(), "quality-rejected")
+    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)
