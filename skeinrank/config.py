@@ -47,3 +47,15 @@ REFUSALS = (
     "no information provided", "no information is provided", "based on the provided context, there is no", "cannot be determined from the provided",
     "i do not have enough information", "i don't have enough information", "does not mention", "does not provide", "does not state", "no direct answer",
 )
+
+#: Words of romanised Tamil, Hindi and Telugu; a word given twice counts twice.
+ROMANISED = {
+    "ta": """vanakkam eppadi muthalamichar tamil tamilnadu tamilnadin yaar yar enna irukku irukkeenga irukkanga solla solranga ungal ungala
+        peyar per nandri kaalai malar ulagil ethanai ethana kandam kandangal purandha pirandha manilam ethu edhu engu enga eppodhu eppothu eppo
+        varudam sukandhiram suthanthiram adainthathu desiya paravai vilangu geetham kodi thalaivar kudiyarasu naadu oor manaivi bharathi
+        bharathiyar theriyuma solunga pannunga vaanga ponga avaru ivaru nalla romba konjam apdi ipdi epdi""",
+    "hi": """namaste kaise pradhan mantri bharat aap kya naam hai hain kaun kahan kitna dhanyawad samay karo janm rajya kiska kisne kab kyun
+        kaunsa batao kahiye shukriya""",
+    "te": """namaskaram ela unnaru pradhana evaru meeru enti cheppandi ekkada enduku dhanyavadalu janmincharu rashtram enti cheppandi undi
+        undhi bagunnara emiti""",
+}

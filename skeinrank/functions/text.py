@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import EXPLAINING, REFUSALS
+from ..config import EXPLAINING, REFUSALS, ROMANISED
 
 #: Fixed value: what separates the tokens of sparse retrieval.
 TOKEN_GAP = r"""[\s.,;:!?()\[\]{}"'\-/\\।॥]+"""
@@ -44,22 +45,28 @@ def sentences(c: Column) -> Column:
     return F.when((F.size(cut) == 1) & (F.length(c) > 200), _packed(c, 150)).otherwise(cut)
 
 
-def merged_sentences(parts: Column) -> Column:
-    """Children (text, chunk_index): short sentences dropped, those of few words put before the next."""
-    last = F.size(parts) - 1
-    indexed = F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    kind = "array<struct<text:string,chunk_index:int>>"
-    start = F.struct(F.lit("").alias("buf"), F.array().cast(kind).alias("out"))
+@F.pandas_udf("array<struct<text:string,chunk_index:int>>")
+def merged_sentences(parts: pd.Series) -> pd.Series:
+    """Children (text, chunk_index): short sentences dropped, those of few words put before the next.
 
-    def step(s: Column, e: Column) -> Column:
-        t = strip(F.when(s["buf"] == "", e["x"]).otherwise(F.concat(s["buf"], F.lit(" "), e["x"])))
-        drop = F.length(t) < 10
-        carry = ~drop & (F.size(words(t)) < 5) & (e["i"] < last)
-        buf = F.when(carry, t).otherwise(F.lit(""))
-        out = F.when(drop | carry, s["out"]).otherwise(F.array_append(s["out"], F.struct(t.alias("text"), e["i"].cast("int").alias("chunk_index"))))
-        return F.struct(buf.alias("buf"), out.alias("out"))
+    A fold in which each sentence depends on what is carried from the one before; built-in folds copy the children
+    gathered so far at every step, so that it runs on Arrow batches, in time linear in the text.
+    """
 
-    return F.aggregate(indexed, start, step, lambda s: s["out"])
+    def fold(sentences):
+        carried, out = "", []
+        for i, sentence in enumerate(sentences):
+            text = f"{carried} {sentence}".strip()
+            carried = ""
+            if len(text) < 10:
+                continue
+            if i < len(sentences) - 1 and len(text.split(None, 4)) < 5:
+                carried = text
+            else:
+                out.append({"text": text, "chunk_index": i})
+        return out
+
+    return parts.map(lambda x: None if x is None else fold(x))
 
 
 def token_windows(c: Column, size: int, overlap: float) -> Column:
@@ -101,3 +108,29 @@ def script_language(c: Column) -> Column:
     """ta, hi or te by the most characters of its script (ties in this order); null where there are none."""
     ta, hi, te = (F.regexp_count(c, F.lit(x)) for x in ("[஀-௿]", "[ऀ-ॿ]", "[ఀ-౿]"))
     return F.when((ta > 0) & (ta >= hi) & (ta >= te), "ta").when((hi > 0) & (hi >= te), "hi").when(te > 0, "te")
+
+
+def romanised_language(c: Column) -> Column:
+    """ta, hi or te by the words of its list in c: one point within another word, two between blanks; null without any."""
+    padded = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+
+    def points(words: str) -> Column:
+        of = lambda w: F.when(F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))), 2).when(F.contains(padded, w), 1).otherwise(0)
+        return F.aggregate(F.array(*map(F.lit, words.split())), F.lit(0), lambda n, w: n + of(w))
+
+    ta, hi, te = (points(ROMANISED[x]) for x in ("ta", "hi", "te"))
+    scores = F.struct(ta.alias("ta"), hi.alias("hi"), te.alias("te"))
+    first = lambda s: F.when((s["ta"] > 0) & (s["ta"] >= s["hi"]) & (s["ta"] >= s["te"]), "ta").when((s["hi"] > 0) & (s["hi"] >= s["te"]), "hi").when(s["te"] > 0, "te")
+    return F.element_at(F.transform(F.array(scores), first), 1)
+
+
+def detected_language(c: Column) -> Column:
+    """The language by script, else by romanised words, else en (null and empty texts as well)."""
+    return F.coalesce(script_language(c), romanised_language(c), F.lit("en"))
+
+
+def transcript_winner(anchored: Column, general: Column) -> Column:
+    """The anchored transcript if it has Tamil or Hindi letters, the general one if it has Telugu letters, else the longer."""
+    anchored, general = (F.coalesce(x, F.lit("")) for x in (anchored, general))
+    longer = F.when(F.length(general) > F.length(anchored), general).otherwise(anchored)
+    return F.when(F.regexp_count(anchored, F.lit("[஀-௿ऀ-ॿ]")) > 0, anchored).when(F.regexp_count(general, F.lit("[ఀ-౿]")) > 0, general).otherwise(longer)

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
+#: Fixed value: the form of a prompt.
+PROMPT = """USER QUERY:
+%s
+
+CONTEXT PASSAGES:
+%s
+
+Remember: Respond with ONLY valid JSON matching the required schema. No other text."""
 ANSWER = "struct<answer:string,sources:array<string>,confidence:double,language:string,refused:boolean,refusal_reason:string>"
 
 
@@ -45,3 +55,12 @@ def repaired(raw: Column, language: str = "en") -> Column:
 def verdict(raw: Column) -> Column:
     """The boolean verdict of a judge's JSON; anything else counts as false."""
     return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.verdict", "boolean"), F.lit(False))
+
+
+def prompts(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per query (query_id, text): the prompt with its numbered passages; hits (query_id, doc_id, text, lang, score, rank) are few for each."""
+    line = F.format_string("(doc_id=%s, lang=%s, relevance=%.3f)", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("??")), F.coalesce("score", F.lit(0.0)))
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(line, F.lit("\n"), strip(F.coalesce("text", F.lit("")))).alias("line")))).alias("lines"))
+    numbered = F.array_join(F.transform("lines", lambda x, i: F.concat(F.lit("[PASSAGE "), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n\n")
+    asked = F.format_string(PROMPT, F.col("text"), F.coalesce(numbered, F.lit("[NO CONTEXT AVAILABLE]")))
+    return queries.join(listed, "query_id", "left").select("query_id", asked.alias("prompt"))

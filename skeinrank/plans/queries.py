@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, REFUSALS
+from ..config import DEFAULT, REFUSALS, ROMANISED
 from ..functions import text as tx
-from ..functions.ids import chunk_id
-from ..operators import chunking, evaluation, retrieval, routing
+from ..functions.ids import DNS_NAMESPACE, chunk_id, uuid5
+from ..operators import answers, chunking, evaluation, retrieval, routing
 from ..sources.store import table
 from ..streaming import latency, voice
 
@@ -123,9 +123,12 @@ de AS (SELECT query_id, doc_id, round(sum(d.value * q.value), 9) AS score FROM d
 dt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM de) WHERE rank < 20)"""
 
 
-@query(f"""WITH {_BM25}, {_DENSE}, br AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS s FROM bm),
+_HYBRID = f"""{_BM25}, {_DENSE}, br AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS s FROM bm),
 f AS (SELECT dt.query_id, dt.doc_id, dt.rank AS dr, round(1 / (60 + dt.rank) + 0.3 / (60 + coalesce(br.s, (SELECT count(*) FROM documents))), 9) AS rrf FROM dt LEFT JOIN br ON dt.query_id = br.query_id AND dt.doc_id = br.doc_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr) AS rank FROM f) SELECT query_id, doc_id, rrf, rank::INT AS rank FROM k WHERE rank <= 2""")
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr) AS rank FROM f)"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, doc_id, rrf, rank::INT AS rank FROM k WHERE rank <= 2")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.hybrid(_docs(spark, sf), _asked(spark, sf))
 
@@ -240,3 +243,69 @@ def latency_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def vad_segments(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), (F.col("value") % 100 / 100).alias("p"))
     return voice.segments(voice.smoothed(e))
+
+
+@query(r"""SELECT k.query_id, 'USER QUERY:' || chr(10) || any_value(b.text) || chr(10) || chr(10) || 'CONTEXT PASSAGES:' || chr(10) ||
+  string_agg('[PASSAGE ' || rank || '] (doc_id=' || k.doc_id || ', lang=' || coalesce(d.lang, '??') || ', relevance=' || printf('%.3f', rrf) || ')' || chr(10) || regexp_replace(d.text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY rank)
+  || chr(10) || chr(10) || 'Remember: Respond with ONLY valid JSON matching the required schema. No other text.' AS prompt
+  FROM (WITH """ + _HYBRID + """ SELECT * FROM k WHERE rank <= 2) k JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = k.query_id GROUP BY k.query_id
+  UNION ALL SELECT item_id, 'USER QUERY:' || chr(10) || text || chr(10) || chr(10) || 'CONTEXT PASSAGES:' || chr(10) || '[NO CONTEXT AVAILABLE]' || chr(10) || chr(10) ||
+  'Remember: Respond with ONLY valid JSON matching the required schema. No other text.' FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM (WITH """ + _HYBRID + """ SELECT query_id FROM k))""")
+def context_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieval.hybrid(_docs(spark, sf), _asked(spark, sf)).join(_docs(spark, sf), "doc_id").withColumnRenamed("rrf", "score")
+    return answers.prompts(_asked(spark, sf), hits)
+
+
+@query(f"""WITH {_WINDOWS}, chunks AS (SELECT doc_id AS parent, left(sha256(c.t || 'slide:' || doc_id || ':' || c.i), 16) AS doc_id, c.t AS text FROM c), {_BM25.replace("documents", "chunks")},
+h AS (SELECT query_id, parent, doc_id AS id, score FROM bm JOIN chunks USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY score DESC, id) AS i FROM h),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM o WHERE i = 1)
+SELECT query_id, parent AS doc_id, id, score, rank::INT AS rank, md5(d.text) AS digest FROM k JOIN documents d ON d.doc_id = k.parent WHERE rank < 2""")
+def window_hits_to_parents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    chunks = chunking.window_chunks(docs).select("doc_id", "id", "text")
+    scores = retrieval.bm25(chunks.select(F.col("id").alias("doc_id"), "text"), _asked(spark, sf)).withColumnRenamed("doc_id", "id")
+    best = retrieval.best_per_document(scores.join(chunks, "id"), DEFAULT.final_k)
+    parents = docs.select(F.col("doc_id").alias("id"), "text")
+    out = retrieval.to_parents(best.withColumn("parent_id", F.col("doc_id")), parents)
+    return out.select("query_id", "doc_id", "id", "score", "rank", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH h AS (SELECT doc_id, sha1(unhex('{DNS_NAMESPACE}') || encode('doc-' || doc_id)) AS h FROM documents)
+SELECT doc_id, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS key FROM h""")
+def storage_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", uuid5(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("key"))
+
+
+@query("""SELECT doc_id, CASE WHEN k IN ('auto', 'all', 'none', '*') THEN '' ELSE k END AS key FROM
+  (SELECT doc_id, lower(trim(split_part(split_part(coalesce(lang, ''), '-', 1), '_', 1))) AS k FROM documents)""")
+def language_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tx.language_key(F.col("lang")).alias("key"))
+
+
+def _points(lang: str) -> str:
+    return f"list_sum(list_transform({ROMANISED[lang].split()}, lambda p: CASE WHEN contains(l, ' ' || p || ' ') THEN 2 WHEN contains(l, p) THEN 1 ELSE 0 END)) AS {lang}"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, ' ' || lower(text) || ' ' AS l, len(regexp_extract_all(text, '[\x{{0B80}}-\x{{0BFF}}]')) AS sta, len(regexp_extract_all(text, '[\x{{0900}}-\x{{097F}}]')) AS shi,
+  len(regexp_extract_all(text, '[\x{{0C00}}-\x{{0C7F}}]')) AS ste FROM documents), r AS (SELECT *, {_points("ta")}, {_points("hi")}, {_points("te")} FROM s)
+SELECT doc_id, CASE WHEN sta > 0 AND sta >= shi AND sta >= ste THEN 'ta' WHEN shi > 0 AND shi >= ste THEN 'hi' WHEN ste > 0 THEN 'te'
+  WHEN ta > 0 AND ta >= hi AND ta >= te THEN 'ta' WHEN hi > 0 AND hi >= te THEN 'hi' WHEN te > 0 THEN 'te' ELSE 'en' END AS detected FROM r""")
+def detected_language(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tx.detected_language(F.col("text")).alias("detected"))
+
+
+@query("""WITH m AS (SELECT conv_id, text, role = 'assistant' AS f, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC, text DESC) AS i FROM conversations),
+t AS (SELECT conv_id AS session_id, max(text) FILTER (i = 1 AND NOT f) AS partial, max(text) FILTER (i = 1 AND f) AS final FROM m GROUP BY conv_id)
+SELECT *, CASE WHEN length(coalesce(partial, '')) > length(coalesce(final, '')) THEN coalesce(partial, '') ELSE coalesce(final, '') END AS winner FROM t""")
+def transcript_final(spark: SparkSession, sf: str) -> DataFrame:
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), (F.col("role") == "assistant").alias("is_final"), "text")
+    return voice.transcripts(said).withColumn("winner", tx.transcript_winner(F.col("final"), F.col("partial")))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(t) > 0 AND length(t) < 300 THEN t END AS answer, CASE WHEN length(t) > 0 AND length(t) < 300 THEN 0.9 ELSE 0 END::DOUBLE AS confidence,
+  NOT (length(t) > 0 AND length(t) < 300) AS refused, CASE WHEN t = '' THEN 'insufficient_context' WHEN length(t) >= 300 THEN 'parse_error' END AS refusal_reason
+  FROM (SELECT conv_id, turn, trim(text) AS t FROM conversations)""")
+def answer_documents(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "conversations").select("conv_id", "turn", answers.repaired(F.col("text")).alias("a"))
+    return a.select("conv_id", "turn", "a.answer", "a.confidence", "a.refused", "a.refusal_reason")

@@ -39,3 +39,12 @@ def segments(frames: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """frames (stream_id, seq, p smoothed) to events: stream_id, seq, event (start or end)."""
     ordered = frames.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("f"))
     return ordered.select("stream_id", F.explode(_fold(F.col("f"), config)).alias("e")).select("stream_id", "e.seq", "e.event")
+
+
+def transcripts(messages: DataFrame) -> DataFrame:
+    """Messages (session_id, seq, is_final, text), a table or a stream, to each session's last partial and final text.
+
+    One aggregation by session that keeps one message of each kind.
+    """
+    last = lambda kind: F.max(F.when(kind, F.struct("seq", "text")))["text"]
+    return messages.groupBy("session_id").agg(last(~F.col("is_final")).alias("partial"), last(F.col("is_final")).alias("final"))

@@ -1,6 +1,9 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skeinrank.functions import ids
 from skeinrank.functions import text as tx
 from skeinrank.operators import answers, evaluation, retrieval, routing
 from skeinrank.streaming import voice
@@ -75,3 +78,32 @@ def test_voice(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_detected_language_and_winner(spark):
+    rows = [("vanakkam nanba", "ta"), ("aap kaise hain", "hi"), ("meeru ela unnaru", "te"), ("வணக்கம் नमस्ते", "ta"), ("", "en"), (None, "en"), ("xyz", "en")]
+    got = spark.createDataFrame(rows, "t string, want string").select("want", tx.detected_language(F.col("t")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+    pairs = [("வண", "longer text", "வண"), ("abc", "తె", "తె"), ("abc", "abcd", "abcd"), ("abc", "xyz", "abc"), (None, None, "")]
+    got = spark.createDataFrame(pairs, "a string, g string, want string").select("want", tx.transcript_winner(F.col("a"), F.col("g")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_storage_keys_are_name_based(spark):
+    names = ["a", "doc-1", "ü", ""]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.uuid5(F.col("n")).alias("u")).collect()
+    assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_DNS, r.n)) for r in got)
+
+
+def test_transcripts_keep_the_last_of_each_kind(spark):
+    rows = [(1, 1, False, "a"), (1, 3, False, "c"), (1, 2, True, "b"), (2, 1, False, None)]
+    got = {r.session_id: (r.partial, r.final) for r in voice.transcripts(spark.createDataFrame(rows, "session_id long, seq long, is_final boolean, text string")).collect()}
+    assert got == {1: ("c", "b"), 2: (None, None)}
+
+
+def test_prompts_number_their_passages(spark):
+    asked = spark.createDataFrame([(1, "why?"), (2, "how?")], "query_id long, text string")
+    hits = spark.createDataFrame([(1, 7, " second ", None, 0.5, 2), (1, 9, "first", "en", 0.75, 1)], "query_id long, doc_id long, text string, lang string, score double, rank int")
+    got = {r.query_id: r.prompt for r in answers.prompts(asked, hits).collect()}
+    assert "[PASSAGE 1] (doc_id=9, lang=en, relevance=0.750)\nfirst\n\n[PASSAGE 2] (doc_id=7, lang=??, relevance=0.500)\nsecond\n\n" in got[1]
+    assert "[NO CONTEXT AVAILABLE]" in got[2]
