@@ -5,11 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EXPLAINING, REFUSALS, ROMANISED
 
 #: Fixed value: what separates the tokens of sparse retrieval.
 TOKEN_GAP = r"""[\s.,;:!?()\[\]{}"'\-/\\।॥]+"""
+#: The type of merged sentences, not a DDL string, as it is made before there is a session.
+CHILDREN = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("chunk_index", T.IntegerType())]))
 SENTENCE_GAP = r"(?<=[।॥.!?؟])\s+|(?<=\n)\s*"
 
 
@@ -45,7 +48,7 @@ def sentences(c: Column) -> Column:
     return F.when((F.size(cut) == 1) & (F.length(c) > 200), _packed(c, 150)).otherwise(cut)
 
 
-@F.pandas_udf("array<struct<text:string,chunk_index:int>>")
+@F.pandas_udf(CHILDREN)
 def merged_sentences(parts: pd.Series) -> pd.Series:
     """Children (text, chunk_index): short sentences dropped, those of few words put before the next.
 
