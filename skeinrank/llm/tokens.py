@@ -69,6 +69,7 @@ class Encoder:
     """Encodes texts with a tokenizer file: encode(text) gives the ids as little-endian unsigned 32-bit bytes.
 
     by_word: the file's tokenizer is a byte-level BPE whose pieces begin at a blank, so that words may be remembered.
+    Texts that hold one of its added tokens are encoded whole.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -77,20 +78,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         if hasattr(tokenizer.model, "_resize_cache"):
             tokenizer.model._resize_cache(0)  # the words are remembered here, and its own memory is slower than merging anew
         self._np, self._tokenizer, self._by_word = np, tokenizer, by_word
+        # The file's added tokens are found in whole texts only.
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+        self._added = re.compile("|".join(added)) if added else None
         self._words = _Memory(self._whole, tokenizer.model)
 
     def _whole(self, text: str) -> bytes:
         return self._np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self._by_word:
-            return self._whole(text) if text else b""
         if not text:
             return b""
+        if not self._by_word or self._added and self._added.search(text):
+            return self._whole(text)
         odd = text[0] == " " or text[-1] == " " or _ODD.search(text) is not None
         first, *rest = _CUT.split(text) if odd else text.split(" ")
         words = self._words

@@ -53,6 +53,20 @@ def test_token_round_trip(spark):
     assert [r.start for r in got] == list(np.cumsum([0, *[len(w) // 4 for w in want[:-1]]]))
 
 
+def test_added_tokens_match_the_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    plain, path = Tokenizer.from_file(byte_bpe_path()), byte_bpe_path()
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext |> no mark", "plain words, no mark"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and 50256 not in want[3]
+    for by_word in (True, False):
+        enc = Encoder(path, by_word)
+        assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in texts] == want
+    got = token_store.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for w in want]
+
+
 def test_first_fit():
     lengths = [int(x) for x in np.random.default_rng(2).integers(1, 1025, 500)]
     got, room = packing.first_fit_decreasing(lengths, 1024), []
