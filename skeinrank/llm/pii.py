@@ -5,9 +5,11 @@ document, without a table. It keeps the format: digits stay digits, letters stay
 separators stay; card numbers keep a right (or wrong) check digit, addresses stay addresses, e-mail domains are reserved
 ones and equal domains stay equal; names after a title keep its gender. The distinct values of the corpus are checked:
 where two values would share a surrogate, or a surrogate equals a value that occurs, all but the first draw again, until
-all are distinct. Only the values that had to draw again are carried to the documents.
+all are distinct. Values that draw again get longer surrogates by and by, so that there is always a free one. Family names
+are settled before full names, so that a person keeps one family name. Only the values that had to draw again are carried
+to the documents.
 
-Edge cases: a null text stays null and an empty one empty; texts without entities are unchanged; version numbers and
+Edge cases: the body of a secret without letters and digits is replaced by letters; a null text stays null and an empty one empty; texts without entities are unchanged; version numbers and
 short numbers are no entities; repeated rows give equal rows; an empty table gives no rows; other columns are kept by
 `replace` and left out by `surrogates`.
 """
@@ -84,9 +86,9 @@ def _shape(text: str, draw: Draw, hexes: bool = False) -> str:
             if ord(c) > 127 and "LATIN" not in unicodedata.name(c, ""):
                 base = ord(c) & ~0xF  # another letter of the same block
                 near = [chr(x) for x in range(base, base + 16) if chr(x).isalpha() and chr(x).isupper() == c.isupper()]
-                new = near[draw.below(len(near))] if near else c
-                out.append(new)
-                continue
+                if len(near) > 1:
+                    out.append(near[draw.below(len(near))])
+                    continue
             out.append(new.upper() if c.isupper() else new)
         else:
             out.append(c)
@@ -97,11 +99,15 @@ def _luhn(digits: list[int]) -> int:
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
-def _family(name: str, draw: Draw) -> str:
+def _syllables(n: int, draw: Draw) -> str:
+    return "".join(SYLLABLES[draw.below(len(SYLLABLES))] for _ in range(n))
+
+
+def _family(name: str, draw: Draw, attempt: int) -> str:
     if name.isascii() or all("LATIN" in unicodedata.name(c, "") for c in name):
-        made = "".join(SYLLABLES[draw.below(len(SYLLABLES))] for _ in range(2 + draw.below(2)))
+        made = _syllables(2 + draw.below(2) + attempt, draw)
         return made.upper() if name.isupper() else made.capitalize()
-    return _shape(name, draw)
+    return _shape(name + name[-1] * attempt, draw)
 
 
 def _gender(title: str) -> str:
@@ -109,47 +115,56 @@ def _gender(title: str) -> str:
     return "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else "n"
 
 
-def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of a value; attempt: how often it has had to draw again."""
-    draw = Draw(key, kind, value, str(attempt))
+def surrogate(kind: str, value: str, key: bytes, attempt: int = 0, family: int = 0) -> str:
+    """The surrogate of a value; attempt: how often it has had to draw again, and family: how often its family name has.
+
+    Every second attempt makes it longer by one, so that any number of values of one form can be told apart.
+    """
+    draw, more = Draw(key, kind, value, str(attempt)), attempt // 2
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
         host = Draw(key, "domain", domain.lower(), "0")
-        return f"{_shape(local, draw)}@{_shape(labels[0], host)}.example.{labels[-1]}"
+        return f"{_shape(local + 'x' * more, draw)}@{_shape(labels[0], host)}.example.{labels[-1]}"
     if kind == "secret":
         head = re.match(r"\w+(?:-\w+)?\s?[=:]\s?[\"']?", value)[0]
         body = value[len(head) :]
-        return head + _shape(body, draw, hexes=bool(re.fullmatch(r"[0-9a-f]+", body)))
+        if not any(c.isdigit() or c.isalpha() for c in body):
+            body = "x" * len(body)
+        hexes = bool(re.fullmatch(r"[0-9a-f]+", body))
+        return head + _shape(body + ("a" if hexes else "x") * more, draw, hexes=hexes)
     if kind == "key":
-        return value[:4] + _shape(value[4:], draw)
+        return value[:4] + _shape(value[4:] + "X" * more, draw)
     if kind == "iban":
-        return value[:2] + _shape(value[2:], draw)
+        return value[:2] + _shape(value[2:] + "0" * more, draw)
     if kind == "hex":
-        return _shape(value, draw, hexes=True)
+        return _shape(value + "0" * more, draw, hexes=True)
     if kind == "ip":
-        return ".".join(str(draw.below(254) + 1) for _ in range(4))
+        made = ".".join(str(draw.below(254) + 1) for _ in range(4))
+        return f"{made}:{_shape('0' * more, draw)}" if more else made
     if kind == "card":
-        made = [c for c in _shape(value, draw)]
+        made = [c for c in _shape(value + "0" * more, draw)]
         places = [i for i, c in enumerate(made) if c.isdigit()]
-        if _luhn([int(value[i]) for i in places]) == 0:
+        if _luhn([int(c) for c in value if c.isdigit()]) == 0:
             made[places[-1]] = "0"
             made[places[-1]] = str(-_luhn([int(made[i]) for i in places]) % 10)
         return "".join(made)
     if kind == "phone":
         country = re.match(r"\+\d{1,3}(?=[ .\-(])", value)
         head = country[0] if country else ""
-        return head + _shape(value[len(head) :], draw)
+        return head + _shape(value[len(head) :] + "0" * more, draw)
+    if kind == "family":
+        return _family(value, draw, attempt)
     if kind == "name":
         title, *names = value.split(" ")
-        family = _family(names[-1], Draw(key, "family", names[-1], str(attempt)))
+        last = surrogate("family", names[-1], key, family)
         if len(names) == 1:
-            return f"{title} {family}"
+            return f"{title} {last}"
         script = "latin" if names[0].isascii() or "LATIN" in unicodedata.name(names[0][0], "") else ""
         pool = GIVEN.get((script, _gender(title)))
-        given = pool[draw.below(len(pool))] if pool else _shape(names[0], draw)
-        return f"{title} {given} {family}"
-    return _shape(value, draw)
+        given = pool[draw.below(len(pool))] + _syllables(more, draw) if pool else _shape(names[0] + names[0][-1] * more, draw)
+        return f"{title} {given} {last}"
+    return _shape(value + "0" * more, draw)
 
 
 def entities(text: str | None) -> list[tuple[str, str, int, int]]:
@@ -180,7 +195,7 @@ def rewrite(text: str | None, key: bytes, again: dict[tuple[str, str], int]) ->
         return text, []
     out, at, families = [], 0, {}
     for kind, value, a, b in found:
-        new = surrogate(kind, value, key, again.get((kind, value), 0))
+        new = surrogate(kind, value, key, again.get((kind, value), 0), again.get(("family", value.split(" ")[-1]), 0))
         if kind == "name":
             families[value.split(" ")[-1]] = new.split(" ")[-1]
         out += [text[at:a], new]
@@ -205,28 +220,41 @@ def _finder(batches):
 def _drawer(key: bytes):
     def draw(batches):
         for batch in batches:
-            made = [surrogate(k, v, key, n) for k, v, n in zip(*(batch[c].to_pylist() for c in ("kind", "value", "attempt")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["kind"], batch["value"], batch["attempt"], pa.array(made, pa.string())], names=["kind", "value", "attempt", "made"])
+            made = [surrogate(k, v, key, n, f) for k, v, n, f in zip(*(batch[c].to_pylist() for c in ("kind", "value", "attempt", "family")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("kind", "value", "attempt", "family")), pa.array(made, pa.string())], names=["kind", "value", "attempt", "family", "made"])
 
     return draw
 
 
 def drawn_again(docs: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt) of the values whose first surrogate was taken: a staged table, mostly empty."""
-    shape = "kind string, value string, attempt int, made string"
-    values = docs.select("text").mapInArrow(_finder, "kind string, value string").distinct()
-    table = staged(values.withColumn("attempt", F.lit(0)).mapInArrow(_drawer(key), shape), "pii-values")
+    """(kind, value, attempt) of the values whose first surrogate was taken: a staged table, mostly empty.
+
+    Family names are values of the kind family.
+    """
+    values = staged(docs.select("text").mapInArrow(_finder, "kind string, value string").distinct(), "pii-values")
+    last = F.substring_index("value", " ", -1)
+    families = values.where("kind = 'name'").select(F.lit("family").alias("kind"), last.alias("value")).distinct()
+    again = _settled(families.withColumn("family", F.lit(0)), key)
+    own = again.select(F.lit("name").alias("kind"), F.col("value").alias("last"), F.col("attempt").alias("family"))
+    named = values.withColumn("last", last).join(own, ["kind", "last"], "left")
+    return again.union(_settled(named.select("kind", "value", F.coalesce("family", F.lit(0)).alias("family")), key))
+
+
+def _settled(values: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, attempt) of those of values (kind, value, family) that had to draw again until all were distinct."""
+    shape = "kind string, value string, attempt int, family int, made string"
+    table = staged(values.select("kind", "value", F.lit(0).alias("attempt"), "family").mapInArrow(_drawer(key), shape), "pii-drawn")
     originals = table.select("kind", F.col("value").alias("made"), F.lit(True).alias("taken"))
     while True:
         # Settled values keep their surrogate before those that drew again, then by value.
         place = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "value"))
         checked = table.withColumn("place", place).join(originals, ["kind", "made"], "left")
         clash = (F.col("place") > 1) | F.col("taken").isNotNull()
-        marked = staged(checked.select("kind", "value", "attempt", "made", clash.alias("clash")), "pii-checked")
+        marked = staged(checked.select("kind", "value", "attempt", "family", "made", clash.alias("clash")), "pii-checked")
         if marked.where("clash").isEmpty():
             return marked.where("attempt > 0").select("kind", "value", "attempt")
-        redrawn = marked.where("clash").select("kind", "value", (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(_drawer(key), shape)
-        table = marked.where("not clash").select("kind", "value", "attempt", "made").union(redrawn)
+        redrawn = marked.where("clash").select("kind", "value", (F.col("attempt") + 1).cast("int").alias("attempt"), "family").mapInArrow(_drawer(key), shape)
+        table = marked.where("not clash").select("kind", "value", "attempt", "family", "made").union(redrawn)
 
 
 def _rewriter(key: bytes, again: dict[tuple[str, str], int] | None, names: list[str]):
@@ -246,11 +274,12 @@ def _rewriter(key: bytes, again: dict[tuple[str, str], int] | None, names: list[
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, value) of all entities, without repeats within a document."""
+    """(doc_id, kind, value) of all entities and family names, without repeats within a document."""
 
     def find(batches):
         for batch in batches:
             rows = [(d, k, v) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for k, v, *_ in entities(t.as_py())]
+            rows += [(d, "family", v.split(" ")[-1]) for d, k, v in rows if k == "name"]
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("doc_id", pa.int64()), ("kind", pa.string()), ("value", pa.string())))})
 
     return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, kind string, value string").distinct()

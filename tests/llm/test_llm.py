@@ -134,6 +134,34 @@ def test_surrogates():
     assert [len(x) for x in card.split(" ")] == [4, 4, 4, 4] and pii._luhn([int(c) for c in card if c.isdigit()]) == 0
 
 
+def test_surrogates_of_masked_secrets_settle(spark):
+    texts = ["password: ******** here", "token: ------ here", "password: ********, token: !!!!!!!!"]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    bodies = [x.split(": ")[1].split(" ")[0] for x in got[:2]]
+    assert all(x.isalpha() for x in bodies) and [len(x) for x in bodies] == [8, 6] and "*" not in got[2] and "!" not in got[2]
+
+
+def test_surrogates_of_many_names_settle_and_keep_families(spark):
+    families = ["".join(chr(97 + i // 26**k % 26) for k in range(3, -1, -1)).capitalize() for i in range(10_000)]
+    texts = [", ".join(f"Mr {x}, Mr John {x}" for x in families[i : i + 100]) for i in range(0, 10_000, 100)]
+    texts.append(", ".join(f"Mrs {x} Smith" for x in families[:60]) + ", Mrs Smith")  # more than there are given names
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.surrogates(docs).orderBy("doc_id").collect()]
+    assert got == [r.text for r in pii.surrogates(docs, limit=10).orderBy("doc_id").collect()]
+    names = [x.split(" ") for t in got[:-1] for x in t.split(", ")]
+    alone, full = [x[1] for x in names[::2]], [x[2] for x in names[1::2]]
+    assert alone == full and len(set(alone)) == 10_000 and not set(alone) & {*families, "Smith"}
+    last = [x.split(" ") for x in got[-1].split(", ")]
+    assert len({x[-1] for x in last}) == 1 and len({x[1] for x in last[:-1]}) == 60
+
+
+def test_every_kind_of_surrogate_can_grow():
+    for kind, value in (("email", "a@b.co"), ("secret", "token=aaaaa1"), ("secret", "token=------"), ("ssn", "123-45-6789"), ("phone", "+1 1 22 33"), ("ip", "10.0.0.7"), ("iban", "DE02 1203 0000"), ("hex", "0a" * 16), ("key", "AKIA" + "A" * 16)):
+        assert len({len(pii.surrogate(kind, value, b"k", 2 * n)) for n in (0, 30)}) == 2
+    card = pii.surrogate("card", "4111 1111 1111 1111", b"k", 4)
+    assert pii._luhn([int(c) for c in card if c.isdigit()]) == 0 and len(card) == 21
+
+
 def test_mixing_targets(spark):
     sources = spark.createDataFrame([("a", 100, 1), ("b", 1000, 1), ("c", 10, 1), (None, 50, 1)], "source string, total long, n long")
     got = {r.source: r.target for r in mixing.targets(mixing.weigh(sources, (3, 1, 2)), 1.5, 2.0).collect()}
