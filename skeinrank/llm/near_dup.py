@@ -1,7 +1,8 @@
 """Near-duplicate documents by banded MinHash, with odd sketches to estimate candidates and full sets to confirm them.
 
 A document's set holds its distinct shingles of `shingle` words (A-Z lower-cased); with fewer words, the whole sequence
-is the one shingle. Documents with equal sets form a class and only classes are compared. The classes' MinHash samples
+is the one shingle. Documents with equal sets form a class and only classes are compared, each by the text of its least
+row; of a component's rows the least is kept, by doc_id and then by a hash of the text. The classes' MinHash samples
 are cut into bands; classes that agree on a band share a bucket. The samples are also folded into an odd sketch: a
 bitmap of parities, so that the ones in the XOR of two sketches tell the number of samples in which they differ, most
 precisely for high similarities. Candidates whose estimate is far too low are dropped, and the rest are confirmed on
@@ -19,8 +20,9 @@ only link what is linked already. So no link between components is lost but by t
 that less likely than `miss` for a pair at the threshold.
 
 Edge cases: a null or empty text has an empty set, is linked with nothing and kept; a null doc_id sorts after all
-others and comes out as null; rows that share a doc_id are one node and get one answer; an empty table gives no rows;
-other columns are ignored by `groups` and kept by `keep`.
+others and comes out as null; rows that share a doc_id, or have none, are judged each by its own text, and go only as near
+copies of a row that is kept; of equal rows one is kept; an empty table gives no rows; other columns are ignored by `groups`
+and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import attach, staged
 
 NO_ID = 2**63 - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -105,8 +107,8 @@ def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
 
-SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def _signer(p: NearDup):
@@ -117,9 +119,9 @@ def _signer(p: NearDup):
         band_no = mix(np.arange(p.bands, dtype=np.uint64))
         for batch in batches:
             rows: list[dict] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for doc, text_hash, text in zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"], strict=True):
                 s = shingles(text.as_py(), p.shingle)
-                row = {"doc_id": doc, "n_shingles": len(s), "fp1": 0, "fp2": 0, "bands": [], "sketch": []}
+                row = {"doc_id": doc, "text_hash": text_hash, "n_shingles": len(s), "fp1": 0, "fp2": 0, "bands": [], "sketch": []}
                 if len(s):
                     m = min_samples(s, factors, offsets)
                     key = band_no.copy()
@@ -174,13 +176,21 @@ def _estimate(p: NearDup, a: Column, b: Column) -> Column:
     return 1 + F.log(free) * p.sketch_bits / (4.0 * p.samples)
 
 
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, p: NearDup, name: str) -> DataFrame:
+    """(node, set) of nodes (node), by the text of the least row of each class."""
+    rows = classes.join(nodes, "node", "left_semi").select("node", "least.doc_id", "least.text_hash")
+    found = staged(docs.join(rows, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), name)
+    # Equal rows give a set each.
+    return found if found.groupBy("node").count().where("count > 1").isEmpty() else staged(found.dropDuplicates(["node"]), name)
+
+
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, p: NearDup) -> DataFrame:
     """Those of pairs (a, b) that the sketches don't rule out and whose full sets are similar enough."""
     sk = classes.select("node", "sketch")
     near = pairs.join(sk.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(sk.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
     near = staged(near.where(_estimate(p, F.col("sa"), F.col("sb")) >= p.least_estimate).select("a", "b"), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = staged(docs.join(ids, "node", "left_semi").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), "sets")
+    sets = _sets(docs, classes, ids, p, "sets")
     both = near.join(sets.withColumnsRenamed({"node": "a", "set": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "t"}), "b")
     inter = F.size(F.array_intersect("s", "t"))
     both = both.withColumn("inter", inter)
@@ -237,7 +247,7 @@ def _undone(member: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
-    """(node, label) of the classes that are linked with another; docs: node, text; classes: node, bands, sketch."""
+    """(node, label) of the classes that are linked with another; docs: doc_id, text_hash, text; classes: node, least, bands, sketch."""
     member = staged(classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node"), "bands")
     buckets = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     member = staged(member.join(buckets, "key"), "buckets")
@@ -246,7 +256,7 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     labels = staged(components(found), "labels")
     # A bucket of two is done by its one pair; the hub of a larger one has met all of it.
     rest = _undone(member.where("n > 2 and node <> hub").select("key", "node"), labels).select("node").distinct()
-    sets = staged(docs.join(staged(rest, "open"), "node", "left_semi").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), "open-sets")
+    sets = _sets(docs, classes, staged(rest, "open"), p, "open-sets")
     open_ = staged(prefixes(sets, p.percent), "prefixes")
     many = p.hubs
 
@@ -273,25 +283,48 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         many *= 4
 
 
-def groups(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    core = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text"))
-    signed = staged(core.mapInArrow(_signer(p), SIGNED), "signed")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
+
+
+def _verdict(docs: DataFrame, p: NearDup) -> DataFrame:
+    """Per row of docs: doc_id (NO_ID for null), text_hash, n_shingles, and the least row of its component (doc_id, text_hash, row).
+
+    Rows without shingles have none; row tells equal rows apart.
+    """
+    core = _keyed(docs)
+    signed = staged(core.mapInArrow(_signer(p), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     key = ["n_shingles", "fp1", "fp2"]
+    mine = F.struct("doc_id", "text_hash", "row")
     full = signed.where("n_shingles > 0")
-    classes = staged(full.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    labels = links(core.withColumnRenamed("doc_id", "node"), classes, p)
-    named = classes.join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
-    out = signed.select("doc_id", *key).join(named, key, "left")
-    component = F.coalesce("label", "doc_id")
+    classes = full.groupBy(*key).agg(F.min(mine).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # A class is a node by the place of its least row, which no other row has.
+    classes = staged(classes.withColumn("node", F.col("least.row")), "classes")
+    labels = links(core, classes, p)
+    firsts = classes.join(labels, "node").groupBy(F.col("label").alias("of")).agg(F.min("least").alias("first"))
+    named = classes.join(labels, "node", "left").select(*key, "least", "node", F.coalesce("label", "node").alias("label"))
+    named = attach(named, staged(firsts, "firsts"), {"label": "of"}, ["node"]).select(*key, F.coalesce("first", "least").alias("first"))
+    return signed.select("doc_id", "text_hash", "row", *key).join(named, key, "left").select("doc_id", "text_hash", "row", "n_shingles", "first")
+
+
+def groups(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id of its component), kept."""
+    out = _verdict(docs, p)
     null = lambda c: F.when(c != NO_ID, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    kept = F.col("first").isNull() | (F.col("row") == F.col("first.row"))
+    return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("first.doc_id", "doc_id")).alias("component_id"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """The rows of docs that are kept: one document of each group. Rows that repeat a kept doc_id are left out as well."""
-    verdict = groups(docs, p)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    twice = verdict.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
-    return rest.dropDuplicates(["doc_id"]) if twice else rest
+    """The rows of docs that are kept: one of each group, and all rows without shingles."""
+    verdict = staged(_verdict(docs, p).where("first is not null").select("doc_id", "text_hash", "row", "first"), "verdict")
+    # Rows of one key have the same text and stay or go together, but for the equals of a row that is kept.
+    first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    key = ["__id", "__text_hash"]
+    named = lambda d: d.select(F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1])).distinct()
+    keyed = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key[1]: F.xxhash64("text")})
+    rest = keyed.join(named(verdict.where(~first)), key, "left_anti")
+    equal = named(verdict.where(first & (F.col("row") != F.col("first.row"))))
+    if not equal.isEmpty():
+        rest = rest.join(equal, key, "left_anti").unionByName(rest.join(equal, key, "left_semi").dropDuplicates(key))
+    return rest.select(*docs.columns)

@@ -101,6 +101,22 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {d: find(d) for d in sets}
 
 
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    text = lambda name, change="": " ".join([f"{name}{i}" for i in range(60)] + [change])
+    rows = [
+        (1, text("a")), (None, text("b")), (None, text("c")), (None, text("a", "x")), (None, text("b", "y")), (None, text("d")), (None, text("d")),
+        (2, text("e")), (2, text("f")), (3, text("f", "z")), (4, text("g")), (4, text("g")), (None, None), (None, None), (5, ""),
+    ]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    kept = sorted(((r.doc_id, r.text) for r in near_dup.keep(docs, near_dup.NearDup(3, 80)).collect()), key=str)
+    # Of the null-id near copies b and b y, the one with the lesser hash of its text stays.
+    b = min([text("b"), text("b", "y")], key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t)).alias("h")).first().h)
+    want = [(1, text("a")), (None, b), (None, text("c")), (None, text("d")), (2, text("e")), (2, text("f")), (4, text("g")), (None, None), (None, None), (5, "")]
+    assert kept == sorted(want, key=str)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.groups(docs, near_dup.NearDup(3, 80)).collect())
+    assert sum(n for r, n in got.items() if r[3]) == len(want) and got[(4, 58, 4, True)] == got[(4, 58, 4, False)] == 1 and got[(3, 59, 2, False)] == 1
+
+
 def test_neighbours_of_equal_vectors(spark):
     rows = [(i, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(100)] + [(200, None), (201, [0.0, 0.0]), (202, [1.0, None]), (203, [float("nan"), 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 1, 3).orderBy("rank").collect()
