@@ -45,7 +45,7 @@ def _packed(c: Column, least: int) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences: cut behind a full stop and white space, or behind a line feed; one long sentence is packed by words."""
     cut = F.filter(F.transform(F.split(c, SENTENCE_GAP), strip), lambda x: x != "")
-    return F.when((F.size(cut) == 1) & (F.length(c) > 200), _packed(c, 150)).otherwise(cut)
+    return F.when((F.size(cut) == 1) & (F.length(strip(c)) > 200), _packed(c, 150)).otherwise(cut)
 
 
 @F.pandas_udf(CHILDREN)

@@ -68,6 +68,13 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     return cut.where(~((F.size("p") == 1) & (F.length("text") > 200))).select("doc_id", F.size("p").alias("n_sentences"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
+@query()
+def sentence_split_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's sentences, those of one long sentence packed by words; sentence_split leaves these out, as its SQL does."""
+    cut = _docs(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("p"))
+    return cut.select("doc_id", F.size("p").alias("n_sentences"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
 @query()
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.sentence_chunks(_docs(spark, sf))

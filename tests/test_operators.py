@@ -1,3 +1,5 @@
+import hashlib
+import random
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,6 +22,27 @@ def test_sentences(spark):
     assert [r.text for r in one(spark, "Hi. A much longer sentence stands here today.", merged)] == ["A much longer sentence stands here today."]
 
 
+def test_sentence_split_all_packs_long_sentences(spark, tmp_path):
+    def packed(text):
+        out, held = [], ""
+        for word in text.split():
+            held = f"{held} {word}".strip()
+            if len(held) >= 150:
+                out.append(held)
+                held = ""
+        return out + [held] if held else out
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcde") * rng.randint(1, 12) + rng.choice([" ", "  ", "\t"]) for _ in range(n)) for n in (30, 60, 200, 1000)]
+    texts += ["x" * 201, " ".join(["y" * 149] * 3), " ".join(["z" * 150] * 3)]
+    assert all(len(t) > 200 for t in texts)
+    want = {i: packed(t) for i, t in enumerate(texts)} | {100: ["A b.", "C d?"], 101: [], 102: ["x" * 200], 103: ["a  b"]}
+    rows = [*enumerate(texts), (100, "A b. C d?"), (101, ""), (102, "x" * 200), (103, "a  b" + " " * 250)]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_sentences, r.digest) for r in entry.queries()["sentence_split_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(p), hashlib.md5("|".join(p).encode()).hexdigest()) for i, p in want.items()}
+
+
 def test_windows(spark):
     got = one(spark, " ".join(f"w{i}" for i in range(400)), lambda c: tx.token_windows(c, 256, 0.15))
     assert [(r.text.split()[0], len(r.text.split()), r.chunk_index) for r in got] == [("w0", 256, 0), ("w218", 182, 1)]
