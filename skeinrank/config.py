@@ -20,6 +20,7 @@ class Config:
     guardrail: float = 0.75
     cache_threshold: float = 0.94
     cache_items: int = 5_000
+    labels: int = 10_000
     budget_ms: float = 200.0
     eval_chunk: int = 400
     eval_overlap: int = 60
@@ -48,6 +49,13 @@ REFUSALS = (
     "i do not have enough information", "i don't have enough information", "does not mention", "does not provide", "does not state", "no direct answer",
 )
 
+#: Language tags of the speech service.
+LANGUAGE_TAGS = (
+    ("hi", "hi-IN"), ("ta", "ta-IN"), ("bn", "bn-IN"), ("kn", "kn-IN"), ("ml", "ml-IN"), ("mr", "mr-IN"), ("te", "te-IN"), ("gu", "gu-IN"),
+    ("ur", "ur-IN"), ("or", "or-IN"), ("pa", "pa-IN"), ("as", "as-IN"), ("ne", "ne-NP"), ("sa", "sa-IN"), ("en", "en-IN"),
+)
+DEFAULT_TAG = "en-IN"
+
 #: Words of romanised Tamil, Hindi and Telugu; a word given twice counts twice.
 ROMANISED = {
     "ta": """vanakkam eppadi muthalamichar tamil tamilnadu tamilnadin yaar yar enna irukku irukkeenga irukkanga solla solranga ungal ungala

@@ -13,12 +13,14 @@ from ..config import EXPLAINING, REFUSALS, ROMANISED
 TOKEN_GAP = r"""[\s.,;:!?()\[\]{}"'\-/\\।॥]+"""
 #: The type of merged sentences, not a DDL string, as it is made before there is a session.
 CHILDREN = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("chunk_index", T.IntegerType())]))
+#: Fixed value: white space of any kind.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_GAP = r"(?<=[।॥.!?؟])\s+|(?<=\n)\s*"
 
 
 def strip(c: Column) -> Column:
     """c without white space of any kind at its ends."""
-    return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def words(c: Column) -> Column:
@@ -31,15 +33,8 @@ def bm25_tokens(c: Column) -> Column:
 
 
 def _packed(c: Column, least: int) -> Column:
-    """Words joined greedily: a piece is done when it has at least `least` characters."""
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, w: Column) -> Column:
-        joined = F.when(s["buf"] == "", w).otherwise(F.concat(s["buf"], F.lit(" "), w))
-        done = F.length(joined) >= least
-        return F.struct(F.when(done, F.lit("")).otherwise(joined).alias("buf"), F.when(done, F.array_append(s["out"], joined)).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(words(c), start, step, lambda s: F.when(s["buf"] == "", s["out"]).otherwise(F.array_append(s["out"], s["buf"])))
+    """Words joined greedily: a piece ends with the first word that makes it `least` characters or longer."""
+    return F.regexp_extract_all(F.array_join(words(c), " "), F.lit(rf"(?s) ?(.{{{least}}}[^ ]*|.+)"), F.lit(1))
 
 
 def sentences(c: Column) -> Column:

@@ -27,7 +27,7 @@ def _body(raw: Column) -> Column:
 
 def repaired(raw: Column, language: str = "en") -> Column:
     """The answer document of a model's raw output, whatever state it is in."""
-    text = F.trim(_body(raw))
+    text = strip(_body(raw))
     cut = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     parsed = F.when(F.try_parse_json(F.when(cut != "", cut)).isNotNull(), F.from_json(cut, ANSWER))
     loose = F.regexp_extract(text, r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)', 1)

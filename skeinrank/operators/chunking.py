@@ -24,12 +24,12 @@ def parents(docs: DataFrame) -> DataFrame:
     return docs.where(tx.strip(F.col("text")) != "").select("doc_id", chunk_id(F.col("text"), F.concat(F.lit("parent:"), doc)).alias("id"), "text")
 
 
-def window_chunks(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """docs to token windows: doc_id, id, text, chunk_index."""
+def window_chunks(docs: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs to token windows: doc_id, id, text, chunk_index, and the columns of docs named in keep."""
     doc = F.col("doc_id").cast("string")
-    cut = docs.where(tx.strip(F.col("text")) != "").select("doc_id", F.explode(tx.token_windows(F.col("text"), config.window_tokens, config.window_overlap)).alias("c"))
+    cut = docs.where(tx.strip(F.col("text")) != "").select("doc_id", *keep, F.explode(tx.token_windows(F.col("text"), config.window_tokens, config.window_overlap)).alias("c"))
     made = chunk_id(F.col("c.text"), F.concat(F.lit("slide:"), doc, F.lit(":"), F.col("c.chunk_index").cast("string")))
-    return cut.select("doc_id", made.alias("id"), F.col("c.text").alias("text"), F.col("c.chunk_index").alias("chunk_index"))
+    return cut.select("doc_id", made.alias("id"), F.col("c.text").alias("text"), F.col("c.chunk_index").alias("chunk_index"), *keep)
 
 
 def char_chunks(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -1,40 +1,66 @@
-"""Sparse and dense retrieval over postings, rank fusion, and what follows it.
+"""Sparse and dense retrieval, rank fusion, and what follows it.
 
-Queries meet documents only where they share a term or a hashed bucket: every step is an equi-join and an aggregation.
+A query is searched in the documents of its language, or in all where its language has none (there is no sparse corpus
+then). Sparse search joins documents with the queries' terms right where they are tokenized, so that postings of other
+terms are never shuffled. Dense search scores documents against blocks of queries, of bounded size, where they are read,
+and keeps the best of each Arrow batch. Ranks among all documents are counted for the few fused candidates only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as tx
-from ..functions.ids import hash_bucket
-from ..functions.vectors import dot
+from ..functions.vectors import hash_matrix, hash_vector, unit_rows
+
+#: Queries of one block of dense search, and rows that may be broadcast.
+BLOCK, FEW = 4096, 200_000
+
+
+def few(df: DataFrame, limit: int = FEW) -> Callable[[DataFrame], DataFrame]:
+    """Marks frames of no more rows than df for broadcast if df has at most `limit` (counted here), else leaves them."""
+    return F.broadcast if df.limit(limit + 1).count() <= limit else lambda x: x
+
 
+def _key(docs: DataFrame) -> Column:
+    return tx.language_key(F.col("lang")) if "lang" in docs.columns else F.lit("")
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl) of docs (doc_id, text)."""
-    toks = docs.select("doc_id", tx.bm25_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return toks.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(corpus, term, n, size): documents of each language with each term; term null: all of them, size their tokens."""
+    t = docs.select(_key(docs).alias("corpus"), tx.bm25_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    row = lambda term, size: F.struct(term.alias("term"), size.cast("long").alias("size"))
+    entries = F.concat(F.array(row(F.lit(None).cast("string"), F.size("t"))), F.transform(F.array_distinct("t"), lambda x: row(x, F.lit(0))))
+    return t.select("corpus", F.explode(entries).alias("e")).groupBy("corpus", "e.term").agg(F.count("*").alias("n"), F.sum("e.size").alias("size"))
 
-def idf(docs: DataFrame, posts: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(term, idf): Okapi weights; negative ones become a share of the mean over the vocabulary."""
-    n = docs.agg(F.count("*").alias("n"))
-    raw = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
-    raw = raw.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * config.bm25_epsilon).otherwise(F.col("raw")).alias("idf"))
+
+def weights(vocab: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(corpus, term, idf, avgdl): Okapi weights; negative ones become a share of the mean over the corpus' vocabulary."""
+    corpora = F.broadcast(vocab.where("term is null").select("corpus", F.col("n").alias("docs"), (F.col("size") / F.col("n")).alias("avgdl")))  # a row per language
+    raw = vocab.where("term is not null").join(corpora, "corpus").select("corpus", "term", "avgdl", (F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
+    mean = F.broadcast(raw.groupBy("corpus").agg(F.avg("raw").alias("mean")))  # a row per language
+    return raw.join(mean, "corpus").select("corpus", "term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * config.bm25_epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(query_id, doc_id, score) of documents that share a term with a query (query_id, text); scores to six places."""
-    posts = postings(docs)
-    size = docs.select(F.size(tx.bm25_tokens(F.col("text"))).alias("dl")).agg(F.avg("dl").alias("avgdl"))
-    asked = queries.select("query_id", F.explode(tx.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hit = posts.join(asked, "term").join(idf(docs, posts, config), "term").crossJoin(F.broadcast(size))
+    """(query_id, doc_id, score) of documents that share a term with a query of their language; scores to six places.
+
+    docs: doc_id, text, lang; queries: query_id, text, lang; without lang there is one corpus.
+    """
+    asked = queries.select("query_id", _key(queries).alias("corpus"), F.explode(tx.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "corpus", "term").agg(F.count("*").alias("qf"))
+    small = few(asked)
+    terms = small(asked.select("corpus", "term").distinct())
+    weighed = weights(vocabulary(docs), config).join(terms, ["corpus", "term"], "left_semi")
+    toks = docs.select("doc_id", _key(docs).alias("corpus"), tx.bm25_tokens(F.col("text")).alias("t")).select("doc_id", "corpus", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    posts = toks.join(terms, ["corpus", "term"], "left_semi").groupBy("doc_id", "corpus", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    hit = posts.join(small(asked.join(weighed, ["corpus", "term"])), ["corpus", "term"])
     k1, b = config.bm25_k1, config.bm25_b
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -43,20 +69,77 @@ def bm25(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataF
 def hash_vectors(texts: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
     """(key, bucket, value): unit vectors of hashed lower-case words, as their cells; no words: the first axis.
 
-    The sign of a word is that of its bucket, as the number of axes is even.
+    The sign of a word is that of its bucket, as the number of axes is even. Words are hashed once per Python worker.
     """
-    w = texts.select(key, F.explode_outer(tx.words(F.lower(F.col("text")))).alias("w"))
-    bucket = F.coalesce(hash_bucket(F.col("w"), config.dims), F.lit(0))
-    cell = w.select(key, bucket.cast("int").alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    return cell.select(key, "bucket", (F.when(F.col("bucket") % 2 == 0, F.col("n")).otherwise(-F.col("n")) / norm).alias("value"))
+    cells = texts.select(key, hash_vector(config.dims)(F.col("text")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return cells.select(key, norm.alias("norm"), F.posexplode("v").alias("bucket", "n")).where("n <> 0").select(key, "bucket", (F.col("n") / F.col("norm")).alias("value"))
+
 
+def blocks(queries: DataFrame, size: int = BLOCK) -> list[DataFrame]:
+    """queries in parts of about `size` rows."""
+    n = -(-queries.count() // size)
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
-def dense(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(query_id, doc_id, score): inner products of hashed unit vectors, to nine places."""
-    d, q = hash_vectors(docs, "doc_id", config), hash_vectors(queries, "query_id", config)
-    both = d.join(q.withColumnRenamed("value", "q"), "bucket")
-    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("q")), 9).alias("score"))
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def _scorer(matrix: Callable[[pa.RecordBatch], np.ndarray], ids: np.ndarray, groups: list[str | None], wanted: np.ndarray, k: int, skip_own: bool):
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                own, group = batch["id"].to_numpy(), np.array(batch["grp"].to_pylist(), object)
+                score = np.round(matrix(batch) @ wanted.T, 9)
+                for g in set(groups):
+                    if g is not None:
+                        score[np.ix_(group != g, [i for i, x in enumerate(groups) if x == g])] = -np.inf
+                if skip_own:
+                    score[own[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(score, -k, axis=0)[-k] if len(own) > k else np.full(len(ids), -np.inf)
+                r, c = np.nonzero((score >= least) & (score > -np.inf))
+                order = np.lexsort((own[r], -score[r, c], c))
+                r, c = r[order], c[order]
+                top = np.arange(len(c)) - np.searchsorted(c, c) < k
+                r, c = r[top], c[top]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[c]), pa.array(own[r]), pa.array(score[r, c])], schema=schema)
+
+    return run
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, matrix: Callable[[pa.RecordBatch], np.ndarray], skip_own: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): each query's k best rows by inner product (to nine places), ties to the smaller id.
+
+    rows: id, grp and what matrix reads; queries: query_id, grp (null: all rows) and the vector q. Queries are taken in
+    blocks, each against all rows; a row meets a query where it is read, and only the best of a batch are shuffled.
+    """
+    found = []
+    for part in blocks(queries):
+        if block := part.collect():  # about BLOCK queries
+            run = _scorer(matrix, np.array([r.query_id for r in block], np.int64), [r.grp for r in block], np.array([r.q for r in block], float), k, skip_own)
+            found.append(rows.mapInArrow(run, "query_id long, id long, score double"))
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    return top(_union(found), k, item="id")
+
+
+def _own_corpus(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries with grp: the language if there are documents in it, else null."""
+    known = [r.corpus for r in docs.select(_key(docs).alias("corpus")).distinct().collect()]  # languages
+    return queries.withColumn("grp", F.when(_key(queries).isin(known), _key(queries)))
+
+
+def dense_top(docs: DataFrame, queries: DataFrame, k: int, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, doc_id, score, rank): the nearest documents by hashed unit vectors, in the query's language or in all."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _key(docs).alias("grp"), "text")
+    asked = _own_corpus(docs, queries)
+    asked = asked.select("query_id", "grp", hash_vector(config.dims, unit=True)(F.col("text")).alias("q"))
+    dims = config.dims
+    return nearest(rows, asked, k, lambda batch: unit_rows(hash_matrix(batch["text"].to_pylist(), dims))).withColumnRenamed("id", "doc_id")
 
 
 def top(scores: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -65,27 +148,82 @@ def top(scores: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -
     return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def fuse(dense_top: DataFrame, sparse: DataFrame, corpus_size: int, config: Config = DEFAULT) -> DataFrame:
-    """Reciprocal ranks: dense candidates with their rank among all sparse scores; (query_id, doc_id, rrf, dense_rank)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = sparse.withColumn("s", F.row_number().over(order) - 1).select("query_id", "doc_id", "s")
-    both = dense_top.select("query_id", "doc_id", F.col("rank").alias("dense_rank")).join(ranked, ["query_id", "doc_id"], "left")
-    score = 1 / (config.rrf_k + F.col("dense_rank")) + config.sparse_weight / (config.rrf_k + F.coalesce("s", F.lit(corpus_size)))
-    return both.select("query_id", "doc_id", "dense_rank", F.round(score, 9).alias("rrf"))
+def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(corpus, doc_id, place, docs) of the few rows of wanted (corpus, doc_id): smaller ids in the corpus, and its size.
+
+    Documents are counted in the gaps between the wanted ids where they are read; only counts of gaps are added up.
+    """
+    cuts: dict[str, list[int]] = {}
+    for r in wanted.distinct().orderBy("corpus", "doc_id").collect():
+        cuts.setdefault(r.corpus, []).append(r.doc_id)
+    sorted_cuts = {c: np.array(ids, np.int64) for c, ids in cuts.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            corpus, ids = np.array(batch["corpus"].to_pylist(), object), batch["id"].to_numpy()
+            for c, own in sorted_cuts.items():
+                gap, n = np.unique(np.searchsorted(own, ids[corpus == c], "right"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(gap), pa.string()), pa.array(gap, pa.int64()), pa.array(n, pa.int64())], names=["corpus", "gap", "n"])
+
+    rows = docs.select(_key(docs).alias("corpus"), F.col("doc_id").cast("long").alias("id")).where("id is not null")
+    counted: dict[str, np.ndarray] = {c: np.zeros(len(ids) + 1, np.int64) for c, ids in cuts.items()}
+    for r in rows.mapInArrow(count, "corpus string, gap long, n long").groupBy("corpus", "gap").agg(F.sum("n").alias("n")).collect():
+        counted[r.corpus][r.gap] = r.n
+    made = [(c, d, int(p), int(n.sum())) for c, n in counted.items() for d, p in zip(cuts[c], np.cumsum(n), strict=False)]
+    return docs.sparkSession.createDataFrame(made, "corpus string, doc_id long, place long, docs long")
+
+
+def fuse(dense: DataFrame, sparse: DataFrame, spots: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Reciprocal ranks of the dense candidates: (query_id, doc_id, dense_rank, sparse_rank, rrf).
+
+    dense: query_id, corpus (null: no sparse part), doc_id, rank. The sparse rank counts the better documents of the
+    whole corpus; those without a shared term score 0, and equals stand in order of doc_id. spots: see `places`.
+    """
+    own = dense.select("query_id", "corpus", "doc_id", F.col("rank").alias("dense_rank")).join(sparse, ["query_id", "doc_id"], "left").withColumn("s", F.coalesce("score", F.lit(0.0))).drop("score")
+    c = few(dense)(own.where("corpus is not null").select("query_id", F.col("doc_id").alias("c"), "s"))
+    ahead = sparse.join(c, "query_id").groupBy("query_id", F.col("c").alias("doc_id")).agg(
+        F.count_if((F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc_id") < F.col("c")))).alias("above"),
+        F.count_if(F.col("doc_id") < F.col("c")).alias("before"), F.count("*").alias("hits"),
+    )
+    both = own.join(ahead, ["query_id", "doc_id"], "left").na.fill(0, ["above", "before", "hits"]).join(F.broadcast(spots), ["corpus", "doc_id"], "left")
+    zeros = F.when(F.col("s") < 0, F.col("docs") - F.col("hits")).when(F.col("s") == 0, F.col("place") - F.col("before")).otherwise(F.lit(0))
+    both = both.withColumn("sparse_rank", F.when(F.col("corpus").isNotNull(), F.col("above") + zeros))
+    score = 1 / (config.rrf_k + F.col("dense_rank")) + F.coalesce(config.sparse_weight / (config.rrf_k + F.col("sparse_rank")), F.lit(0.0))
+    return both.select("query_id", "doc_id", "dense_rank", "sparse_rank", F.round(score, 9).alias("rrf"))
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The final_k documents of each query: dense candidates re-ranked by fusion with the sparse ranks."""
-    fused = fuse(top(dense(docs, queries, config), config.candidates), bm25(docs, queries, config), docs.count(), config)
+    """The final_k documents of each query: dense candidates re-ranked by fusion with the sparse ranks of their language.
+
+    A query of a language without documents, or without a token, keeps its dense order. Queries are taken in blocks.
+    """
+    parts = [_hybrid(docs, part, config) for part in blocks(queries)]
+    return _union(parts) if parts else docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rrf double, rank int")
+
+
+def _hybrid(docs: DataFrame, queries: DataFrame, config: Config) -> DataFrame:
+    found = dense_top(docs, queries, config.candidates, config).select("query_id", "doc_id", "rank").collect()  # `candidates` rows a query
+    near = docs.sparkSession.createDataFrame(found, "query_id long, doc_id long, rank int")
+    corpus = F.when(F.size(tx.bm25_tokens(F.coalesce("text", F.lit("")))) > 0, F.col("grp"))
+    near = near.join(_own_corpus(docs, queries).select("query_id", corpus.alias("corpus")), "query_id")
+    spots = places(docs, near.where("corpus is not null").select("corpus", "doc_id"))
+    fused = fuse(near, bm25(docs, queries, config), spots, config)
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "dense_rank")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.final_k).select("query_id", "doc_id", "rrf", "rank")
 
 
+def _arrays(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch["v"].to_pylist(), float).reshape(batch.num_rows, -1)
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest of each query among the rows of its label: (query_id, vec_id, score, rank)."""
-    pairs = vectors.join(queries, "label").where(F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 9).alias("score"))
-    return top(scored, k, item="vec_id")
+    """Exact nearest of each query among the rows of its label: (query_id, vec_id, score, rank).
+
+    vectors: vec_id, label, embedding; queries: query_id, label, q. A row is no neighbour of its own.
+    """
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("grp"), F.col("embedding").alias("v"))
+    asked = queries.select("query_id", F.col("label").cast("string").alias("grp"), "q")
+    return nearest(rows, asked, k, _arrays, skip_own=True).withColumnRenamed("id", "vec_id")
 
 
 def best_per_document(hits: DataFrame, keep: int) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.vectors import dot
+from ..functions.text import strip
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -17,12 +21,26 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 
 def route(vectors: DataFrame, cells: DataFrame, reject: list[int], config: Config = DEFAULT) -> DataFrame:
-    """(vec_id, nearest, score, rejected): the nearest centroid, ties to the smaller label; cells: label, i, c."""
-    each = vectors.select("vec_id", F.posexplode("embedding").alias("i", "x")).join(cells, "i")
-    score = each.groupBy("vec_id", "label").agg(F.round(F.sum(F.col("x").cast("double") * F.col("c")), 9).alias("score"))
-    first = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
-    best = score.withColumn("i", F.row_number().over(first)).where("i = 1")
-    return best.select("vec_id", F.col("label").alias("nearest"), "score", (F.col("label").isin(reject) & (F.col("score") >= config.guardrail)).alias("rejected"))
+    """(vec_id, nearest, score, rejected): the nearest centroid, ties to the smaller label; cells: label, i, c.
+
+    The centroids, one per label (at most `config.labels` of them), are one array in every task: no vector is shuffled.
+    """
+    held = cells.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cells")).orderBy("label").limit(config.labels + 1).collect()
+    if len(held) > config.labels:
+        raise ValueError(f"more than {config.labels} labels; raise config.labels")
+    labels = np.array([r.label for r in held], np.int64)
+    matrix = np.array([[x.c for x in r.cells] for r in held])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(labels):
+                score = np.round(np.array(batch["embedding"].to_pylist(), float) @ matrix.T, 9)
+                best = score.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(labels[best]), pa.array(score[np.arange(len(best)), best])], names=["vec_id", "nearest", "score"])
+
+    kind = dict(cells.dtypes)["label"]
+    best = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(nearest, "vec_id long, nearest long, score double")
+    return best.select("vec_id", F.col("nearest").cast(kind).alias("nearest"), "score", (F.col("nearest").isin(reject) & (F.col("score") >= config.guardrail)).alias("rejected"))
 
 
 def exact_probe(asked: DataFrame, cached: DataFrame) -> DataFrame:
@@ -30,7 +48,7 @@ def exact_probe(asked: DataFrame, cached: DataFrame) -> DataFrame:
 
     asked: query_id, lang, text; cached: lang, text, response. (query_id, hit_lang, response).
     """
-    key = lambda c: F.lower(F.trim(c))
+    key = lambda c: F.lower(strip(c))
     langs = F.array(F.col("lang"), *[F.lit(x) for x in ("auto", "ta", "hi", "en", "te")])
     tries = asked.select("query_id", key(F.col("text")).alias("k"), F.posexplode(langs).alias("ord", "hit_lang"))
     kept = cached.select(F.col("lang").alias("hit_lang"), key(F.col("text")).alias("k"), "response")
@@ -38,12 +56,17 @@ def exact_probe(asked: DataFrame, cached: DataFrame) -> DataFrame:
     return hit.groupBy("query_id").agg(F.min(F.struct("ord", "response", "hit_lang")).alias("b")).select("query_id", F.col("b.hit_lang").alias("hit_lang"), F.col("b.response").alias("response"))
 
 
-def semantic_probe(best: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def semantic_probe(best: DataFrame, threshold: float = DEFAULT.cache_threshold) -> DataFrame:
     """best: query_id, lang, and the nearest cached entry (vec_id, score, entry_lang): hits above the threshold in the language."""
     ok = (F.col("lang") == "auto") | (F.col("lang") == F.col("entry_lang"))
-    return best.where((F.col("score") >= config.cache_threshold) & ok)
+    return best.where((F.col("score") >= threshold) & ok)
+
+
+def admitted(responses: DataFrame) -> DataFrame:
+    """Responses (answer, refused) that may enter a cache."""
+    return responses.where((F.coalesce("answer", F.lit("")) != "") & ~F.coalesce("refused", F.lit(False)))
 
 
 def oldest_out(entries: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The newest cache_items of entries (seq), in first-in first-out order."""
+    """The newest cache_items of entries (seq), in first-in first-out order: a top-k of each task's own, then of these."""
     return entries.orderBy(F.desc("seq")).limit(config.cache_items)

@@ -1,0 +1,4 @@
+"""All registered queries; importing the package registers them."""
+
+from . import evaluating, queries, shaping  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

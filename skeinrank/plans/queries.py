@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,36 +11,28 @@ from ..functions.ids import DNS_NAMESPACE, chunk_id, uuid5
 from ..operators import answers, chunking, evaluation, retrieval, routing
 from ..sources.store import table
 from ..streaming import latency, voice
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str = ""):
-    """Registers a query under its name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import QUERIES, query  # noqa: F401
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", "lang")
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """The benchmark's texts as questions, in the documents' languages and in one that has no documents."""
+    lang = F.element_at(F.array(*map(F.lit, ASKED_LANGUAGES)), (F.col("item_id") % len(ASKED_LANGUAGES) + 1).cast("int"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", lang.alias("lang"))
+
+
+#: Languages of the questions, dealt in turn.
+ASKED_LANGUAGES = ("en", "de", "fr", "es", "it")
+_ASKED = "(['en', 'de', 'fr', 'es', 'it'])[(item_id % 5 + 1)::INT]"
 
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 _TOKENS = r"""list_filter(regexp_split_to_array(lower({0}), '[\s.,;:!?()\[\]{{}}"''\-/\\।॥]+'), lambda x: length(x) > 1)"""
 
-_WINDOWS = f"""w AS (SELECT doc_id, text, {_WORDS.format("text")} AS ws FROM documents),
-c AS (SELECT doc_id, unnest(CASE WHEN len(ws) <= 256 THEN [{{'i': 0, 't': text}}] ELSE list_transform(range(0, ceil((len(ws) - 256) / 218.0)::BIGINT + 1),
+_WINDOWS = f"""w AS (SELECT doc_id, text, lang, {_WORDS.format("text")} AS ws FROM documents),
+c AS (SELECT doc_id, lang, unnest(CASE WHEN len(ws) <= 256 THEN [{{'i': 0, 't': text}}] ELSE list_transform(range(0, ceil((len(ws) - 256) / 218.0)::BIGINT + 1),
   lambda i: {{'i': i, 't': array_to_string(ws[i * 218 + 1 : i * 218 + 256], ' ')}}) END) AS c FROM w)"""
 
 
@@ -59,20 +49,23 @@ def char_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SPLIT = r"""m AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([।॥.!?؟])\s+', '\1' || chr(1), 'g'), '\n\s*', chr(1), 'g'), chr(1)),
-  lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)"""
+  lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(p) = 1 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 200
+  THEN regexp_extract_all(regexp_replace(p[1], '\s+', ' ', 'g'), ' ?(.{150}[^ ]*|.+)', 1) ELSE p END AS p FROM m)"""
 
 
-@query(f"WITH {_SPLIT} SELECT doc_id, len(p)::INT AS n_sentences, md5(array_to_string(p, '|')) AS digest FROM m WHERE NOT (len(p) = 1 AND length(text) > 200)")
+@query(f"WITH {_SPLIT} SELECT doc_id, len(p)::INT AS n_sentences, md5(array_to_string(p, '|')) AS digest FROM t")
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    cut = _docs(spark, sf).select("doc_id", "text", F.filter(F.transform(F.split("text", tx.SENTENCE_GAP), tx.strip), lambda x: x != "").alias("p"))
-    return cut.where(~((F.size("p") == 1) & (F.length("text") > 200))).select("doc_id", F.size("p").alias("n_sentences"), F.md5(F.array_join("p", "|")).alias("digest"))
+    """Every document's sentences; those of one long sentence are packed by words."""
+    cut = _docs(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("p"))
+    return cut.select("doc_id", F.size("p").alias("n_sentences"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-@query()
+@query(f"WITH {_SPLIT} SELECT doc_id, k::INT AS place, p[k] AS sentence FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM t)")
 def sentence_split_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's sentences, those of one long sentence packed by words; sentence_split leaves these out, as its SQL does."""
-    cut = _docs(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("p"))
-    return cut.select("doc_id", F.size("p").alias("n_sentences"), F.md5(F.array_join("p", "|")).alias("digest"))
+    """Every sentence, a row each."""
+    cut = _docs(spark, sf).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("place", "sentence"))
+    return cut.select("doc_id", (F.col("place") + 1).alias("place"), "sentence")
 
 
 @query()
@@ -98,13 +91,14 @@ def bm25_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("terms"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-_BM25 = f"""tok AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents),
-post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY doc_id, term),
-raw AS (SELECT term, ln((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS r FROM post GROUP BY term),
-idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-ask AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY query_id, term),
-bm AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(t)) FROM tok)))), 6) AS score
-  FROM post JOIN ask USING (term) JOIN idf USING (term) GROUP BY query_id, doc_id)"""
+_BM25 = f"""tok AS (SELECT doc_id, lang, {_TOKENS.format("text")} AS t FROM documents),
+post AS (SELECT doc_id, lang, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, lang, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY doc_id, lang, term),
+corpus AS (SELECT lang, count(*) AS docs, avg(len(t)) AS avgdl FROM tok GROUP BY lang),
+raw AS (SELECT lang, term, ln(any_value(docs) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS r FROM post JOIN corpus USING (lang) GROUP BY lang, term),
+idf AS (SELECT lang, term, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER (PARTITION BY lang) ELSE r END AS idf FROM raw),
+ask AS (SELECT query_id, lang, term, count(*) AS qf FROM (SELECT item_id AS query_id, {_ASKED} AS lang, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY query_id, lang, term),
+bm AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM post JOIN ask USING (lang, term) JOIN idf USING (lang, term) JOIN corpus USING (lang) GROUP BY query_id, doc_id)"""
 
 
 @query(f"WITH {_BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM bm) SELECT query_id, doc_id, score, rank::INT AS rank FROM k WHERE rank < 20")
@@ -126,12 +120,16 @@ def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DENSE = f"""{_cells("d", "doc_id", "documents")}, {_cells("q", "query_id", "(SELECT item_id AS query_id, text FROM benchmark)")},
-de AS (SELECT query_id, doc_id, round(sum(d.value * q.value), 9) AS score FROM d JOIN q ON d.bucket = q.bucket GROUP BY query_id, doc_id),
+asked AS (SELECT item_id AS query_id, {_ASKED} AS lang, {_ASKED} IN (SELECT lang FROM documents) AS known FROM benchmark),
+de AS (SELECT query_id, doc_id, round(sum(d.value * q.value), 9) AS score FROM d JOIN q ON d.bucket = q.bucket JOIN asked USING (query_id) JOIN documents o USING (doc_id)
+  WHERE NOT known OR o.lang = asked.lang GROUP BY query_id, doc_id),
 dt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM de) WHERE rank < 20)"""
 
 
-_HYBRID = f"""{_BM25}, {_DENSE}, br AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS s FROM bm),
-f AS (SELECT dt.query_id, dt.doc_id, dt.rank AS dr, round(1 / (60 + dt.rank) + 0.3 / (60 + coalesce(br.s, (SELECT count(*) FROM documents))), 9) AS rrf FROM dt LEFT JOIN br ON dt.query_id = br.query_id AND dt.doc_id = br.doc_id),
+#: The sparse ranks are those of every document of the language, also of those that score nothing.
+_HYBRID = f"""{_BM25}, {_DENSE}, br AS (SELECT query_id, o.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, o.doc_id) - 1 AS s
+  FROM asked JOIN documents o USING (lang) LEFT JOIN bm USING (query_id, doc_id)),
+f AS (SELECT dt.query_id, dt.doc_id, dt.rank AS dr, round(1 / (60 + dt.rank) + coalesce(0.3 / (60 + br.s), 0), 9) AS rrf FROM dt LEFT JOIN br ON dt.query_id = br.query_id AND dt.doc_id = br.doc_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr) AS rank FROM f)"""
 
 
@@ -178,7 +176,7 @@ SELECT query_id, hit_lang, response FROM (SELECT *, row_number() OVER (PARTITION
 def exact_cache_probe(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").where("role = 'user'")
     pick = lambda langs: F.element_at(F.array(*map(F.lit, langs)), (F.col("conv_id") % len(langs) + 1).cast("int"))
-    cached = c.select(pick(("en", "te", "hi")).alias("lang"), F.lower(F.trim("text")).alias("text"), F.md5("text").alias("response")).groupBy("lang", "text").agg(F.min("response").alias("response"))
+    cached = c.select(pick(("en", "te", "hi")).alias("lang"), F.lower(tx.strip(F.col("text"))).alias("text"), F.md5("text").alias("response")).groupBy("lang", "text").agg(F.min("response").alias("response"))
     return routing.exact_probe(c.select(F.col("conv_id").alias("query_id"), pick(("en", "ta", "hi", "auto")).alias("lang"), "text"), cached)
 
 
@@ -263,16 +261,16 @@ def context_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return answers.prompts(_asked(spark, sf), hits)
 
 
-@query(f"""WITH {_WINDOWS}, chunks AS (SELECT doc_id AS parent, left(sha256(c.t || 'slide:' || doc_id || ':' || c.i), 16) AS doc_id, c.t AS text FROM c), {_BM25.replace("documents", "chunks")},
+@query(f"""WITH {_WINDOWS}, chunks AS (SELECT doc_id AS parent, lang, left(sha256(c.t || 'slide:' || doc_id || ':' || c.i), 16) AS doc_id, c.t AS text FROM c), {_BM25.replace("documents", "chunks")},
 h AS (SELECT query_id, parent, doc_id AS id, score FROM bm JOIN chunks USING (doc_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY score DESC, id) AS i FROM h),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM o WHERE i = 1)
 SELECT query_id, parent AS doc_id, id, score, rank::INT AS rank, md5(d.text) AS digest FROM k JOIN documents d ON d.doc_id = k.parent WHERE rank < 2""")
 def window_hits_to_parents(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    chunks = chunking.window_chunks(docs).select("doc_id", "id", "text")
-    scores = retrieval.bm25(chunks.select(F.col("id").alias("doc_id"), "text"), _asked(spark, sf)).withColumnRenamed("doc_id", "id")
-    best = retrieval.best_per_document(scores.join(chunks, "id"), DEFAULT.final_k)
+    chunks = chunking.window_chunks(docs, keep=("lang",)).select("doc_id", "id", "text", "lang")
+    scores = retrieval.bm25(chunks.select(F.col("id").alias("doc_id"), "text", "lang"), _asked(spark, sf)).withColumnRenamed("doc_id", "id")
+    best = retrieval.best_per_document(scores.join(chunks.drop("lang"), "id"), DEFAULT.final_k)
     parents = docs.select(F.col("doc_id").alias("id"), "text")
     out = retrieval.to_parents(best.withColumn("parent_id", F.col("doc_id")), parents)
     return out.select("query_id", "doc_id", "id", "score", "rank", F.md5("text").alias("digest"))
