@@ -68,7 +68,16 @@ def sentence_split_all(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", (F.col("place") + 1).alias("place"), "sentence")
 
 
-@query()
+_JOINED = "trim(a.carry || ' ' || s)"
+#: Sentences in order, those under ten characters dropped and those of few words put before the next.
+_CHILDREN = f"""{_SPLIT}, r AS (SELECT doc_id, list_reduce(p, lambda a, s, i: CASE WHEN length({_JOINED}) < 10 THEN {{'carry': '', 'out': a.out}}
+  WHEN i < len(p) AND len({_WORDS.format(_JOINED)}) < 5 THEN {{'carry': {_JOINED}, 'out': a.out}} ELSE {{'carry': '', 'out': list_append(a.out, {{'t': {_JOINED}, 'i': i - 1}})}} END,
+  {{'carry': '', 'out': []::STRUCT(t VARCHAR, i BIGINT)[]}}).out AS o FROM t WHERE len(p) > 0),
+k AS (SELECT doc_id, unnest(o) AS c FROM r),
+child AS (SELECT doc_id, left(sha256(c.t || 'child:' || doc_id || ':' || c.i), 16) AS id, left(sha256(text || 'parent:' || doc_id), 16) AS parent_id, c.t AS text, c.i::INT AS chunk_index FROM k JOIN documents USING (doc_id))"""
+
+
+@query(f"WITH {_CHILDREN} SELECT * FROM child")
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.sentence_chunks(_docs(spark, sf))
 
@@ -78,10 +87,12 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where(tx.strip(F.col("text")) != "").select("doc_id", chunk_id(F.col("text"), F.concat(F.lit("parent:"), F.col("doc_id").cast("string"))).alias("id"))
 
 
-@query("SELECT doc_id, 0::BIGINT AS orphans FROM documents WHERE trim(text) <> '' AND doc_id < 0")
+@query(f"WITH {_CHILDREN} SELECT doc_id, count(*) AS orphans FROM child WHERE doc_id % 10 = 0 GROUP BY doc_id")
 def orphan_children(spark: SparkSession, sf: str) -> DataFrame:
+    """Children without a parent, where the parents of every tenth document are gone."""
     docs = _docs(spark, sf)
-    lost = chunking.sentence_chunks(docs).join(chunking.parents(docs).select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    kept = chunking.parents(docs.where("doc_id % 10 <> 0")).select(F.col("id").alias("parent_id"))
+    lost = chunking.sentence_chunks(docs).join(kept, "parent_id", "left_anti")
     return lost.groupBy("doc_id").agg(F.count("*").alias("orphans"))
 
 
@@ -244,12 +255,29 @@ def latency_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return latency.sessions(table(spark, sf, "events")).withColumn("start", F.unix_micros("start"))
 
 
-@query()
+@query("""WITH f AS (SELECT user_id AS stream_id, event_id AS seq, avg(value % 100 / 100) OVER (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING) AS p FROM events),
+g AS (SELECT stream_id, list({'q': seq, 'p': p} ORDER BY seq) AS f FROM f GROUP BY stream_id),
+r AS (SELECT stream_id, list_reduce(f, lambda a, x: CASE WHEN a.s = 0 THEN CASE WHEN x.p >= 0.5 THEN {'s': 1, 'n': 0, 'o': list_append(a.o, {'q': x.q, 'e': 'start'})} ELSE a END
+  WHEN x.p >= 0.5 THEN {'s': 1, 'n': 0, 'o': a.o} WHEN a.s = 2 THEN CASE WHEN a.n + 30 >= 200 THEN {'s': 0, 'n': 0, 'o': list_append(a.o, {'q': x.q, 'e': 'end'})} ELSE {'s': 2, 'n': a.n + 30, 'o': a.o} END
+  WHEN x.p < 0.35 THEN {'s': 2, 'n': 30, 'o': a.o} ELSE a END, {'s': 0, 'n': 0, 'o': []::STRUCT(q BIGINT, e VARCHAR)[]}).o AS o FROM g)
+SELECT stream_id, e.q AS seq, e.e AS event FROM (SELECT stream_id, unnest(o) AS e FROM r)""")
 def vad_segments(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), (F.col("value") % 100 / 100).alias("p"))
     return voice.segments(voice.smoothed(e))
 
 
+@query(r"""WITH m AS (SELECT conv_id, turn, regexp_replace(left(text, 30), '[^A-Za-z ]', '', 'g') AS t FROM conversations),
+x AS (SELECT conv_id AS session_id, turn AS seq, t, CASE WHEN turn % 6 IN (0, 1, 4) THEN 1 WHEN turn % 6 IN (2, 5) THEN 2 ELSE 0 END AS kind FROM m),
+l AS (SELECT session_id, kind, arg_max(t, seq) AS t FROM x WHERE kind = 1 OR (kind = 2 AND t <> '') GROUP BY session_id, kind)
+SELECT session_id, max(t) FILTER (kind = 1) AS partial, max(t) FILTER (kind = 2) AS final FROM l GROUP BY session_id""")
+def transcript_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages in each form of the speech service, also broken ones, to each session's last partial and final text."""
+    t = F.regexp_replace(F.left("text", F.lit(30)), "[^A-Za-z ]", "")
+    forms = ('{"event": "transcript.partial", "transcript": "%s"}', '{"transcript": "%s"}', '{"event": "transcript.final", "transcript": "%s"}', '{"transcript": "%s', '{"transcript": "%s", "is_final": false, "x": 1}', '{"type": "data", "data": {"transcript": "%s"}}')
+    body = F.element_at(F.array(*[F.format_string(x, t) for x in forms]), (F.col("turn") % len(forms) + 1).cast("int"))
+    return voice.transcripts(voice.messages(table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), body.alias("body"))))
+
+
 @query(r"""SELECT k.query_id, 'USER QUERY:' || chr(10) || any_value(b.text) || chr(10) || chr(10) || 'CONTEXT PASSAGES:' || chr(10) ||
   string_agg('[PASSAGE ' || rank || '] (doc_id=' || k.doc_id || ', lang=' || coalesce(d.lang, '??') || ', relevance=' || printf('%.3f', rrf) || ')' || chr(10) || regexp_replace(d.text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY rank)
   || chr(10) || chr(10) || 'Remember: Respond with ONLY valid JSON matching the required schema. No other text.' AS prompt
@@ -308,9 +336,19 @@ def transcript_final(spark: SparkSession, sf: str) -> DataFrame:
     return voice.transcripts(said).withColumn("winner", tx.transcript_winner(F.col("final"), F.col("partial")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(t) > 0 AND length(t) < 300 THEN t END AS answer, CASE WHEN length(t) > 0 AND length(t) < 300 THEN 0.9 ELSE 0 END::DOUBLE AS confidence,
-  NOT (length(t) > 0 AND length(t) < 300) AS refused, CASE WHEN t = '' THEN 'insufficient_context' WHEN length(t) >= 300 THEN 'parse_error' END AS refusal_reason
-  FROM (SELECT conv_id, turn, trim(text) AS t FROM conversations)""")
+@query(r"""WITH m AS (SELECT conv_id, turn, trim(regexp_replace(left(text, 25), '[^A-Za-z ]', '', 'g')) AS t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole, conv_id % 6 AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN k IN (0, 1, 2) THEN t WHEN k = 3 THEN NULL WHEN length(whole) > 0 AND length(whole) < 300 THEN whole END AS answer,
+  CASE WHEN k = 0 THEN 0.5 WHEN k = 1 THEN 0 WHEN k = 2 THEN 0.95 WHEN k = 3 THEN 0 WHEN length(whole) > 0 AND length(whole) < 300 THEN 0.9 ELSE 0 END::DOUBLE AS confidence,
+  CASE WHEN k IN (0, 1, 2) THEN false WHEN k = 3 THEN true ELSE NOT (length(whole) > 0 AND length(whole) < 300) END AS refused,
+  CASE WHEN k = 3 THEN 'parse_error' WHEN k IN (4, 5) AND whole = '' THEN 'insufficient_context' WHEN k IN (4, 5) AND length(whole) >= 300 THEN 'parse_error' END AS refusal_reason,
+  CASE k WHEN 0 THEN 'q1_p2,q3_p4' WHEN 1 THEN '' WHEN 2 THEN 'q7_p0' WHEN 3 THEN '' ELSE CASE WHEN length(whole) > 0 AND length(whole) < 300 THEN 'general_knowledge' ELSE '' END END AS sources FROM m""")
 def answer_documents(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "conversations").select("conv_id", "turn", answers.repaired(F.col("text")).alias("a"))
-    return a.select("conv_id", "turn", "a.answer", "a.confidence", "a.refused", "a.refusal_reason")
+    """Replies of a model as whole JSON in a fence, with keys missing behind a think tag, cut off, broken, and as text."""
+    t = F.trim(F.regexp_replace(F.left("text", F.lit(25)), "[^A-Za-z ]", ""))
+    forms = (
+        '```json\n{"answer": "%s", "sources": ["q1_p2", "q3_p4"], "confidence": 0.5, "language": "en", "refused": false, "refusal_reason": null}\n``` done',
+        '<think>hm {"answer": "no"}</think> {"answer": "%s"} bye', '{"answer": "%s", "sources": ["q7_p0"', "{nothing of use: %s",
+    )
+    body = F.element_at(F.array(*[F.format_string(x, t) for x in forms], F.col("text"), F.col("text")), (F.col("conv_id") % 6 + 1).cast("int"))
+    a = table(spark, sf, "conversations").select("conv_id", "turn", answers.repaired(body).alias("a"))
+    return a.select("conv_id", "turn", "a.answer", "a.confidence", "a.refused", "a.refusal_reason", F.array_join("a.sources", ",").alias("sources"))
