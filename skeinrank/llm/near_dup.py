@@ -21,8 +21,8 @@ that less likely than `miss` for a pair at the threshold.
 
 Edge cases: a null or empty text has an empty set, is linked with nothing and kept; a null doc_id sorts after all
 others and comes out as null; rows that share a doc_id, or have none, are judged each by its own text, and go only as near
-copies of a row that is kept; of equal rows one is kept; an empty table gives no rows; other columns are ignored by `groups`
-and kept by `keep`.
+copies of a row that is kept; of equal rows one is kept; an empty table gives no rows; texts of any length are shingled whole;
+other columns, whatever their names, are ignored by `groups` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, staged
+from .common import among, attach, fan, heavy, meet, staged, without
 
 NO_ID = 2**63 - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -178,8 +178,9 @@ def _estimate(p: NearDup, a: Column, b: Column) -> Column:
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, p: NearDup, name: str) -> DataFrame:
     """(node, set) of nodes (node), by the text of the least row of each class."""
-    rows = classes.join(nodes, "node", "left_semi").select("node", "least.doc_id", "least.text_hash")
-    found = staged(docs.join(rows, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), name)
+    rows = staged(classes.join(nodes, "node", "left_semi").select("node", "least.doc_id", "least.text_hash"), f"{name}-rows")
+    key = ["doc_id", "text_hash"]
+    found = staged(among(docs, rows.select(*key), key).join(rows, key).select("node", "text").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), name)
     # Equal rows give a set each.
     return found if found.groupBy("node").count().where("count > 1").isEmpty() else staged(found.dropDuplicates(["node"]), name)
 
@@ -234,23 +235,23 @@ def prefixes(sets: DataFrame, percent: int, slots: int = 2**20) -> DataFrame:
     frequency[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     found = staged(sets.mapInArrow(_prefixer(frequency, percent), "key long, node long, size long, pos long"), "prefixes")
     # A row counts only if what stands from it on could be enough with the smallest set of its bucket.
-    low = found.groupBy("key").agg(F.min("size").alias("low"), F.count("*").alias("of")).where("of > 1")
+    low = staged(found.groupBy("key").agg(F.min("size").alias("low"), F.count("*").alias("n")).where("n > 1"), "prefix-keys")
     other = F.greatest(F.col("low"), F.col("size") * percent / 100)
-    return found.join(low, "key").where((F.col("size") - F.col("pos")) * (100 + percent) >= (F.col("size") + other) * percent - 1e-6).select("key", "node", "size", "pos")
+    return meet(found, low, ["key"], found.count()).where((F.col("size") - F.col("pos")) * (100 + percent) >= (F.col("size") + other) * percent - 1e-6).select("key", "node", "size", "pos")
 
 
 def _undone(member: DataFrame, labels: DataFrame) -> DataFrame:
     """member (key, node, ...) of the buckets that hold several components, with label and n, the bucket's members."""
-    tagged = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    state = tagged.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "n")
-    return tagged.join(state, "key")
+    tagged = staged(member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+    state = tagged.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return meet(tagged, staged(state.select("key", "n"), "undone"), ["key"], tagged.count())
 
 
 def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """(node, label) of the classes that are linked with another; docs: doc_id, text_hash, text; classes: node, least, bands, sketch."""
     member = staged(classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node"), "bands")
-    buckets = member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    member = staged(member.join(buckets, "key"), "buckets")
+    buckets = staged(member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "hubs")
+    member = staged(meet(member, buckets, ["key"], member.count()), "buckets")
     tested = staged(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = _confirm(docs, classes, tested, p)
     labels = staged(components(found), "labels")
@@ -260,7 +261,6 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     open_ = staged(prefixes(sets, p.percent), "prefixes")
     many = p.hubs
 
-
     def fits(a: Column, b: Column, at: Column, bt: Column) -> Column:
         """Whether sets of sizes a and b whose first common shingle has the places at and bt can be similar enough."""
         return (F.least(a - at, b - bt) * (100 + p.percent) >= (a + b) * p.percent) & (F.least(a, b) * 100 >= F.greatest(a, b) * p.percent)
@@ -271,15 +271,17 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
             return labels
         x, y = (left.where(F.col("n") <= p.small).alias(c) for c in "xy")
         each = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.size"), F.col("y.size"), F.col("x.pos"), F.col("y.pos"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        big = left.where(F.col("n") > p.small).select("key", "node", "size", "pos", "label")
-        counts = big.groupBy("key", "label").agg(F.count("*").alias("of"))
-        order = Window.partitionBy("key").orderBy("of", "node")
-        hubs = staged(big.join(counts, ["key", "label"]).withColumn("i", F.row_number().over(order)).where(F.col("i") <= many).select("key", F.col("node").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hs"), F.col("pos").alias("hp")), "hubs")
-        star = big.join(hubs, "key").where((F.col("label") != F.col("hl")) & fits(F.col("size"), F.col("hs"), F.col("pos"), F.col("hp"))).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
+        big = left.where(F.col("n") > p.small).withColumnRenamed("n", "of")
+        counts = staged(big.groupBy("key", "label").agg(F.count("*").alias("n")), "counts")
+        total = left.count()
+        order = Window.partitionBy("key").orderBy("n", "node")
+        least = meet(big, counts, ["key", "label"], total).withColumn("i", F.row_number().over(order)).where(F.col("i") <= many)
+        hubs = staged(least.select("key", "of", F.col("node").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hs"), F.col("pos").alias("hp")), "hubs")
+        star = fan(big, hubs, "key", "of", heavy(total), "node").where((F.col("label") != F.col("hl")) & fits(F.col("size"), F.col("hs"), F.col("pos"), F.col("hp"))).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
         pairs = staged(each.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found, tested = found.union(_confirm(docs, classes, pairs, p)), tested.union(pairs)
         labels = staged(components(found), "labels")
-        open_ = big.join(hubs, (big["key"] == hubs["key"]) & (big["node"] == hubs["h"]), "left_anti").select("key", "node", "size", "pos")
+        open_ = big.join(hubs.select("key", F.col("h").alias("node")), ["key", "node"], "left_anti").select("key", "node", "size", "pos")
         many *= 4
 
 
@@ -297,14 +299,16 @@ def _verdict(docs: DataFrame, p: NearDup) -> DataFrame:
     key = ["n_shingles", "fp1", "fp2"]
     mine = F.struct("doc_id", "text_hash", "row")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy(*key).agg(F.min(mine).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = full.groupBy(*key).agg(F.min(mine).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("n"))
     # A class is a node by the place of its least row, which no other row has.
     classes = staged(classes.withColumn("node", F.col("least.row")), "classes")
     labels = links(core, classes, p)
     firsts = classes.join(labels, "node").groupBy(F.col("label").alias("of")).agg(F.min("least").alias("first"))
-    named = classes.join(labels, "node", "left").select(*key, "least", "node", F.coalesce("label", "node").alias("label"))
-    named = attach(named, staged(firsts, "firsts"), {"label": "of"}, ["node"]).select(*key, F.coalesce("first", "least").alias("first"))
-    return signed.select("doc_id", "text_hash", "row", *key).join(named, key, "left").select("doc_id", "text_hash", "row", "n_shingles", "first")
+    named = classes.join(labels, "node", "left").select(*key, "n", "least", "node", F.coalesce("label", "node").alias("label"))
+    named = staged(attach(named, staged(firsts, "firsts"), {"label": "of"}, ["node"]).select(*key, "n", F.coalesce("first", "least").alias("first")), "named")
+    names = ["doc_id", "text_hash", "row", "n_shingles", "first"]
+    out = meet(full.select("doc_id", "text_hash", "row", *key), named, key, signed.count()).select(*names)
+    return out.unionByName(signed.where("n_shingles = 0").select(*names[:-1], F.lit(None).cast(out.schema["first"].dataType).alias("first")))
 
 
 def groups(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -320,11 +324,10 @@ def keep(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     verdict = staged(_verdict(docs, p).where("first is not null").select("doc_id", "text_hash", "row", "first"), "verdict")
     # Rows of one key have the same text and stay or go together, but for the equals of a row that is kept.
     first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    key = ["__id", "__text_hash"]
-    named = lambda d: d.select(F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1])).distinct()
-    keyed = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key[1]: F.xxhash64("text")})
-    rest = keyed.join(named(verdict.where(~first)), key, "left_anti")
-    equal = named(verdict.where(first & (F.col("row") != F.col("first.row"))))
+    key = ["doc_id", "text_hash"]
+    rows = docs.select(F.struct("*").alias("whole"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    rest = without(rows, staged(verdict.where(~first).select(*key).distinct(), "gone"), key)
+    equal = staged(verdict.where(first & (F.col("row") != F.col("first.row"))).select(*key).distinct(), "equal")
     if not equal.isEmpty():
-        rest = rest.join(equal, key, "left_anti").unionByName(rest.join(equal, key, "left_semi").dropDuplicates(key))
-    return rest.select(*docs.columns)
+        rest = without(rest, equal, key).unionByName(among(rest, equal, key).dropDuplicates(key))
+    return rest.select("whole.*")
