@@ -6,13 +6,14 @@ directory (ones before each block of 512 bits), so that the id at any place is r
 ids of a document by one slice per level, without decoding what stands before.
 
 Files are written by Spark's own committed writers and read by its binary reader, so they may lie in any store Spark
-can reach. Layout of a shard, little-endian: magic, length, partition, documents, ids, ids of the partition before it,
+can reach; a file has at most `file_shards` shards, so that none outgrows one row of that reader. Layout of a shard, little-endian: magic, length, partition, documents, ids, ids of the partition before it,
 levels (unsigned 64-bit each after the 8-byte magic), a null flag per document, document ids (signed 64-bit), document
 starts (unsigned 64-bit, one more than documents), then per level its count, chunks, bitmap and directory. A file holds
 shards, each followed by one line feed.
 
 Edge cases: a null or empty text is just the end id; null doc_ids come first; rows that share a doc_id are ordered by
-their text; an empty table makes no shard and no rows; other columns are ignored; a text is never cut between shards.
+their text; an empty table makes no shard and no rows; other columns, whatever their names, are ignored; a text is never
+cut between shards, so that a very long one makes a long shard.
 """
 
 from __future__ import annotations
@@ -143,11 +144,12 @@ def _writer(tokenizer: str, end_id: int, shard_ids: int):
     return write
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 1_000_000) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 1_000_000, file_shards: int = 64) -> None:
     """Writes the ids of every text of docs, each followed by end_id, under path, in ascending doc_id order."""
     core = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ordered = core.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
-    ordered.mapInArrow(_writer(tokenizer, end_id, shard_ids), "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("compression", "none").text(path)
+    made = ordered.mapInArrow(_writer(tokenizer, end_id, shard_ids), "shard binary").select(F.col("shard").cast("string").alias("value"))
+    made.write.option("compression", "none").option("maxRecordsPerFile", file_shards).text(path)
 
 
 def _reader(batches):
@@ -155,12 +157,10 @@ def _reader(batches):
     for batch in batches:
         for content in batch["content"]:
             for shard in shards(content.as_py()):
-                rows = [[] for _ in names]
-                for k, doc in enumerate(shard.doc_ids):
-                    ids = shard.document(k)
-                    for row, x in zip(rows, (doc, shard.partition, shard.before + int(shard.starts[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
-                        row.append(x)
-                yield pa.RecordBatch.from_pydict({n: pa.array(r, pa.int64()) for n, r in zip(names, rows, strict=True)})
+                ids, ends = memoryview(shard.slice(0, shard.n_ids).astype("<u4")).cast("B"), (4 * shard.starts).tolist()
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                rows = [shard.doc_ids, np.full(shard.n_docs, shard.partition), shard.before + shard.starts[:-1], np.diff(shard.starts), crc]
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=list(names))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -9,8 +9,11 @@ from struct import pack
 #: A blank between two visible characters always starts a new piece in a byte-level BPE of this pattern, and what
 #: stands after it doesn't depend on what stands before: words can be encoded on their own.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s")
+_GAP = re.compile(r"\s\s")
+#: A piece also ends between a letter or digit and a full stop or comma.
+_MARK = re.compile(r"(?<=[^\W_])[.,]")
 _TAIL = re.compile(r"(\w+)([^\w\s]+)")
+_OTHER_SPACE = re.compile(r"[^\S\n]")
 #: Words kept in each of the two generations of a worker's memory.
 KEPT_WORDS = 400_000
 
@@ -55,7 +58,7 @@ class _Memory(dict):
             return self["\0" + two[1] if bare else two[1]] + self["\0" + two[2]]
         # A single line feed between visible characters: a piece of its own.
         lines = word.split("\n")
-        if len(lines) > 1 and all(lines) and len(word.split()) == len(lines):
+        if len(lines) > 1 and all(lines) and not _OTHER_SPACE.search(word):
             return self["\0" + lines[0] if bare else lines[0]] + b"".join([self["\0\n"] + self["\0" + x] for x in lines[1:]])
         return self.whole(word if bare else " " + word)
 
@@ -92,12 +95,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self._by_word or self._added and self._added.search(text):
+        if not self._by_word or "\0" in text or self._added and self._added.search(text):
             return self._whole(text)
-        odd = text[0] == " " or text[-1] == " " or _ODD.search(text) is not None
-        first, *rest = _CUT.split(text) if odd else text.split(" ")
-        words = self._words
-        return words["\0" + first] + b"".join([words[w] for w in rest])
+        if text[0].isspace() or text[-1].isspace() or _GAP.search(text):
+            parts = _CUT.split("\0" + text)
+        else:
+            parts = ("\0" + _MARK.sub(r" \0\g<0>", text).replace("\n", " \0\n \0")).split(" ")
+        return b"".join(map(self._words.__getitem__, parts))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
