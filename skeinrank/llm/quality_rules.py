@@ -1,15 +1,19 @@
 """Quality rules: statistics of whole texts, fixed base rules, and robust multivariate outliers.
 
-A minimum-covariance-determinant estimate is made for each language and source from transformed statistics: starting
-from medians, concentration steps keep the half of a group's documents nearest to its present centre and estimate
-mean and covariance from them again. Groups under `MIN_GROUP` documents use the estimate of their language; languages
-under it, none. A document is rejected where its squared Mahalanobis distance, from means and covariance reweighted
-and scaled for consistency, exceeds `cutoff`. All of it is DataFrame functions: moments are partial sums, medians are
-percentile sketches, and the 5 x 5 inversion is a Cholesky factor written out as columns.
+A minimum-covariance-determinant estimate is made for each language and source from transformed statistics. Every group
+is started from its coordinate medians and from `STARTS` random subsets (by hash) of a dozen rows. Concentration steps
+keep the half of a group's documents nearest to the present centre and estimate mean and covariance from them again; after
+`FIRST_STEPS` the start whose half has the least determinant goes on, until no group's determinant falls any more. The
+estimate is made consistent by its median distance, and reweighted: mean and covariance of the rows within the 0.975 point
+of the chi-square distribution, scaled by the median distance anew. Groups under `MIN_GROUP` documents use the estimate of
+their language, languages under it that of all documents, and a corpus under it has none. A document is rejected where its
+squared Mahalanobis distance exceeds `cutoff`. All of it is DataFrame functions: moments are partial sums, halves are cut
+at percentile sketches (relative rank error under 1 / `RANKS`), and the 5 x 5 inversion is a Cholesky factor written out as
+columns.
 
 Edge cases: a null or empty text has zero statistics and fails the base rules; null language and null source are
-groups of their own; constant statistics are held by the variance floors `FLOORS`; repeated rows are rows; an empty
-table gives no rows; other columns are left alone.
+groups of their own; constant statistics are held by the variance floors `FLOORS`; repeated rows are rows; very long texts
+are counted whole; an empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -26,13 +30,21 @@ DIMS = ("log_words", "word_len", "symbols", "dup_lines", "repeats")
 #: Least standard deviations of the transformed statistics: what is closer than this is never told apart.
 FLOORS = (1.0, 0.5, 0.05, 0.25, 0.25)
 MIN_GROUP = 40
-STEPS = 4
-#: Median and 0.99999 point of the chi-square distribution with five degrees of freedom (fixed values).
-CHI_MEDIAN, CHI_FAR = 4.351460191095526, 30.856189940472984
+STARTS, SUBSET = 2, 12
+#: Concentration steps of every start, and at most of the best one.
+FIRST_STEPS, STEPS = 2, 20
+RANKS = 2000
+#: Median, 0.975 and 0.99999 points of the chi-square distribution with five degrees of freedom (fixed values).
+CHI_MEDIAN, CHI_NEAR, CHI_FAR = 4.351460191095526, 12.832501994030027, 30.856189940472984
 
 
 def _window_hashes(words: Column, k: int) -> Column:
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    """A hash of every k words in a row: each word is hashed once, then neighbours are folded together k - 1 times."""
+    n = F.size(words)
+    out = hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for j in range(1, k):
+        out = F.zip_with(F.slice(out, 1, F.greatest(n - j, F.lit(0))), F.slice(hashes, j + 1, n), lambda a, b: F.xxhash64(a, b))
+    return F.when(n >= k, out).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(hashes: Column, k: int) -> Column:
@@ -98,12 +110,12 @@ def _with_distance(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumn("d2", total).drop(*[f"z{i}" for i in range(len(DIMS))])
 
 
-def _moments(df: DataFrame, prefix: str) -> DataFrame:
-    """Per __group: means, Cholesky factor of the covariance (floored), and the number of rows."""
+def _moments(df: DataFrame, prefix: str, by: list[str]) -> DataFrame:
+    """Per key: means, Cholesky factor of the covariance (floored), its log determinant, and the number of rows."""
     p = len(DIMS)
     aggs = [F.avg(f"x{i}").alias(f"{prefix}m{i}") for i in range(p)]
     aggs += [(F.covar_pop(f"x{i}", f"x{j}")).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = df.groupBy("__group").agg(*aggs, F.count("*").alias(f"{prefix}n"))
+    out = df.groupBy(*by).agg(*aggs, F.count("*").alias(f"{prefix}n"))
     for i in range(p):
         out = out.withColumn(f"c{i}{i}", F.col(f"c{i}{i}") + F.lit(FLOORS[i] ** 2))
     for i in range(p):
@@ -112,7 +124,9 @@ def _moments(df: DataFrame, prefix: str) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"{prefix}l{i}{k}") * F.col(f"{prefix}l{j}{k}")
             out = out.withColumn(f"{prefix}l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"{prefix}l{j}{j}"))
-    return out.select(F.col("__group").alias(f"{prefix}group"), *[c for c in out.columns if c.startswith(prefix)])
+    det = reduce(lambda a, b: a + b, [F.log(F.col(f"{prefix}l{i}{i}")) for i in range(p)])
+    out = out.withColumn(f"{prefix}det", 2 * det)
+    return out.select(*[F.col(c).alias(f"{prefix}{c.strip('_')}") for c in by], *[c for c in out.columns if c.startswith(prefix)])
 
 
 def prepared(stats: DataFrame) -> DataFrame:
@@ -124,42 +138,73 @@ def prepared(stats: DataFrame) -> DataFrame:
     return out.withColumns({"__own": F.to_json(F.struct(lang.alias("l"), source.alias("s"))), "__lang": F.to_json(F.struct(lang.alias("l")))})
 
 
-def estimates(fit: DataFrame) -> DataFrame:
-    """Per __group of fit (x0..x4, __group, __spread): centre, factor and scale in columns g_*, from concentration steps."""
-    middle = fit.groupBy("__group").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"g_m{i}") for i in range(len(DIMS))])
-    middle = middle.withColumnRenamed("__group", "g_group")
-    middle = middle.withColumns({f"g_l{i}{j}": F.lit(FLOORS[i] if i == j else 0.0) for i in range(len(DIMS)) for j in range(i + 1)})
-    now = staged(middle, "mcd-0")
+def _scale(half: Column) -> Column:
+    """A group's median distance is made that of a Gaussian, where it is larger."""
+    return F.greatest(half / CHI_MEDIAN, F.lit(1.0))
+
+
+def _halved(df: DataFrame, now: DataFrame, keys: dict[str, str], name: str) -> tuple[DataFrame, DataFrame]:
+    """df with d2 by the estimates now, and (staged) now with h_half, the median of d2."""
+    far = _with_distance(attach(df, now, keys, ["__spread"]), "g_").select(*keys, "__spread", "d2", *[f"x{i}" for i in range(len(DIMS))])
+    half = far.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, RANKS).alias("h_half")).withColumnsRenamed({a: f"h_{a}" for a in keys})
+    joined = now.join(half, reduce(lambda a, b: a & b, [now[g] == half[f"h_{k}"] for k, g in keys.items()])).drop(*[f"h_{k}" for k in keys])
+    return far, staged(joined, name)
+
 
-    def halves(name: str) -> tuple[DataFrame, DataFrame]:
-        far = _with_distance(attach(fit, now, {"__group": "g_group"}, ["__spread"]), "g_").select("__group", "__spread", "d2", *[f"x{i}" for i in range(len(DIMS))])
-        half = far.groupBy("__group").agg(F.percentile_approx("d2", 0.5, 2000).alias("h_half"))
-        return far, staged(half.withColumnRenamed("__group", "h_group"), name)
+def _step(df: DataFrame, now: DataFrame, keys: dict[str, str], name: str, reach: Column | None = None) -> DataFrame:
+    """One concentration step: the moments of each key's nearer half (or of what is within reach, in terms of h_half)."""
+    far, half = _halved(df, now, keys, f"{name}-half")
+    bound = half.select(*keys.values(), "h_half")
+    near = attach(far, bound, keys, ["__spread"]).where(F.col("d2") <= (F.col("h_half") if reach is None else reach))
+    return staged(_moments(near, "g_", list(keys)), name)
 
+
+def estimates(fit: DataFrame) -> DataFrame:
+    """Per __group of fit (x0..x4, __group, __spread; read several times): centre, factor and scale in columns g_*."""
+    p, every = len(DIMS), F.sequence(F.lit(0), F.lit(STARTS))
+    xs = [f"x{i}" for i in range(p)]
+    middle = fit.groupBy("__group").agg(*[F.percentile_approx(x, 0.5, RANKS).alias(f"g_m{i}") for i, x in enumerate(xs)], F.count("*").alias("g_n"))
+    sizes = staged(middle, "mcd-middle")
+    middle = sizes.select(F.col("__group").alias("g_group"), F.lit(0).alias("g_start"), "g_n", *[f"g_m{i}" for i in range(p)], F.lit(0.0).alias("g_det"), *[F.lit(FLOORS[i] if i == j else 0.0).alias(f"g_l{i}{j}") for i in range(p) for j in range(i + 1)])
+    # A start's subset: every m-th row or so by a hash of its own.
+    some = attach(fit, sizes.select(F.col("__group").alias("n_group"), F.ceil(F.col("g_n") / SUBSET).alias("n_every")), {"__group": "n_group"}, ["__spread"])
+    some = some.withColumn("__start", F.explode(F.sequence(F.lit(1), F.lit(STARTS)))).where(F.pmod(F.xxhash64("__spread", "__start"), F.col("n_every")) == 0)
+    names = ["g_group", "g_start", "g_n", "g_det", *[f"g_m{i}" for i in range(p)], *[f"g_l{i}{j}" for i in range(p) for j in range(i + 1)]]
+    now = staged(middle.select(*names).unionByName(_moments(some, "g_", ["__group", "__start"]).select(*names)), "mcd-starts")
+    wide, keys = fit.withColumn("__start", F.explode(every)), {"__group": "g_group", "__start": "g_start"}
+    for step in range(FIRST_STEPS):
+        now = _step(wide, now, keys, f"mcd-first-{step}")
+    # The least determinant, and of equals the first start.
+    best = now.groupBy("g_group").agg(F.min(F.struct("g_det", "g_start", *[c for c in names if c not in ("g_group", "g_det", "g_start")])).alias("b"))
+    now, keys = staged(best.select("g_group", "b.*").drop("g_start"), "mcd-best"), {"__group": "g_group"}
     for step in range(STEPS):
-        far, half = halves(f"mcd-half-{step}")
-        now = staged(_moments(attach(far, half, {"__group": "h_group"}, ["__spread"]).where("d2 <= h_half"), "g_"), f"mcd-{step + 1}")
-    # Consistency: a group's median distance is made that of a Gaussian, where it is larger.
-    _, half = halves("mcd-half-last")
-    scaled = now.join(half, now["g_group"] == half["h_group"]).withColumn("g_scale", F.greatest(F.col("h_half") / CHI_MEDIAN, F.lit(1.0)))
-    return scaled.drop("h_group", "h_half")
+        after = _step(fit, now, keys, f"mcd-{step}")
+        fall = now.join(after.select(F.col("g_group").alias("a_group"), F.col("g_det").alias("a_det")), F.col("g_group") == F.col("a_group")).agg(F.max(F.col("g_det") - F.col("a_det"))).first()[0]
+        now = after
+        if fall is None or fall < 1e-3:
+            break
+    near = _step(fit, now, keys, "mcd-near", reach=_scale(F.col("h_half")) * CHI_NEAR)
+    return _halved(fit, near, keys, "mcd-scaled")[1].withColumn("g_scale", _scale(F.col("h_half"))).drop("h_half", "g_det", "g_n")
 
 
 def fitted(stats: DataFrame) -> DataFrame:
     """Per key __own of stats (prepared; read several times, so staged): the estimate that judges its documents."""
     xs = [f"x{i}" for i in range(len(DIMS))]
-    own = staged(stats.groupBy("__own", "__lang").agg(F.count_if(~F.col("base_failed")).alias("k_n")).withColumnsRenamed({"__own": "k_own", "__lang": "k_lang"}), "mcd-own")
-    # A language's own estimate is made, from all its documents, only where one of its groups is too small for one.
-    wide = own.groupBy("k_lang").agg(F.sum("k_n").alias("k_all"), F.min("k_n").alias("k_min")).where((F.col("k_min") < MIN_GROUP) & (F.col("k_all") >= MIN_GROUP))
-    need = staged(own.join(wide.select(F.col("k_lang").alias("w_lang"), F.lit(True).alias("k_wide")), F.col("k_lang") == F.col("w_lang"), "left").select("k_own", "k_n", "k_wide"), "mcd-need")
-    fit = attach(stats.where(~F.col("base_failed")), need, {"__own": "k_own"}, ["__spread"])
-    groups = F.array_compact(F.array(F.when(F.col("k_n") >= MIN_GROUP, F.col("__own")), F.when(F.col("k_wide"), F.col("__lang"))))
-    est = estimates(fit.select(F.explode(groups).alias("__group"), "__spread", *xs))
-    names = [c for c in est.columns if c != "g_group"]
-    by_own = own.join(est, own["k_own"] == est["g_group"], "left").drop("g_group")
-    by_lang = est.select(F.col("g_group").alias("e_group"), *[F.col(c).alias(f"e_{c}") for c in names])
-    out = by_own.join(by_lang, by_own["k_lang"] == by_lang["e_group"], "left")
-    return staged(out.select("k_own", *[F.coalesce(F.when(F.col("k_n") >= MIN_GROUP, F.col(c)), F.col(f"e_{c}")).alias(c) for c in names]), "mcd-last")
+    own = stats.groupBy("__own", "__lang").agg(F.count_if(~F.col("base_failed")).alias("k_n")).withColumnsRenamed({"__own": "k_own", "__lang": "k_lang"})
+    own = staged(own, "mcd-own")
+    # A wider group's estimate is made, from all its documents, only where a narrower one in it is too small for one.
+    wide = own.groupBy("k_lang").agg(F.sum("k_n").alias("w_n"), (F.min("k_n") < MIN_GROUP).alias("w_need")).withColumnRenamed("k_lang", "w_lang")
+    whole = wide.agg(F.coalesce(F.max((F.col("w_n") < MIN_GROUP) & F.col("w_need")), F.lit(False)).alias("v_need"))
+    need = staged(own.join(wide, F.col("k_lang") == F.col("w_lang")).drop("w_lang").join(F.broadcast(whole), F.lit(True)), "mcd-need")  # one row
+    fit = attach(stats.where(~F.col("base_failed")).select("__own", "__lang", "__spread", *xs), need, {"__own": "k_own"}, ["__spread"])
+    every = F.lit("{}")
+    groups = F.array_compact(F.array(F.when(F.col("k_n") >= MIN_GROUP, F.col("__own")), F.when(F.col("w_need") & (F.col("w_n") >= MIN_GROUP), F.col("__lang")), F.when(F.col("v_need"), every)))
+    est = estimates(staged(fit.select(F.explode(groups).alias("__group"), "__spread", *xs), "mcd-rows"))
+    sizes = need.select("k_own", F.when(F.col("k_n") >= MIN_GROUP, F.col("k_own")).when(F.col("w_n") >= MIN_GROUP, F.col("k_lang")).otherwise(every).alias("k_group"))
+    total = own.agg(F.coalesce(F.sum("k_n"), F.lit(0))).first()[0]
+    if total < MIN_GROUP:
+        est = est.where("false")
+    return staged(sizes.join(est, F.col("k_group") == F.col("g_group"), "left").drop("k_group", "g_group"), "mcd-last")
 
 
 def judged(stats: DataFrame, est: DataFrame, cutoff: float) -> DataFrame:
@@ -168,19 +213,14 @@ def judged(stats: DataFrame, est: DataFrame, cutoff: float) -> DataFrame:
     return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
 
 
-def _core(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "lang", "source", "text")
-
-
 def rules(docs: DataFrame, cutoff: float = CHI_FAR) -> DataFrame:
     """Per document: doc_id, the statistics, base_failed, d2 and kept."""
-    stats = staged(prepared(statistics(_core(docs))).drop("text"), "quality-stats")
+    stats = staged(prepared(statistics(docs.select("doc_id", "lang", "source", "text"))).drop("text"), "quality-stats")
     return judged(stats, fitted(stats), cutoff).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept")
 
 
 def keep(docs: DataFrame, cutoff: float = CHI_FAR) -> DataFrame:
-    """The rows of docs that are kept: those whose hash of identity and text isn't among the rejected ones."""
-    key = F.xxhash64("doc_id", "lang", "source", "text")
-    stats = staged(prepared(statistics(_core(docs).withColumn("__key", key))).drop("text"), "quality-stats")
-    gone = staged(judged(stats, fitted(stats), cutoff).where(~F.col("kept")).select("__key").distinct(), "quality-rejected")
-    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)
+    """The rows of docs that are kept; every row is staged once beside its statistics, so that none is looked up again."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "lang", "source", "text")
+    stats = staged(prepared(statistics(rows)).drop("text"), "quality-rows")
+    return judged(stats, fitted(stats), cutoff).where("kept").select("row.*")
