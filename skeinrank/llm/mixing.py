@@ -2,14 +2,16 @@
 
 Sizes are summed per source, a target per source follows from the weights, and the repetition rate of a source is its
 target over its size. Every document is emitted floor(rate) times, and once more with probability equal to the
-fraction. The extra copies are hash-seeded Bernoulli draws: inside a stratum (a source, a size class and a hash bucket
-of bounded size) the documents stand in hash order, and the i-th takes its copy where i * fraction + u passes an
-integer, u being the stratum's hash. Each draw has exactly the fraction as its probability, and within a stratum the
-draws lean against each other, so a source's total lands near its target even where a few documents hold most words.
-
-Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own, last in order; an empty
-table gives no rows; repeated rows are documents of their own, and each has its own draw; other columns are ignored by
-`plan` and kept by `emit`.
+fraction: a Bernoulli draw on the hash of a seed with the document's id, source and text, so that a document's copies
+depend on nothing but itself and its source's rate, and `emit` draws on the rows themselves, without a join.
+
+Where few documents hold most of a source's words, one set of draws may miss the target by far. So `seeds` sets of draws
+are tried, each with its own seed, in one aggregation of partial sums, and every source takes the seed whose total comes
+nearest to its target (the first of equals). The draws stay one Bernoulli draw per document.
+
+Edge cases: a null text has size 0 and takes no words, though its row is drawn like any other; a null source is a source
+of its own, last in order; an empty table gives no rows; rows that repeat a document in all of id, source and text draw
+alike; other columns, whatever their names, are ignored by `plan` and kept by `emit`; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, attach, staged
 
-#: Rows of one stratum of the draws, on average at most.
-STRATUM_ROWS = 2048
+#: Draws of a document are told apart by these columns.
+_IDENTITY = ("doc_id", "source", "text_md5")
 
 
 def hash_unit(*parts: Column) -> Column:
@@ -30,10 +32,17 @@ def hash_unit(*parts: Column) -> Column:
 
 
 def weigh(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """sources (one row each: source, total, docs) with their weights: by code point, null last, repeating."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    """sources (one row each: source, total) with their weights: by code point, null last, repeating.
+
+    Sources are sorted in ranges; each row counts its place in its range and adds the sizes of those before.
+    """
+    dealt = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    placed = staged(dealt.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))), "mix-order")
+    per = placed.groupBy("part").agg(F.count("*").alias("n"))  # a row per range
+    base = per.select(F.col("part").alias("b_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("b_before"))
     w = F.array(*[F.lit(float(x)) for x in weights])
-    return sources.withColumn("weight", F.element_at(w, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
+    place = F.pmod(F.col("b_before") + F.col("i") - 1, F.lit(len(weights))) + 1
+    return attach(placed, base, {"part": "b_part"}, ["source"]).withColumn("weight", F.element_at(w, place.cast("int"))).drop("part", "i", "b_before")
 
 
 def targets(weighted: DataFrame, share: float, cap: float) -> DataFrame:
@@ -56,37 +65,46 @@ def targets(weighted: DataFrame, share: float, cap: float) -> DataFrame:
         met, level = row.met, (amount - row.held) / row.open
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, rate, copies, taken (= size * copies)."""
+def _drawn(seed: Column) -> Column:
+    """Whether a document takes its extra copy, by the seed."""
+    return hash_unit(seed, *[F.col(c) for c in _IDENTITY]) < F.col("rate") - F.floor("rate")
+
+
+def _rated(rows: DataFrame, dim: DataFrame) -> DataFrame:
+    return attach(rows, dim, {"source": "d_source"}, ["doc_id", "text_md5"]).withColumnsRenamed({f"d_{c}": c for c in ("source_size", "target", "rate", "seed") if f"d_{c}" in dim.columns})
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """Per row of docs, in its order: row (all its columns), doc_id, source, size and the md5 of the text."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = staged(docs.select("doc_id", "source", words.alias("size")), "mix-sizes")
-    per = sizes.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    dim = staged(targets(weigh(per, weights), share, cap), "mix-targets").select(
-        F.col("source").alias("__source"), F.col("total").alias("source_size"), "target",
-        F.greatest(F.lit(1), F.ceil(F.col("n") / STRATUM_ROWS)).cast("int").alias("__buckets"),
-    )
-    rated = attach(sizes, dim, {"source": "__source"}, ["doc_id", "size"]).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    rated = rated.withColumns({
-        "__u": hash_unit(F.lit(seed), F.col("doc_id"), F.col("source")),
-        "__class": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 2).cast("int"),
-    }).withColumn("__bucket", F.floor(F.col("__u") * F.col("__buckets")).cast("int"))
-    stratum = [F.col("source"), F.col("__class"), F.col("__bucket")]
-    i = F.row_number().over(Window.partitionBy(*stratum).orderBy("__u", "doc_id", "size"))
-    fraction = F.col("rate") - F.floor("rate")
-    start = hash_unit(F.lit(seed + 1), *stratum)
-    rated = rated.withColumns({"__i": i, "__f": fraction, "__s": start})
-    extra = F.floor(F.col("__i") * F.col("__f") + F.col("__s")) - F.floor((F.col("__i") - 1) * F.col("__f") + F.col("__s"))
-    copies = (F.floor("rate") + extra).cast("int")
-    return rated.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
-
-
-def emit(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mixed rows of docs, with the columns of docs: each document as often as `plan` says."""
-    times = plan(docs, weights, share, cap, seed).where("copies > 0").select(F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    # Repeated rows share a key: their copies are summed over the rows first, and each row takes an equal part.
-    key = ["__doc_id", "__source", "__size"]
-    times = times.groupBy(*key).agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__rows"))
-    sized = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    on = sized["doc_id"].eqNullSafe(times["__doc_id"]) & sized["source"].eqNullSafe(times["__source"]) & (sized["__n"] == times["__size"])
-    copies = F.greatest(F.lit(1), F.round(F.col("__copies") / F.col("__rows"))).cast("int")
-    return sized.join(times, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    return docs.select(F.struct("*").alias("row"), "doc_id", "source", words.alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def rates(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int, seeds: int) -> DataFrame:
+    """Per source of sizes (staged): d_source, d_source_size, d_target, d_rate, and d_seed, the seed of its draws."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("total"))
+    rate = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
+    dim = staged(targets(staged(weigh(per, weights), "mix-weights"), share, cap).select(F.col("source").alias("d_source"), F.col("total").alias("d_source_size"), F.col("target").alias("d_target"), rate.alias("d_rate")), "mix-targets")
+    sums = [F.sum(F.when(_drawn(F.lit(seed + i)), F.col("size")).otherwise(0)).alias(f"s{i}") for i in range(seeds)]
+    tried = _rated(sizes, dim).groupBy("source", "target", "source_size", "rate").agg(*sums)
+    miss = lambda i: F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{i}") - F.col("target"))
+    best = F.least(*[F.struct(miss(i).alias("miss"), F.lit(seed + i).alias("seed")) for i in range(seeds)])["seed"]
+    return staged(tried.select(F.col("source").alias("d_source"), F.col("source_size").alias("d_source_size"), F.col("target").alias("d_target"), F.col("rate").alias("d_rate"), best.alias("d_seed")), "mix-rates")
+
+
+def _copies(rows: DataFrame, dim: DataFrame) -> DataFrame:
+    return _rated(rows, dim).withColumn("copies", (F.floor("rate") + F.when(_drawn(F.col("seed")), 1).otherwise(0)).cast("int"))
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, seeds: int = 16) -> DataFrame:
+    """Per document: doc_id, size, source, source_size, target, rate, copies, taken (= size * copies)."""
+    sizes = staged(_sized(docs).drop("row"), "mix-sizes")
+    out = _copies(sizes, rates(sizes, weights, share, cap, seed, seeds))
+    return out.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def emit(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, seeds: int = 16) -> DataFrame:
+    """The mixed rows of docs, with the columns of docs: each document exactly as often as `plan` says."""
+    sizes = staged(_sized(docs).drop("row"), "mix-sizes")
+    out = _copies(_sized(docs), rates(sizes, weights, share, cap, seed, seeds))
+    return out.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

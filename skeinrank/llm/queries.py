@@ -14,8 +14,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Listed hosts of the URL query, which with their subdomains are blocked where no rule fits.
-LISTED_HOSTS = ("ads-track.example.com", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com")
+#: Listed labels of the URL query: names of sites for advertising, gambling, pharmacy and adult spam, blocked under
+#: every domain where no rule fits. A parameter of the query, chosen by what the names say.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret key of surrogates: the session's setting skeinrank.pii.key; without it, one for tests."""
+    return spark.conf.get("skeinrank.pii.key", "for tests only").encode()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +55,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    hosts = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
-    return url_filter.judge(_table(spark, sf_dir, "pages"), rules, hosts)
+    labels = spark.createDataFrame([(x,) for x in LISTED_LABELS], "label string")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), rules, labels)
 
 
 def op8_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def op8_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(_table(spark, sf_dir, "documents"))
+    return pii.surrogates(_table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,22 +80,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_adaptive_ann, op3_quality_rules, op4_token_codes, op5_tree_packing, op6_near_duplicates, op7_url_cascade, op8_html_labeller, op9_pii_surrogates, op10_pu_quality, pipeline)}
 
 _OP1 = r"""
-WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS total, count(*) AS n FROM s GROUP BY source),
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS total FROM s GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * total AS cap FROM per),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source) AS k FROM w),
 c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
   sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM o),
 l AS (SELECT arg_min(level, k) AS level FROM (SELECT k, (1.5 * (SELECT sum(total) FROM per)::DOUBLE - held) / open AS level, cap / weight AS r FROM c) WHERE level < r),
-t AS (SELECT source AS t_source, total, n, least(cap, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
-r AS (SELECT s.*, t.total, t.target, CASE WHEN t.total > 0 THEN t.target / t.total ELSE 0 END AS rate, greatest(1, ceil(t.n / 2048.0)) AS buckets,
-  ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(source, '~')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.t_source),
-b AS (SELECT *, floor(log2(size + 1.0::DOUBLE) * 2)::INT AS class, floor(u * buckets)::INT AS bucket FROM r),
-i AS (SELECT *, row_number() OVER (PARTITION BY source, class, bucket ORDER BY u, doc_id, size) AS i, rate - floor(rate) AS f,
-  ('0x' || substr(md5('18|' || coalesce(source, '~') || '|' || class || '|' || bucket), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS st FROM b)
-SELECT doc_id, size, total AS source_size, round(target, 6) AS target,
-  (size * (floor(rate) + floor(i * f + st) - floor((i - 1) * f + st)))::BIGINT AS taken FROM i
+t AS (SELECT source AS t_source, total, least(cap, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
+r AS (SELECT s.*, t.total, t.target, CASE WHEN t.total > 0 THEN t.target / t.total ELSE 0 END AS rate FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.t_source),
+u AS (SELECT r.*, rate - floor(rate) AS f, seed, ('0x' || substr(md5(seed || '|' || coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(source, '~') || '|' || h), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM r, range(17, 33) x(seed)),
+m AS (SELECT source AS m_source, seed, abs(floor(any_value(rate)) * any_value(total) + sum(CASE WHEN u < f THEN size ELSE 0 END) - any_value(target)) AS miss FROM u GROUP BY source, seed),
+b AS (SELECT m_source, seed AS b_seed, row_number() OVER (PARTITION BY m_source ORDER BY miss, seed) AS k FROM m)
+SELECT doc_id, size, total AS source_size, round(target, 6) AS target, (size * (floor(rate) + CASE WHEN u < f THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.m_source AND u.seed = b.b_seed AND b.k = 1
 """
 
 _OP6 = r"""
@@ -109,11 +114,10 @@ _OP7 = r"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-h(lh) AS (VALUES ('ads-track.example.com'), ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com')),
 m AS (SELECT page_id, host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k
   FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT u.page_id, u.host, u.path, m.rule,
-  coalesce(m.v, CASE WHEN EXISTS (SELECT 1 FROM h WHERE u.host = lh OR ends_with(u.host, '.' || lh)) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(m.v, CASE WHEN list_has_any(string_split(u.host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.k = 1
 """
 

@@ -3,16 +3,20 @@
 A cascade answers membership exactly for every key of a known universe. Level 0 is a Bloom filter of the listed keys;
 the universe's other keys that it lets through make level 1; the listed keys that level 1 lets through make level 2, and
 so on until nothing is let through wrongly. The universe is the whole corpus' distinct keys, so a page's keys are tested
-against the cascade alone, without a join. Levels are built by distributed bitmap aggregation and only their bits (a few
-per listed key, checked against `max_bits`) go to the executors.
+against the cascade alone, without a join. Level 0 has so many bits a key that about as many keys of the universe as are
+listed pass it wrongly; only what passes it is compared with the list, so building joins no more than that either. Levels
+are built by distributed bitmap aggregation and only their bits go to the executors: some 1.4 log2(universe / listed) + 10
+for each listed key. A list whose cascade would have more than `max_bits` is not put into one: its keys are then told
+apart by a join of the distinct keys with the list, and the pages by a join with those found.
 
 Rules (host, path, verdict) fit a host and its subdomains where the page's path starts with the rule's; the longest
 fitting rule wins. A page's possible rules are its host's last labels joined with its path's first characters, in the
-numbers of labels and characters that rules have. Pages that no rule fits are blocked if their host, or one it is a
-subdomain of, is among the listed hosts, and else allowed.
+numbers of labels and characters that rules have. Pages that no rule fits are blocked if one of their host's labels (the
+parts between its dots) is among the listed ones, whatever domain it stands under, and else allowed.
 
-Edge cases: a null url or one without :// has empty host and path, which no rule fits: allowed; an empty rule list or
-table works; repeated rows are judged each; other columns are ignored by `judge`.
+Edge cases: a null url or one without :// has empty host and path, which no rule fits: allowed; very long urls are read
+whole; an empty rule list, label list or table works; repeated rows are judged each; other columns, whatever their names,
+are ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -78,10 +82,11 @@ def _words(batch, name: str) -> np.ndarray:
     return batch[name].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _level(keys: DataFrame, number: int, n: int, bits_per_key: float, max_bits: int) -> Level:
+def _level(keys: DataFrame, number: int, n: int, bits_per_key: float, max_bits: int) -> Level | None:
+    """The filter of n keys (a, b); None if it would be too large."""
     level = Level(number, max(64, math.ceil(n * bits_per_key)), max(1, round(bits_per_key * math.log(2))))
     if level.bits > max_bits:
-        raise ValueError(f"a level of {level.bits} bits is over max_bits = {max_bits}; raise max_bits, or split the list")
+        return None
 
     def places(batches):
         for batch in batches:
@@ -95,20 +100,37 @@ def _level(keys: DataFrame, number: int, n: int, bits_per_key: float, max_bits:
     return Level(number, level.bits, level.hashes, bytes(data))
 
 
-def build(universe: DataFrame, max_bits: int = 2**28, first_bits: float = 10.0, later_bits: float = 4.0) -> Cascade:
-    """The cascade of universe: distinct keys (key) with a flag (listed)."""
-    a, b = hashed(F.col("key"))
-    keys = staged(universe.select(a.alias("a"), b.alias("b"), "listed"), "cascade-keys")
-    inside, outside, levels = keys.where("listed"), keys.where("not listed"), []
-    while n := inside.count():
-        level = _level(inside, len(levels), n, later_bits if levels else first_bits, max_bits)
-        levels.append(level)
+def _passing(keys: DataFrame, level: Level, name: str) -> DataFrame:
+    def held(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(level.holds(_words(batch, "a"), _words(batch, "b"))))
+
+    return staged(keys.select("a", "b").mapInArrow(held, "a long, b long"), name)
 
-        def wrongly(batches, level=level):
-            for batch in batches:
-                yield batch.filter(pa.array(level.holds(_words(batch, "a"), _words(batch, "b"))))
 
-        inside, outside = staged(outside.select("a", "b").mapInArrow(wrongly, "a long, b long"), f"cascade-{len(levels)}"), inside
+def _pairs(keys: DataFrame) -> DataFrame:
+    a, b = hashed(F.col("key"))
+    return keys.select(a.alias("a"), b.alias("b"))
+
+
+def build(universe: DataFrame, listed: DataFrame, max_bits: int = 2**28, later_bits: float = 4.0) -> Cascade | None:
+    """The cascade of a universe of distinct keys and a list of distinct keys (key each); None if it would be too large."""
+    listed = staged(_pairs(listed), "cascade-listed")
+    n, every = listed.count(), universe.count()
+    if not n:
+        return Cascade(())
+    level = _level(listed, 0, n, min(30.0, max(8.0, 1.44 * math.log2(max(2.0, every / n)))), max_bits)
+    if level is None:
+        return None
+    passed = _passing(_pairs(universe), level, "cascade-0")
+    # What passes level 0 is told apart once, by the list; listed keys that no page has need no level.
+    inside, outside, levels = staged(passed.join(listed, ["a", "b"], "left_semi"), "cascade-in"), staged(passed.join(listed, ["a", "b"], "left_anti"), "cascade-out"), [level]
+    while n := outside.count():
+        level = _level(outside, len(levels), n, later_bits, max_bits)
+        if level is None:
+            return None
+        levels.append(level)
+        inside, outside = outside, _passing(inside, level, f"cascade-{len(levels)}")
     return Cascade(tuple(levels))
 
 
@@ -118,13 +140,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, cut, 1), UPPER, LOWER), F.regexp_extract(url, cut, 2)
 
 
-def _tails(host: Column, labels: list[int]) -> Column:
-    """The host's last n labels for each n, where it has so many."""
-    parts = F.split(host, "\\.")
-    each = [F.when((F.size(parts) >= n) & (host != ""), F.array_join(F.slice(parts, -n, n), ".")) for n in labels]
-    return F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
-
-
 def _candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
     """Possible rules of a page, longest first; shapes: numbers of labels and of path characters that rules have."""
     parts = F.split(host, "\\.")
@@ -146,8 +161,8 @@ def _judge(cascades: dict[str, Cascade]):
         for batch in batches:
             ends, a, b = flat(batch, "keys")
             block, allow = cascades["block"].holds(a, b), cascades["allow"].holds(a, b)
-            h_ends, ha, hb = flat(batch, "hosts")
-            bad = cascades["hosts"].holds(ha, hb)
+            h_ends, ha, hb = flat(batch, "labels")
+            bad = cascades["labels"].holds(ha, hb)
             place, verdict = [], []
             for i in range(batch.num_rows):
                 hit = np.flatnonzero(block[ends[i] : ends[i + 1]] | allow[ends[i] : ends[i + 1]])
@@ -163,24 +178,40 @@ def _judge(cascades: dict[str, Cascade]):
     return run
 
 
-def judge(pages: DataFrame, rules: DataFrame, listed_hosts: DataFrame) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict. rules: host, path, verdict (allow or block); listed_hosts: host."""
+def _found(keys: DataFrame, listed: DataFrame, name: str) -> DataFrame:
+    """(key) of the keys (key) that are listed: the exact way for a list that is too large for a cascade."""
+    return staged(keys.join(listed, "key", "left_semi").distinct(), name)
+
+
+def judge(pages: DataFrame, rules: DataFrame, listed_labels: DataFrame, max_bits: int = 2**28) -> DataFrame:
+    """Per page: page_id, host, path, rule, verdict. rules: host, path, verdict (allow or block); listed_labels: label."""
     rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.concat("host", "path").alias("r_key"), F.col("verdict").alias("r_verdict"))
     shapes = sorted((r.n, r.m) for r in rules.select(F.size(F.split("r_host", "\\.")).alias("n"), F.length("r_path").alias("m")).distinct().collect())
-    labels = sorted(r.n for r in listed_hosts.select(F.size(F.split("host", "\\.")).alias("n")).distinct().collect())
     host, path = host_and_path(F.col("url"))
     cut = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
-    cut = cut.withColumns({"candidates": _candidates(F.col("host"), F.col("path"), shapes), "tails": _tails(F.col("host"), labels)})
+    labels = F.array_distinct(F.filter(F.split("host", "\\."), lambda x: x != ""))
+    cut = staged(cut.withColumns({"candidates": _candidates(F.col("host"), F.col("path"), shapes), "labels": labels}), "url-cut")
     seen = staged(cut.select(F.explode("candidates").alias("key")).distinct(), "url-keys")
-    tails = staged(cut.select(F.explode("tails").alias("key")).distinct(), "url-hosts")
-    cascades = {}
-    for verdict in ("allow", "block"):
-        mine = rules.where(F.col("r_verdict") == verdict).select(F.col("r_key").alias("key"), F.lit(True).alias("in")).distinct()
-        cascades[verdict] = build(seen.join(mine, "key", "left").select("key", F.coalesce("in", F.lit(False)).alias("listed")))
-    mine = listed_hosts.select(F.col("host").alias("key"), F.lit(True).alias("in")).distinct()
-    cascades["hosts"] = build(tails.join(mine, "key", "left").select("key", F.coalesce("in", F.lit(False)).alias("listed")))
+    words = staged(cut.select(F.explode("labels").alias("key")).distinct(), "url-labels")
+    lists = {v: (seen, rules.where(F.col("r_verdict") == v).select(F.col("r_key").alias("key")).distinct()) for v in ("allow", "block")}
+    lists["labels"] = (words, listed_labels.select(F.col("label").alias("key")).distinct())
+    cascades = {name: build(universe, listed, max_bits) for name, (universe, listed) in lists.items()}
+    if None in cascades.values():
+        return _judged_by_joins(cut, {name: _found(universe, listed, f"url-{name}") for name, (universe, listed) in lists.items()})
     pair = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))
-    ready = cut.select("page_id", "host", "path", "candidates", F.transform("candidates", pair).alias("keys"), F.transform("tails", pair).alias("hosts"))
+    ready = cut.select("page_id", "host", "path", "candidates", F.transform("candidates", pair).alias("keys"), F.transform("labels", pair).alias("labels"))
     kind = dict(pages.dtypes)["page_id"]
     out = ready.mapInArrow(_judge(cascades), f"page_id {kind}, host string, path string, candidates array<string>, place int, verdict string")
     return out.select("page_id", "host", "path", F.get("candidates", F.col("place")).alias("rule"), "verdict")
+
+
+def _judged_by_joins(cut: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """The verdicts of pages by joins of their keys with the keys found on each list."""
+    rows = staged(cut.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    both = found["allow"].withColumn("verdict", F.lit("allow")).unionByName(found["block"].withColumn("verdict", F.lit("block")))
+    rule = rows.select("row", F.posexplode("candidates").alias("at", "key")).join(both, "key")
+    # Candidates stand longest first; a rule that is on both lists blocks.
+    rule = rule.groupBy("row").agg(F.min(F.struct("at", F.when(F.col("verdict") == "block", 0).otherwise(1).alias("order"), "key", "verdict")).alias("r"))
+    bad = rows.select("row", F.explode("labels").alias("key")).join(found["labels"], "key", "left_semi").select("row").distinct().withColumn("bad", F.lit(True))
+    out = rows.join(rule, "row", "left").join(bad, "row", "left")
+    return out.select("page_id", "host", "path", F.col("r.key").alias("rule"), F.coalesce("r.verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
