@@ -1,19 +1,24 @@
 """Approximate nearest neighbours by inner product: probed lists scanned with adaptive dimension tests.
 
 Vectors are extended by one component so that all have the norm of the longest, which turns the largest inner product
-into the least distance, then rotated at random. Centroids come from a k-means over a bounded sample (`sample` rows of
-least hash); every vector is put in the list of its nearest centroid, and lists are stored in blocks of bounded size.
-A query probes its nearest lists until they hold `probe_share` of all vectors. In a block, the rotated coordinates are
-read in blocks of columns: after each, a candidate whose partial distance, scaled to all dimensions, exceeds what the
-current k-th distance allows at `epsilon` standard errors is abandoned. What is left is scored anew, in double
-precision, on the original vectors.
+into the least distance, then rotated at random, once. Centroids come from a k-means over a bounded sample (`sample` rows
+of least hash); every vector is put in the list of its nearest centroid, and lists are stored in blocks of bounded size,
+each with its rotated and its original coordinates.
+
+A query first scans its nearest lists, until they hold 4 (k + 1) vectors; its k-th distance so far is carried to the
+other lists that it probes, nearest first until all hold `probe_share` of all vectors. In a block, the rotated coordinates
+are read in blocks of columns: after each, a candidate whose partial distance, scaled to all dimensions, exceeds what the
+carried distance allows at `epsilon` standard errors is abandoned. While many candidates are left, a block of columns is one
+matrix product for all; once few are, only these are read on. What is left is scored anew, in double precision, on the
+original vectors. Blocks and bundles of queries meet by list, block and chunk of bundles, so that a large list is many
+tasks, and none of them sees more than one block with `chunk` bundles.
 
 Equal vectors are stored once, with their k + 1 smallest ids: no more of them can be among a query's k nearest.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose
 length isn't the most frequent one (ties: the longest); rows that repeat an id and vector count once; ties go to the
 smaller id; fewer candidates than k are all returned if their lists are probed (probing goes on until 4 (k + 1) vectors
-are reached); an empty table gives no rows; other columns are ignored.
+are reached); an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +40,11 @@ class Adaptive:
 
     sample: int = 16_384
     rounds: int = 10
-    block_rows: int = 2_048
+    list_rows: int = 2_048
+    block_rows: int = 8_192
     query_rows: int = 256
-    probe_share: float = 0.8
+    chunk: int = 64
+    probe_share: float = 0.75
     columns: int = 16
     epsilon: float = 2.1
     seed: int = 7
@@ -80,7 +87,7 @@ def fit(points: DataFrame, rows: int, p: Adaptive) -> Space:
     sample = np.array([r.v for r in points.orderBy(F.xxhash64("node"), "node").limit(p.sample).collect()])
     rng = np.random.default_rng(p.seed)
     rotation = np.linalg.qr(rng.standard_normal((sample.shape[1] + 1,) * 2))[0]
-    lists = max(1, min(len(sample) // 8, round(rows**0.5 / 2), 4096))
+    lists = max(1, min(len(sample) // 8, max(round(rows**0.5 / 8), rows // p.list_rows), 4096))
     space = Space(longest, rotation, np.zeros((1, 1)))
     x = space.points(sample)
     centroids = x[rng.permutation(len(x))[:lists]].copy()
@@ -102,6 +109,7 @@ def _assigner(space: Space):
 
 
 def _prober(space: Space, counts: np.ndarray, share: float, least: int):
+    """Lists to probe, in two parts: the nearest that hold `least` vectors, and those up to the share of all."""
     need = max(least, int(np.ceil(share * counts.sum())))
 
     def probe(batches):
@@ -110,43 +118,49 @@ def _prober(space: Space, counts: np.ndarray, share: float, least: int):
                 continue
             order = space.far(space.queries(np.stack(b["v"]))).argsort(axis=1, kind="stable")
             reached = np.cumsum(counts[order], axis=1)
-            takes = (reached < need).sum(axis=1) + 1
-            for i, (node, v) in enumerate(zip(b["node"], b["v"], strict=True)):
+            first, takes = (reached < least).sum(axis=1) + 1, (reached < need).sum(axis=1) + 1
+            for i, node in enumerate(b["node"]):
                 lists = order[i, : takes[i]]
-                yield pd.DataFrame({"list": lists, "node": node, "v": [v] * len(lists)})
+                yield pd.DataFrame({"list": lists, "node": node, "first": np.arange(len(lists)) < first[i]})
 
     return probe
 
 
-def _bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
-    return pd.DataFrame({"list": [pdf["list"].iloc[0]], "nodes": [pdf["node"].to_numpy("<i8").tobytes()], "matrix": [np.stack(pdf["v"]).astype("<f8").tobytes()]})
+def _blocker(space: Space):
+    def block(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        x = np.stack(group["v"])
+        return pd.DataFrame({"list": [group["list"].iloc[0]], "shard": [group["shard"].iloc[0]], "nodes": [group["node"].to_numpy("<i8").tobytes()], "matrix": [x.astype("<f8").tobytes()], "points": [space.points(x).astype("<f8").tobytes()]})
 
+    return block
 
-def scan(q: np.ndarray, x: np.ndarray, space: Space, k: int, p: Adaptive) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, inner product) of what survives the tests, at least each query's k best of the block."""
-    qs, xs = space.queries(q), space.points(x)
-    dims = xs.shape[1]
-    cuts = [*range(0, dims, p.columns), dims]
-    # The k-th distance to the first rows of the block bounds what can still be among the k nearest.
-    head = xs[: max(4 * k, 64)]
-    d2 = (qs**2).sum(axis=1)[:, None] + (head**2).sum(axis=1) - 2 * qs @ head.T
-    bound = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(head) >= k else np.full(len(qs), np.inf)
-    bound = bound * (1 + 1e-9) + 1e-12
 
-    def part(a: int, b: int) -> np.ndarray:
-        return (qs[:, a:b] ** 2).sum(axis=1)[:, None] + (xs[:, a:b] ** 2).sum(axis=1) - 2 * qs[:, a:b] @ xs[:, a:b].T
+def _bundler(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("node")
+    whole = [group["node"].to_numpy("<i8").tobytes(), np.stack(group["v"]).astype("<f8").tobytes(), group["bound"].to_numpy("<f8").tobytes()]
+    return pd.DataFrame({"list": [group["list"].iloc[0]], "bundle": [group["bundle"].iloc[0]], "q_nodes": [whole[0]], "q_matrix": [whole[1]], "bounds": [whole[2]]})
 
-    first = part(0, cuts[1])
+
+def scan(qs: np.ndarray, xs: np.ndarray, bound: np.ndarray, p: Adaptive) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, candidate row) of what survives the tests; qs and xs rotated, bound: each query's squared distance to stay within."""
+    dims = xs.shape[1]
+    cuts = [*range(0, dims, p.columns), dims]
     limit = lambda d: bound * (d / dims) * (1 + p.epsilon / d**0.5) ** 2 if d < dims else bound
-    i, j = np.nonzero(first <= limit(cuts[1])[:, None])
-    have = first[i, j]
-    for a, b in zip(cuts[1:], cuts[2:], strict=False):
-        diff = qs[i, a:b] - xs[j, a:b]
-        have = have + (diff * diff).sum(axis=1)
-        keep = have <= limit(b)[i]
-        i, j, have = i[keep], j[keep], have[keep]
-    return i, j, (q[i] * x[j]).sum(axis=1)
+    have, alive, i, j, sparse = np.zeros((len(qs), len(xs))), None, None, None, False
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if sparse:
+            diff = qs[i, a:b] - xs[j, a:b]
+            have = have + (diff * diff).sum(axis=1)
+            keep = have <= limit(b)[i]
+            i, j, have = i[keep], j[keep], have[keep]
+            continue
+        have += (qs[:, a:b] ** 2).sum(axis=1)[:, None] + (xs[:, a:b] ** 2).sum(axis=1) - 2 * qs[:, a:b] @ xs[:, a:b].T
+        within = have <= limit(b)[:, None]
+        alive = within if alive is None else alive & within
+        if alive.mean() < 0.02:
+            sparse, (i, j) = True, np.nonzero(alive)
+            have = have[i, j]
+    return (i, j) if sparse else np.nonzero(alive)
 
 
 def _scanner(space: Space, k: int, p: Adaptive):
@@ -154,19 +168,35 @@ def _scanner(space: Space, k: int, p: Adaptive):
 
     def run(batches):
         for batch in batches:
-            for qn, qm, xn, xm in zip(*(batch[c] for c in ("q_nodes", "q_matrix", "nodes", "matrix")), strict=True):
-                qn, xn = np.frombuffer(qn.as_py(), "<i8"), np.frombuffer(xn.as_py(), "<i8")
-                q, x = np.frombuffer(qm.as_py(), "<f8").reshape(len(qn), -1), np.frombuffer(xm.as_py(), "<f8").reshape(len(xn), -1)
-                i, j, score = scan(q, x, space, min(k, len(xn)), p)
-                order = np.lexsort((xn[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                top = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(qn[i[top]]), pa.array(xn[j[top]]), pa.array(score[top])], schema=schema)
+            for qn, qm, bounds, xn, xm, xp in zip(*(batch[c] for c in ("q_nodes", "q_matrix", "bounds", "nodes", "matrix", "points")), strict=True):
+                qn, xn, bound = np.frombuffer(qn.as_py(), "<i8"), np.frombuffer(xn.as_py(), "<i8"), np.frombuffer(bounds.as_py(), "<f8")
+                q = np.frombuffer(qm.as_py(), "<f8").reshape(len(qn), -1)
+                x, xs = np.frombuffer(xm.as_py(), "<f8").reshape(len(xn), -1), np.frombuffer(xp.as_py(), "<f8").reshape(len(xn), -1)
+                qs = space.queries(q)
+                for at in range(0, len(xn), 2048):
+                    i, j = scan(qs, xs[at : at + 2048], bound, p)
+                    j = j + at
+                    score = np.concatenate([(q[i[s : s + 65_536]] * x[j[s : s + 65_536]]).sum(axis=1) for s in range(0, len(i), 65_536)]) if len(i) else np.zeros(0)
+                    order = np.lexsort((xn[j], -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(qn[i[top]]), pa.array(xn[j[top]]), pa.array(score[top])], schema=schema)
 
     return run
 
 
+def _scanned(probes: DataFrame, blocks: DataFrame, shards: DataFrame, space: Space, k: int, bundles: int, p: Adaptive, name: str) -> DataFrame:
+    """(q, node, score) of what probes (list, node, v, bound) find in the blocks of their lists."""
+    made = probes.withColumn("bundle", F.pmod(F.xxhash64("node"), F.lit(bundles)).cast("int")).groupBy("list", "bundle").applyInPandas(_bundler, "list int, bundle int, q_nodes binary, q_matrix binary, bounds binary")
+    chunks = -(-bundles // p.chunk)
+    made = attach(made.withColumn("chunk", F.pmod("bundle", F.lit(chunks))), shards, {"list": "s_list"}, ["bundle"]).where("shards is not null").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    wide = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    met = wide.join(made, ["list", "shard", "chunk"]).select("q_nodes", "q_matrix", "bounds", "nodes", "matrix", "points")
+    found = met.mapInArrow(_scanner(space, k, p), "q long, node long, score double")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
+    return staged(found.withColumn("i", best).where(F.col("i") <= k).drop("i"), name)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, p: Adaptive = Adaptive()) -> DataFrame:
     """The k nearest of each row of vectors (vec_id, embedding) for which is_query: query_id, rank, vec_id, score.
 
@@ -186,15 +216,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: Adaptive = Adap
     per = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # at most a few thousand lists
     counts = np.array([per.get(i, 0) for i in range(len(space.centroids))])
     shards = staged(listed.groupBy("list").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("shards")).withColumnRenamed("list", "s_list"), "ann-shards")
-    dealt = attach(listed, shards, {"list": "s_list"}, ["node"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")))
-    blocks = dealt.groupBy("list", "shard").applyInPandas(lambda g: _bundle(g), "list int, nodes binary, matrix binary")
-    probes = asked.select("node").distinct().join(nodes.select("node", "v"), "node").mapInPandas(_prober(space, counts, p.probe_share, 4 * (k + 1)), "list int, node long, v array<double>")
-    groups = max(1, -(-asked.select("node").distinct().count() // p.query_rows))
-    bundles = probes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(groups))).groupBy("list", "shard").applyInPandas(lambda g: _bundle(g), "list int, nodes binary, matrix binary")
-    met = blocks.join(bundles.withColumnsRenamed({"nodes": "q_nodes", "matrix": "q_matrix"}), "list")
-    found = met.select("q_nodes", "q_matrix", "nodes", "matrix").mapInArrow(_scanner(space, k + 1, p), "q long, node long, score double")
+    dealt = attach(listed, shards, {"list": "s_list"}, ["node"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    blocks = staged(dealt.groupBy("list", "shard").applyInPandas(_blocker(space), "list int, shard int, nodes binary, matrix binary, points binary"), "ann-blocks")
+    asking = staged(asked.select("node").distinct().join(nodes.select("node", "v"), "node"), "ann-queries")
+    bundles = max(1, -(-asking.count() // p.query_rows))
+    probes = staged(asking.mapInPandas(_prober(space, counts, p.probe_share, 4 * (k + 1)), "list int, node long, first boolean"), "ann-probes")
+    far = float("inf")
+    first = _scanned(probes.where("first").join(asking, "node").withColumn("bound", F.lit(far)), blocks, shards, space, k + 1, bundles, p, "ann-first")
+    # The k-th distance so far: of extended vectors, so that all have the same norm.
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    kth = first.groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n")).withColumnRenamed("q", "node")
+    bound = F.when(F.col("n") > k, (norm + space.longest**2 - 2 * F.col("least")) * (1 + 1e-9) + 1e-12).otherwise(F.lit(far))
+    rest = probes.where("not first").join(asking.join(kth, "node").select("node", "v", bound.alias("bound")), "node")
+    second = _scanned(rest, blocks, shards, space, k + 1, bundles, p, "ann-second")
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
-    top = found.withColumn("i", best).where(F.col("i") <= k + 1).select("q", "node", "score")
+    top = first.union(second).withColumn("i", best).where(F.col("i") <= k + 1).select("q", "node", "score")
     rows_of = top.join(nodes.select("node", "ids"), "node").select("q", "score", F.explode("ids").alias("vec_id"))
     again = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     short = rows_of.withColumn("i", again).where(F.col("i") <= k + 1)
