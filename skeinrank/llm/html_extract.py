@@ -5,14 +5,18 @@ bidirectional LSTM, written in numpy, reads the page's whole sequence of blocks,
 (names, classes and ids) and of its words and a few numbers, and labels every block as main text or not. The text is the
 labelled blocks in page order. Scripts, styles, comments and other raw or hidden content make no blocks.
 
-The labeller is trained here, on a bounded sample of pages (`sample`). Its labels come from pages that mark their parts:
-a block inside article or main, and in none of the parts that never are main text, is main text. So that the model does
-not hang on one way of marking, the sample's paths are varied: parts get other names and classes, and notices,
-sidebars, forms and comments are put between the blocks, also inside the article.
+The labeller is trained here, on a bounded sample of pages (`sample`, of least hash, under 100 kB; training sequences of
+more than `LONGEST` blocks are left out). Its labels come from pages that mark their parts: a block inside article or main,
+and in none of the parts that never are main text, is main text. The rule gives labels only; the network reads tag and
+class names as hashes, and learns what they tell. So that it does not hang on one way of marking, the sample's pages are
+varied: parts get other names and classes, from lists of usual ones, notices, sidebars, forms and comments are put between
+the blocks, also inside the article, and in one variant all names are drawn at random, so that the words, links, lengths
+and the order of the blocks must tell. Pages with names in no list are labelled by these. Where no page of the sample marks
+its parts, the longer blocks without links stand for main text in made-up pages.
 
 Edge cases: a null or empty page has empty text; broken and unclosed tags are read as browsers do, roughly; a page
 without any text is empty; very long pages are labelled whole; repeated rows give equal rows; an empty table gives no
-rows; other columns are ignored; with no page to learn from, structure alone (the labels' rule) decides.
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +54,9 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 96, 32, 6, 16
+PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 128, 32, 6, 16
+#: Blocks of a training sequence, at most.
+LONGEST = 400
 DIMS = PATH_DIMS + WORD_DIMS + NUMBERS
 
 #: A node of a path: tag and the words of its class, id and role.
@@ -161,12 +167,7 @@ def _path_vector(path: tuple[Node, ...]) -> np.ndarray:
         found = np.zeros(PATH_DIMS)
         for tag, words in path:
             for name in (tag, *(f".{w}" for w in words)):
-                found[_slot(name, PATH_DIMS - 2)] = 1.0
-            # What the fixed lists say of a name is given to the reader as well; what follows from it is learnt.
-            if tag in NEVER_TAGS or not NEVER_WORDS.isdisjoint(words):
-                found[-2] = 1.0
-            if tag in ("article", "main") or not MAIN_WORDS.isdisjoint(words):
-                found[-1] = 1.0
+                found[_slot(name, PATH_DIMS)] = 1.0
         if len(_PATHS) > 20_000:
             _PATHS.clear()
         _PATHS[path] = found
@@ -286,24 +287,54 @@ OTHER_FORMS = (
     (("header", ()), ("div", ())), (("div", ("cookie",)),), (("div", ("promo",)), ("p", ())), (("ul", ("nav",)), ("li", ())), (("section", ("comments",)), ("article", ("comment",)), ("p", ())),
 )
 ROOT: tuple[Node, ...] = (("html", ()), ("body", ()))
+_TAGS = ("div", "section", "span", "td")
 
 
-def varied(pages: list[list[Block]], seed: int = 9) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training sequences: each page as it is, and with its parts named and mixed anew."""
+def _anonymous(page: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The page with every part under plain tags and names drawn at random, the same for the same path of names."""
+    names: dict[Node, Node] = {}
+
+    def other(node: Node) -> Node:
+        if node[0] in ("html", "body", "p", "li", "ul"):
+            return node[0], ()
+        if node not in names:
+            names[node] = (_TAGS[rng.integers(2)], ("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6)),))
+        return names[node]
+
+    return [Block(tuple(other(n) for n in b.path), b.text, b.linked) for b in page]
+
+
+def _renamed(form: tuple[Node, ...], words: list[str], rng: np.random.Generator) -> tuple[Node, ...]:
+    """form with the names of its parts exchanged for others of a list, now and then."""
+    return tuple((tag, (words[rng.integers(len(words))],) if names and rng.random() < 0.4 else names) for tag, names in form)
+
+
+def varied(pages: list[list[Block]], seed: int = 9, skip: frozenset[str] = frozenset()) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training sequences: each page as it is, with its parts named and mixed anew, and with names drawn at random.
+
+    skip: names that are kept out of training.
+    """
     rng = np.random.default_rng(seed)
     out = []
     texts = [b.text for p in pages for b in p] or ["text"]
+    never_words, main_words = sorted(NEVER_WORDS - skip), sorted(MAIN_WORDS - skip)
+    kept = lambda forms: [f for f in forms if not any(tag in skip or not skip.isdisjoint(words) for tag, words in f)]
+    main_forms, other_forms = kept(MAIN_FORMS), kept(OTHER_FORMS)
+    some_marked = any(marked(b.path) for p in pages for b in p)
     for page in pages:
-        y = np.array([marked(b.path) for b in page], float)
-        out.append((vectors(page), y))
+        y = np.array([marked(b.path) if some_marked else len(b.text) > 60 and b.linked < 0.5 for b in page], float)
+        if some_marked:
+            out.append((vectors(page), y))
+        if y.any():
+            out.append((vectors(_anonymous(page, rng)), y))
         main = [b for b, is_main in zip(page, y, strict=True) if is_main]
         for _ in range(2):
-            form = MAIN_FORMS[rng.integers(len(MAIN_FORMS))]
+            form = _renamed(main_forms[rng.integers(len(main_forms))], main_words, rng)
             mixed: list[tuple[Block, float]] = []
 
             def others(n: int, above: tuple[Node, ...], mixed=mixed) -> None:
                 for _ in range(n):
-                    kind = above + OTHER_FORMS[rng.integers(len(OTHER_FORMS))]
+                    kind = above + _renamed(other_forms[rng.integers(len(other_forms))], never_words, rng)
                     for _ in range(1 + int(rng.integers(4))):
                         t = texts[rng.integers(len(texts))]
                         t = t if rng.random() < 0.5 else " ".join(t.split(" ")[: 1 + int(rng.integers(5))])
@@ -318,14 +349,21 @@ def varied(pages: list[list[Block]], seed: int = 9) -> list[tuple[np.ndarray, np
             others(int(rng.integers(0, 3)), ROOT + form if rng.random() < 0.3 else ROOT)
             others(int(rng.integers(1, 3)), ROOT)
             out.append((vectors([b for b, _ in mixed]), np.array([v for _, v in mixed])))
-    return [(x, y) for x, y in out if 0 < len(x) <= 400]
+    return [(x, y) for x, y in out if 0 < len(x) <= LONGEST]
+
+
+def sampled(pages: DataFrame, sample: int) -> list[list[Block]]:
+    """The blocks of at most `sample` pages of least hash; only their hashes are sorted, then their texts are fetched."""
+    marked_rows = pages.where(F.length("html") < 100_000).select(F.xxhash64("page_id", "html").alias("h"), "html")
+    keys = marked_rows.select("h").distinct().orderBy("h").limit(sample)
+    rows = marked_rows.join(F.broadcast(keys), "h").groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect()
+    return [p for p in (blocks(r.html) for r in rows) if p]
 
 
 def fit(pages: DataFrame, sample: int = 300, epochs: int = 5) -> dict[str, np.ndarray] | None:
-    """The weights, from at most `sample` pages of least hash that mark their main text and are under 100 kB."""
-    chosen = pages.where(F.length("html") < 100_000).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(sample).collect()
-    cut = [p for p in (blocks(r.html) for r in chosen) if any(marked(b.path) for b in p)]
-    return Labeller().fit(varied(cut), epochs).p if cut else None
+    """The weights; none if there is no page with text."""
+    sequences = varied(sampled(pages, sample))
+    return Labeller().fit(sequences, epochs).p if sequences else None
 
 
 def main_text(page: list[Block], flags: np.ndarray) -> str:
@@ -340,18 +378,15 @@ def _extractor(weights: dict[str, np.ndarray] | None, group: int = 64):
         for batch in batches:
             pages = [blocks(h.as_py()) for h in batch["html"]]
             texts = [""] * len(pages)
-            if weights is None:
-                texts = [main_text(p, np.array([marked(b.path) for b in p], bool)) for p in pages]
-            else:
-                # Pages of like length are labelled together.
-                order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-                at = 0
-                while at < len(order):
-                    some = order[at : at + max(1, min(group, 20_000 // len(pages[order[min(at + group, len(order)) - 1]])))]
-                    at += len(some)
-                    scores = model.score(*padded([vectors(pages[i]) for i in some]))
-                    for r, i in enumerate(some):
-                        texts[i] = main_text(pages[i], scores[r, : len(pages[i])] > 0)
+            # Pages of like length are labelled together.
+            order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i])) if weights is not None else []
+            at = 0
+            while at < len(order):
+                some = order[at : at + max(1, min(group, 20_000 // len(pages[order[min(at + group, len(order)) - 1]])))]
+                at += len(some)
+                scores = model.score(*padded([vectors(pages[i]) for i in some]))
+                for r, i in enumerate(some):
+                    texts[i] = main_text(pages[i], scores[r, : len(pages[i])] > 0)
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
