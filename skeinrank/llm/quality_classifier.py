@@ -4,11 +4,12 @@ Trusted positives (labelled good rows) and unlabelled documents train a logistic
 minimising the non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 The prior is estimated first: a plain classifier of positives against unlabelled ranks both, and over its upper regions
 that hold at least `PRIOR_REGION` of the positives, the least ratio of the unlabelled share to the positive share bounds
-the share of positives among the unlabelled. Training sees at most `sample` rows of each kind, those of least hash;
-every document is scored.
+the share of positives among the unlabelled. Training sees at most `sample` rows of each kind, those of least hash (of
+at most as many ids), however many rows share an id; every document is scored.
 
 Edge cases: null and empty texts have zero statistics and get a score; null doc_ids are not held out; documents that
-share a doc_id are scored each; without positives every score is 0.5; other columns are ignored.
+share a doc_id are scored each; without positives every score is 0.5; very long texts are read whole; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -134,11 +135,13 @@ def fold(doc_id: Column) -> Column:
 
 def _featured(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_pydict({"x": pa.array([features(t.as_py()) for t in batch["text"]], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_arrays([batch["h"], pa.array([features(t.as_py()) for t in batch["text"]], pa.list_(pa.float64()))], names=["h", "x"])
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    got = rows.select("text").mapInArrow(_featured, "x array<double>").collect()
+def _matrix(rows: DataFrame, sample: int) -> np.ndarray:
+    """The statistics of at most sample of the rows (doc_id, text): only numbers reach the driver, never more than these."""
+    marked = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_featured, "h long, x array<double>")
+    got = marked.orderBy("h").limit(sample).collect()
     return np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
 
 
@@ -146,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> Model | Non
     """docs: doc_id, text; labels: doc_id, quality. At most sample positives and as many unlabelled documents are used."""
     good = labels.where((F.col("quality") == 1) & (fold(F.col("doc_id")) != 1)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     core = docs.select("doc_id", "text")
-    positive = _matrix(core.join(F.broadcast(good), "doc_id", "left_semi"))
+    positive = _matrix(core.join(F.broadcast(good), "doc_id", "left_semi"), sample)
     some = core.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
-    unlabelled = _matrix(core.join(F.broadcast(some), "doc_id", "left_semi"))
+    unlabelled = _matrix(core.join(F.broadcast(some), "doc_id", "left_semi"), sample)
     return train(positive, unlabelled) if len(positive) and len(unlabelled) else None
 
 
