@@ -1,6 +1,7 @@
 """A training corpus from raw documents: quality rules, near duplicates, personal data, mixing, packing.
 
-Each stage is written as Parquet to the shared work folder and read again as the next one's documents.
+Each stage is written as Parquet to the shared work folder and read again as the next one's documents; what it wrote on
+its way is deleted then.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinrank.llm import mixing, near_dup, packing, pii, quality_rules
-from skeinrank.llm.common import staged
+from skeinrank.llm.common import fresh_path, scratch
+from skeinrank.llm.queries import pii_key
 from skeinrank.llm.tokens import byte_bpe_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,7 +32,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Personal data and secrets are replaced by surrogates; n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    out = pii.replace(docs)
+    out = pii.replace(docs, pii_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -57,7 +59,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over sf_dir's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
