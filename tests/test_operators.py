@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from skeinrank.functions import ids
 from skeinrank.functions import text as tx
-from skeinrank.operators import answers, evaluation, retrieval, routing
-from skeinrank.streaming import voice
+from skeinrank.functions import shaping
+from skeinrank.operators import answers, evaluation, records, reports, retrieval, routing
+from skeinrank.sources import store
+from skeinrank.streaming import audio, voice
 
 
 def one(spark, value, f):
@@ -39,8 +41,10 @@ def test_sentence_split_all_packs_long_sentences(spark, tmp_path):
     want = {i: packed(t) for i, t in enumerate(texts)} | {100: ["A b.", "C d?"], 101: [], 102: ["x" * 200], 103: ["a  b"]}
     rows = [*enumerate(texts), (100, "A b. C d?"), (101, ""), (102, "x" * 200), (103, "a  b" + " " * 250)]
     spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.n_sentences, r.digest) for r in entry.queries()["sentence_split_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_sentences, r.digest) for r in entry.queries()["sentence_split"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(p), hashlib.md5("|".join(p).encode()).hexdigest()) for i, p in want.items()}
+    got = {(r.doc_id, r.place): r.sentence for r in entry.queries()["sentence_split_all"](spark, str(tmp_path)).collect()}
+    assert got == {(i, k): x for i, p in want.items() for k, x in enumerate(p, 1)}
 
 
 def test_windows(spark):
@@ -70,11 +74,36 @@ def test_metrics(spark):
     assert (two.false_refusal, two.false_confidence) == (0.5, 1.0)
 
 
-def test_fusion_keeps_order(spark):
-    dense = spark.createDataFrame([(1, 10, 0), (1, 11, 1)], "query_id int, doc_id int, rank int")
-    sparse = spark.createDataFrame([(1, 11, 2.0), (1, 10, 1.0)], "query_id int, doc_id int, score double")
-    got = {r.doc_id: r.rrf for r in retrieval.fuse(dense, sparse, 2).collect()}
-    assert got[10] > got[11] and got[10] == round(1 / 60 + 0.3 / 61, 9)
+def test_fusion_ranks_documents_without_a_shared_term(spark):
+    dense = spark.createDataFrame([(1, "en", 10, 0), (1, "en", 11, 1), (1, "en", 14, 2), (2, None, 11, 0)], "query_id long, corpus string, doc_id long, rank int")
+    sparse = spark.createDataFrame([(1, 11, 2.0), (1, 13, 1.0), (1, 15, -1.0)], "query_id long, doc_id long, score double")
+    docs = spark.createDataFrame([(i, "en") for i in range(10, 16)] + [(99, "de")], "doc_id long, lang string")
+    spots = retrieval.places(docs, dense.where("corpus is not null").select("corpus", "doc_id"))
+    assert {(r.doc_id, r.place, r.docs) for r in spots.collect()} == {(10, 0, 6), (11, 1, 6), (14, 4, 6)}
+    got = {(r.query_id, r.doc_id): (r.sparse_rank, r.rrf) for r in retrieval.fuse(dense, sparse, spots).collect()}
+    # In order: 11, 13, then those that score nothing, 10, 12, 14, then 15.
+    assert got[1, 10] == (2, round(1 / 60 + 0.3 / 62, 9)) and got[1, 11] == (0, round(1 / 61 + 0.3 / 60, 9)) and got[1, 14][0] == 4
+    assert got[2, 11] == (None, round(1 / 60, 9))
+
+
+def test_hybrid_falls_back_to_all_languages(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta word{i}" + (" rare" if i == 3 else ""), "en" if i < 5 else "de") for i in range(8)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "rare alpha", "en-US"), (2, "word6 alpha beta", "it"), (3, "word6 alpha beta", "en")], "query_id long, text string, lang string")
+    got = {}
+    for r in retrieval.hybrid(docs, asked).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.doc_id
+    assert got[1][1] == 3 and got[2][1] == 6 and all(d < 5 for d in got[3].values())
+    scores = {(r.query_id, r.doc_id) for r in retrieval.bm25(docs, asked).collect()}
+    assert {q for q, _ in scores} == {1, 3} and all(d < 5 for _, d in scores)
+
+
+def test_nearest_takes_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    assert len(retrieval.blocks(spark.range(10).select(F.col("id").alias("query_id")), 3)) == 4
+    v = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(40)], "vec_id long, label int, embedding array<double>")
+    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    got = {(r.query_id, r.rank): r.vec_id for r in retrieval.neighbours(v, q, 2).collect()}
+    assert all(got[i, 0] == 38 + i % 2 and got[i, 1] == 36 + i % 2 for i in range(1, 20)) and got[0, 0] == 2
 
 
 def test_exact_probe(spark):
@@ -130,3 +159,86 @@ def test_prompts_number_their_passages(spark):
     got = {r.query_id: r.prompt for r in answers.prompts(asked, hits).collect()}
     assert "[PASSAGE 1] (doc_id=9, lang=en, relevance=0.750)\nfirst\n\n[PASSAGE 2] (doc_id=7, lang=??, relevance=0.500)\nsecond\n\n" in got[1]
     assert "[NO CONTEXT AVAILABLE]" in got[2]
+
+
+def test_examples_drop_rows_with_gaps(spark):
+    schema = "query_id long, query string, Eng_Query string, Eng_Answer string, passages struct<English_passages:array<string>,Translated_passages:array<string>,is_selected:array<int>>"
+    two = (["a", "b"], ["x", "y"], [0, 1])
+    rows = [
+        (1, "q", "q", "yes", two), (2, "q", "q", "No Answer Present.", (["a"], ["x"], [0])), (3, "q", "q", "No Answer Present.", two), (4, "q", "q", "yes", (["a"], ["x"], [0])),
+        (5, "q", " ", "yes", two), (6, "q", "q", "yes", (["a"], ["x", "y"], [0, 1])), (7, "q", "q", "yes", (["a", ""], ["x", "y"], [0, 1])), (8, "q", "q", None, (["a"], ["x"], [0])), (9, None, "q", "yes", two),
+    ]
+    got = {r.query_id: (r.is_answerable, r.gt_answer_en, r.gt_passage_index) for r in records.examples(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (True, "yes", 1), 2: (False, None, None), 8: (False, None, None)}
+
+
+def test_squad_records(spark):
+    schema = "id string, title string, context string, question string, answers struct<text:array<string>>"
+    rows = [("56be4db0acb8001400a502ec", "T", "c", "q", (["a", "b"],)), ("xyz", None, None, None, ([],))]
+    got = records.from_squad(spark.createDataFrame(rows, schema)).collect()
+    assert got[0].query_id == int("56be4db0acb8001400a502ec", 16) % 2**31 and got[0].Eng_Answer == "a" and got[0].passages.url == ["squad://T"]
+    assert 0 <= got[1].query_id < 2**31 and got[1].passages.Translated_passages == [""] and got[1].passages.url == ["squad://unknown"]
+
+
+def test_reports_of_nothing_and_of_errors(spark):
+    schema = "verdict boolean, grounded boolean, judge_error string"
+    none, bad = spark.createDataFrame([], schema), spark.createDataFrame([(True, True, None), (False, True, "down")], schema)
+    assert tuple(reports.faithfulness(none).first()) == (0, 1.0, 0.0, 0, 1.0) and tuple(reports.correctness(none).first()) == (0, 0.0)
+    assert tuple(reports.faithfulness(bad).first()) == (0, None, None, None, None) and tuple(reports.correctness(bad).first()) == (0, None)
+    assert tuple(reports.faithfulness(bad.where("judge_error is null or verdict is null")).first()) == (1, 1.0, 0.0, 1, 1.0)
+    log = spark.createDataFrame([], "stt_ms double, retrieval_ms double, ttft_ms double, total_ms double, guardrail_rejected boolean, llm_refused boolean")
+    assert reports.latency_totals(log).count() == 0
+    line = spark.range(1).select(reports.gap_row(F.lit("recall"), F.lit(0.5), F.lit(1.0)).alias("x")).first().x
+    assert line == "  " + "recall".ljust(28) + "  0.500  [" + "#" * 12 + "." * 12 + "]  ideal 1.000  -50.0pp short"
+
+
+def test_collections_logs_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "hi", 1), ("b", "ta", 2)], "id string, lang_code string, n int")
+    store.write_collection(rows, f"{tmp_path}/chunks")
+    assert spark.read.parquet(f"{tmp_path}/chunks").where("lang_code = 'ta'").first().id == "b" and (tmp_path / "chunks" / "lang_code=hi").is_dir()
+    for _ in range(2):
+        store.append_log(rows, f"{tmp_path}/log")
+        reports.save_report(rows, f"{tmp_path}/reports")
+    assert spark.read.json(f"{tmp_path}/log").count() == 4
+    found = store.reports(spark, f"{tmp_path}/reports").collect()
+    assert len(found) >= 2 and [r.modified for r in found] == sorted((r.modified for r in found), reverse=True)
+    assert store.split_path("r", "hin", "train") == "r/train/hintrain.parquet" and store.split_path("r", "hin", "validation") == "r/validation/hinval.parquet"
+    assert store.lookup(rows.select("id"), rows.where("n = 1"), "id").where("n is null").count() == 1
+
+
+def test_latest_row_wins_and_ties_are_settled(spark):
+    old, new = spark.createDataFrame([(1, 5, "x"), (2, 1, "y")], "k int, at int, v string"), spark.createDataFrame([(1, 5, "z"), (3, 0, "n")], "k int, at int, v string")
+    assert sorted(map(tuple, evaluation.upsert(old, new, "k", "at").collect())) == [(1, 5, "z"), (2, 1, "y"), (3, 0, "n")]
+
+
+def test_frames_and_energy(spark):
+    chunks = spark.createDataFrame([("s", 1, 500), ("s", 2, 500), ("s", 3, 2000), ("t", 1, 100)], "stream_id string, seq int, n int")
+    assert sorted((r.frame, r.seq) for r in audio.frames(chunks).collect()) == [(0, 2), (1, 3), (2, 3)]
+    got = spark.createDataFrame([([0.003, -0.004],), ([],), (None,)], "x array<double>").select(audio.rms(F.col("x")).alias("p")).collect()
+    assert [round(r.p, 6) for r in got] == [0.353553, 0.0, 0.0]
+
+
+def test_voice_segments_of_a_stream(spark, tmp_path):
+    raw = [0.1, 0.9, 0.9, 0.9] + [0.0] * 14
+    parts = [raw[:6], raw[6:]]
+    schema = "stream_id string, seq long, p double"
+    (tmp_path / "in").mkdir()
+    query = voice.live_segments(spark.readStream.schema(schema).json(f"{tmp_path}/in")).writeStream.format("memory").queryName("heard").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append")
+    at, running = 0, None
+    for part in parts:
+        spark.createDataFrame([("s", at + i, p) for i, p in enumerate(part)], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        at += len(part)
+        running = running or query.start()
+        running.processAllAvailable()
+    running.stop()
+    whole = spark.createDataFrame([("s", i, p) for i, p in enumerate(raw)], schema)
+    want = [(r.seq, r.event) for r in voice.segments(voice.smoothed(whole)).orderBy("seq").collect()]
+    assert [(r.seq, r.event) for r in spark.table("heard").orderBy("seq").collect()] == want and len(want) == 2
+
+
+def test_requests_and_replies(spark):
+    one_of = lambda v, f: one(spark, v, f)
+    assert [one_of(x, lambda c: shaping.asked_language(c, "auto")) for x in ("EN-us", None, " hi ")] == ["en", "auto", "hi"]
+    assert [one_of(x, shaping.language_tag) for x in ("ne", "zz", None)] == ["ne-NP", "en-IN", "en-IN"]
+    assert bytes(one_of("data:x;base64,YWI=", shaping.audio_body)) == b"ab" and one_of(None, shaping.audio_suffix) == ".webm"
+    assert one_of("Thinking Process:\n1. x\nAnalyze y\nIt is 4.", shaping.cleaned_thinking) == "It is 4." and one_of('"quoted"', shaping.cleaned_thinking) == "quoted"
