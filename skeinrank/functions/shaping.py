@@ -52,6 +52,23 @@ def refusal(reason: Column, lang: Column) -> Column:
     return F.struct(F.lit(None).cast("string").alias("answer"), F.array().cast("array<string>").alias("sources"), F.lit(0.0).alias("confidence"), F.coalesce(lang, F.lit(DEFAULT_TAG)).alias("language"), F.lit(True).alias("refused"), reason.alias("refusal_reason"))
 
 
+#: What a question's body may hold.
+REQUEST = "query string, message string, textInput string, audioBase64 string, mimeType string, persona string, lang_code string, strategy string"
+
+
+def request(body: Column) -> Column:
+    """A request of any of the three shapes (question, chat, chat with voice) with its defaults; a broken body is null."""
+    r = F.from_json(body, REQUEST)
+    valid = F.try_parse_json(body).isNotNull()
+    kind = F.when(r["query"].isNotNull(), "query").when(r["message"].isNotNull(), "chat").otherwise("voice")
+    made = F.struct(
+        kind.alias("kind"), F.coalesce(r["query"], r["message"], r["textInput"]).alias("text"), F.when(kind == "voice", r["audioBase64"]).alias("audio"),
+        F.when(kind == "voice", F.coalesce(r["mimeType"], F.lit("audio/webm"))).alias("mime"), F.when(kind != "query", F.coalesce(r["persona"], F.lit("brutalist"))).alias("persona"),
+        F.when(kind == "query", F.coalesce(r["lang_code"], F.lit("en"))).otherwise(r["lang_code"]).alias("lang"), r["strategy"].alias("strategy"),
+    )
+    return F.when(valid, made)
+
+
 def missing_keys(required: list[str], present: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, required)), present)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import LANGUAGE_TAGS
 from ..functions import shaping
 from ..functions import text as tx
-from ..functions.vectors import unit
+from ..functions.vectors import pooled, unit
 from ..operators import chunking, records, routing
 from ..sources import store
 from ..sources.store import table
@@ -76,6 +76,17 @@ def api_replies(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", shaping.reply(document, asked, F.lit("hi-IN")).alias("r")).select("conv_id", "turn", "r.*")
 
 
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 30), '[^A-Za-z ]', '', 'g') AS t, turn % 5 AS k FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'query' WHEN 1 THEN 'chat' ELSE 'voice' END AS kind, CASE WHEN k < 3 THEN t END AS text, CASE WHEN k = 3 THEN 'YWI=' END AS audio, CASE WHEN k = 2 THEN 'audio/webm' WHEN k = 3 THEN 'audio/wav' END AS mime,
+  CASE k WHEN 1 THEN 'calm' WHEN 2 THEN 'brutalist' WHEN 3 THEN 'brutalist' END AS persona, CASE k WHEN 0 THEN 'en' WHEN 1 THEN 'hi-IN' END AS lang, CASE WHEN k = 0 THEN 'sliding' END AS strategy FROM t WHERE k < 4""")
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of each of the interface's shapes to requests; broken ones are left out."""
+    t = F.regexp_replace(F.left("text", F.lit(30)), "[^A-Za-z ]", "")
+    forms = ('{"query": "%s", "strategy": "sliding"}', '{"message": "%s", "persona": "calm", "lang_code": "hi-IN"}', '{"textInput": "%s", "history": []}', '{"audioBase64": "YWI=", "mimeType": "audio/wav", "n": "%s"}', '{"query": "%s')
+    body = F.element_at(F.array(*[F.format_string(x, t) for x in forms]), (F.col("turn") % len(forms) + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", shaping.request(body).alias("r")).where("r is not null").select("conv_id", "turn", "r.*")
+
+
 @query(f"""SELECT conv_id, turn, NULL::VARCHAR AS answer, 0::INT AS sources, 0.0::DOUBLE AS confidence, coalesce({_sql_pick("conv_id", ("hi-IN", None))}, 'en-IN') AS language, true AS refused,
   CASE WHEN turn % 2 = 0 THEN 'off_topic' ELSE 'insufficient_context' END AS refusal_reason FROM conversations""")
 def refusal_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,6 +225,16 @@ def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.round(dot, 6).alias("norm"), F.round(F.get(u, F.lit(0)), 6).alias("first"))
 
 
+@query("""WITH t AS (SELECT vec_id // 5 AS text_id, i, avg(x) FILTER (vec_id % 3 > 0) AS m FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY ALL)
+SELECT text_id, i::INT AS place, round(m / greatest(sqrt(sum(m * m) OVER (PARTITION BY text_id)), 1e-9), 9) AS x FROM t""")
+def pooled_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Five vectors stand for a text's tokens, every third is masked: masked mean pooling to unit vectors."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("text_id"), F.struct("vec_id", "embedding").alias("t"))
+    texts = e.groupBy("text_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # five rows a text
+    v = pooled(F.transform("t", lambda x: x["embedding"]), F.transform("t", lambda x: F.when(x["vec_id"] % 3 > 0, 1).otherwise(0)))
+    return texts.select("text_id", F.posexplode(v).alias("place", "x")).select("text_id", "place", F.round("x", 9).alias("x"))
+
+
 @query("SELECT vec_id, CASE WHEN len(embedding) = 0 THEN 0 ELSE round(least(1, sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / 50) * (x::DOUBLE / 50))) / len(embedding)) / 0.01), 9) END::DOUBLE AS p FROM embeddings")
 def speech_energy(spark: SparkSession, sf: str) -> DataFrame:
     """The energy of samples, for which a vector stands."""
