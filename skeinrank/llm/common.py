@@ -73,7 +73,7 @@ def attach(df: DataFrame, dim: DataFrame, keys: dict[str, str], spread: list[str
     rows of df to `salts` tasks by the hash of `spread`, and dim is repeated once per salt. dim must be cheap to
     read twice (pass a staged table). The columns of dim must not occur in df.
     """
-    if len(dim.head(limit + 1)) <= limit:
+    if dim.limit(limit + 1).count() <= limit:
         return df.join(F.broadcast(dim), same(df, dim, keys), "left").drop(*keys.values())
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int"))
     wide = dim.withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
