@@ -133,7 +133,7 @@ def _screened(df: DataFrame, ids: DataFrame, key: list[str], n: int, most_blocks
     return df.withColumn("__block", block).join(F.broadcast(bits), "__block", "left").withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("__block", "__bits")
 
 
-def among(df: DataFrame, ids: DataFrame, key: list[str], limit: int = 20_000, most_blocks: int = 4096) -> DataFrame:
+def among(df: DataFrame, ids: DataFrame, key: list[str], limit: int = 1_000, most_blocks: int = 4096) -> DataFrame:
     """Rows of df whose key is among ids (distinct keys, staged), without shuffling most others.
 
     ids are broadcast if they are at most `limit`; else a Bloom filter of bounded size lets through few others, and only
@@ -145,7 +145,7 @@ def among(df: DataFrame, ids: DataFrame, key: list[str], limit: int = 20_000, mo
     return _screened(df, ids, key, n, most_blocks).where("__maybe").drop("__maybe").join(ids, key, "left_semi")
 
 
-def without(df: DataFrame, ids: DataFrame, key: list[str], limit: int = 20_000, most_blocks: int = 4096) -> DataFrame:
+def without(df: DataFrame, ids: DataFrame, key: list[str], limit: int = 1_000, most_blocks: int = 4096) -> DataFrame:
     """Rows of df whose key isn't among ids (distinct keys, staged), without shuffling most of them; see `among`."""
     n = ids.count()
     if n <= limit:
