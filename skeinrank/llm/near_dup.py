@@ -259,7 +259,7 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     rest = _undone(member.where("n > 2 and node <> hub").select("key", "node"), labels).select("node").distinct()
     sets = _sets(docs, classes, staged(rest, "open"), p, "open-sets")
     open_ = staged(prefixes(sets, p.percent), "prefixes")
-    many, shares = p.hubs, iter((1, 2, 4))
+    many = p.hubs
 
     def fits(a: Column, b: Column, at: Column, bt: Column) -> Column:
         """Whether sets of sizes a and b whose first common shingle has the places at and bt can be similar enough."""
@@ -271,10 +271,7 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
             return labels
         x, y = (left.where(F.col("n") <= p.small).alias(c) for c in "xy")
         each = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.size"), F.col("y.size"), F.col("x.pos"), F.col("y.pos"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        share = next(shares, 8)
-        turn = F.pmod(F.xxhash64("key"), F.lit(8)) < share
-        whole = left.where(F.col("n") > p.small).withColumnRenamed("n", "of")
-        big, later = whole.where(turn), whole.where(~turn)
+        big = left.where(F.col("n") > p.small).withColumnRenamed("n", "of")
         counts = staged(big.groupBy("key", "label").agg(F.count("*").alias("n")), "counts")
         total = left.count()
         order = Window.partitionBy("key").orderBy("n", "node")
@@ -284,9 +281,8 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         pairs = staged(each.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found, tested = found.union(_confirm(docs, classes, pairs, p)), tested.union(pairs)
         labels = staged(components(found), "labels")
-        kept = big.join(hubs.select("key", F.col("h").alias("node")), ["key", "node"], "left_anti")
-        open_ = kept.unionByName(later).select("key", "node", "size", "pos")
-        many = many * 4 if share == 8 else many
+        open_ = big.join(hubs.select("key", F.col("h").alias("node")), ["key", "node"], "left_anti").select("key", "node", "size", "pos")
+        many *= 4
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
