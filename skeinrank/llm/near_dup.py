@@ -277,7 +277,13 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         order = Window.partitionBy("key").orderBy("n", "node")
         least = meet(big, counts, ["key", "label"], total).withColumn("i", F.row_number().over(order)).where(F.col("i") <= many)
         hubs = staged(least.select("key", "of", F.col("node").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hs"), F.col("pos").alias("hp")), "hubs")
-        star = fan(big, hubs, "key", "of", heavy(total), "node").where((F.col("label") != F.col("hl")) & fits(F.col("size"), F.col("hs"), F.col("pos"), F.col("hp"))).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
+        # A bucket's hubs come to its members as one array, and a member's hubs of all its buckets are made distinct before they are paired.
+        several = staged(hubs.groupBy("key", "of").agg(F.collect_list(F.struct("h", "hl", "hs", "hp")).alias("hubs")), "hub-lists")
+        met = fan(big, several, "key", "of", heavy(total), "node")
+        open_hubs = F.filter("hubs", lambda x: (x["hl"] != F.col("label")) & fits(F.col("size"), x["hs"], F.col("pos"), x["hp"]))
+        met = met.select("node", F.transform(open_hubs, lambda x: x["h"]).alias("hubs")).where(F.size("hubs") > 0)
+        met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
+        star = met.select("node", F.explode("hubs").alias("h")).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
         pairs = staged(each.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found, tested = found.union(_confirm(docs, classes, pairs, p)), tested.union(pairs)
         labels = staged(components(found), "labels")
