@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, mixing, near_dup, packing, pii, quality_classifier, quality_rules, token_store, url_filter
+from . import ann, html_extract, lexical_search, mixing, near_dup, packing, periodic, pii, piece_codes, quality_classifier, quality_rules, token_store, url_filter
 from .tokens import byte_bpe_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,13 +71,25 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(periodic.planted(_table(spark, sf_dir, "documents")), least=12))
+
+
+def op12_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codes.digests(piece_codes.encode(_table(spark, sf_dir, "documents"), piece_codes.piece_model_path()))
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), lexical_search.Lexical(k=50))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_adaptive_ann, op3_quality_rules, op4_token_codes, op5_tree_packing, op6_near_duplicates, op7_url_cascade, op8_html_labeller, op9_pii_surrogates, op10_pu_quality, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_adaptive_ann, op3_quality_rules, op4_token_codes, op5_tree_packing, op6_near_duplicates, op7_url_cascade, op8_html_labeller, op9_pii_surrogates, op10_pu_quality, op11_periodic_runs, op12_piece_codes, op13_dual_tree_search, pipeline)}
 
 _OP1 = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
@@ -121,4 +133,16 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.k = 1
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": _OP1, "op6_near_duplicates": _OP6, "op7_url_cascade": _OP7}
+_OP13 = r"""
+WITH s AS (SELECT row_number() OVER () AS r, doc_id, t, len(t)::BIGINT AS own FROM (SELECT doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents) WHERE len(t) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(own)::BIGINT AS total FROM s),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM s) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), g),
+p AS (SELECT f.r, s.doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * own * docs) // total)) AS part FROM f JOIN s ON f.r = s.r, g),
+c AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * part)::BIGINT AS score FROM i JOIN w ON i.term = w.term JOIN p ON p.term = w.term GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM c WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mixing": _OP1, "op6_near_duplicates": _OP6, "op7_url_cascade": _OP7, "op13_dual_tree_search": _OP13}
