@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.shaping import asked_language
 from ..functions.text import strip
 
 
@@ -46,19 +47,21 @@ def route(vectors: DataFrame, cells: DataFrame, reject: list[int], config: Confi
 def exact_probe(asked: DataFrame, cached: DataFrame) -> DataFrame:
     """First cached response of each asked text over its own language, then auto, ta, hi, en, te.
 
-    asked: query_id, lang, text; cached: lang, text, response. (query_id, hit_lang, response).
+    asked: query_id, lang, text; cached: lang, text, response. (query_id, hit_lang, response). Languages count by their first part,
+    in lower case, on both sides; none is auto.
     """
     key = lambda c: F.lower(strip(c))
-    langs = F.array(F.col("lang"), *[F.lit(x) for x in ("auto", "ta", "hi", "en", "te")])
+    langs = F.array(asked_language(F.col("lang"), "auto"), *[F.lit(x) for x in ("auto", "ta", "hi", "en", "te")])
     tries = asked.select("query_id", key(F.col("text")).alias("k"), F.posexplode(langs).alias("ord", "hit_lang"))
-    kept = cached.select(F.col("lang").alias("hit_lang"), key(F.col("text")).alias("k"), "response")
+    kept = cached.select(asked_language(F.col("lang"), "auto").alias("hit_lang"), key(F.col("text")).alias("k"), "response")
     hit = tries.join(kept, ["hit_lang", "k"])
     return hit.groupBy("query_id").agg(F.min(F.struct("ord", "response", "hit_lang")).alias("b")).select("query_id", F.col("b.hit_lang").alias("hit_lang"), F.col("b.response").alias("response"))
 
 
 def semantic_probe(best: DataFrame, threshold: float = DEFAULT.cache_threshold) -> DataFrame:
     """best: query_id, lang, and the nearest cached entry (vec_id, score, entry_lang): hits above the threshold in the language."""
-    ok = (F.col("lang") == "auto") | (F.col("lang") == F.col("entry_lang"))
+    lang = asked_language(F.col("lang"), "auto")
+    ok = (lang == "auto") | (lang == asked_language(F.col("entry_lang"), "auto"))
     return best.where((F.col("score") >= threshold) & ok)
 
 

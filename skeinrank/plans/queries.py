@@ -178,17 +178,30 @@ def centroid_route(spark: SparkSession, sf: str) -> DataFrame:
     return routing.route(v, routing.centroids(v), [9])
 
 
-@query("""WITH u AS (SELECT conv_id AS query_id, text, (['en','ta','hi','auto'])[(conv_id % 4 + 1)::INT] AS lang FROM conversations WHERE role = 'user'),
-e AS (SELECT DISTINCT (['en','te','hi'])[(conv_id % 3 + 1)::INT] AS lang, lower(trim(text)) AS k, md5(text) AS response FROM conversations WHERE role = 'user'),
-o AS (SELECT lang AS hit_lang, k, min(response) AS response FROM e GROUP BY lang, k),
-t AS (SELECT query_id, lower(trim(text)) AS k, unnest([lang,'auto','ta','hi','en','te']) AS hit_lang, unnest(range(0, 6)) AS ord FROM u),
+_CACHE_ASKED = ("en-US", "ta", "bn-IN", None, "HI_in", " Te ", "auto")
+_CACHE_KEPT = ("EN_gb", "te", "hi-IN", "bn")
+
+
+def _first_part(lang: str) -> str:
+    return f"lower(trim(split_part(split_part(coalesce({lang}, 'auto'), '-', 1), '_', 1)))"
+
+
+def _sql_list(values: tuple[str | None, ...]) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH u AS (SELECT conv_id AS query_id, text, ({_sql_list(_CACHE_ASKED)})[(conv_id % 7 + 1)::INT] AS lang FROM conversations WHERE role = 'user'),
+e AS (SELECT ({_sql_list(_CACHE_KEPT)})[(conv_id % 4 + 1)::INT] AS lang, lower(trim(text)) AS k, md5(text) AS response FROM conversations WHERE role = 'user'),
+o AS (SELECT {_first_part("lang")} AS hit_lang, k, min(response) AS response FROM e GROUP BY lang, k),
+t AS (SELECT query_id, lower(trim(text)) AS k, unnest([{_first_part("lang")}, 'auto', 'ta', 'hi', 'en', 'te']) AS hit_lang, unnest(range(0, 6)) AS ord FROM u),
 h AS (SELECT query_id, ord, response, o.hit_lang FROM t JOIN o ON t.hit_lang = o.hit_lang AND t.k = o.k)
 SELECT query_id, hit_lang, response FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, response, hit_lang) AS i FROM h) WHERE i = 1""")
 def exact_cache_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions in languages with and without regions to the responses kept under others."""
     c = table(spark, sf, "conversations").where("role = 'user'")
     pick = lambda langs: F.element_at(F.array(*map(F.lit, langs)), (F.col("conv_id") % len(langs) + 1).cast("int"))
-    cached = c.select(pick(("en", "te", "hi")).alias("lang"), F.lower(tx.strip(F.col("text"))).alias("text"), F.md5("text").alias("response")).groupBy("lang", "text").agg(F.min("response").alias("response"))
-    return routing.exact_probe(c.select(F.col("conv_id").alias("query_id"), pick(("en", "ta", "hi", "auto")).alias("lang"), "text"), cached)
+    cached = c.select(pick(_CACHE_KEPT).alias("lang"), F.lower(tx.strip(F.col("text"))).alias("text"), F.md5("text").alias("response")).groupBy("lang", "text").agg(F.min("response").alias("response"))
+    return routing.exact_probe(c.select(F.col("conv_id").alias("query_id"), pick(_CACHE_ASKED).alias("lang"), "text"), cached)
 
 
 @query(f"""WITH {_BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm),
@@ -266,18 +279,6 @@ def vad_segments(spark: SparkSession, sf: str) -> DataFrame:
     return voice.segments(voice.smoothed(e))
 
 
-@query(r"""WITH m AS (SELECT conv_id, turn, regexp_replace(left(text, 30), '[^A-Za-z ]', '', 'g') AS t FROM conversations),
-x AS (SELECT conv_id AS session_id, turn AS seq, t, CASE WHEN turn % 6 IN (0, 1, 4) THEN 1 WHEN turn % 6 IN (2, 5) THEN 2 ELSE 0 END AS kind FROM m),
-l AS (SELECT session_id, kind, arg_max(t, seq) AS t FROM x WHERE kind = 1 OR (kind = 2 AND t <> '') GROUP BY session_id, kind)
-SELECT session_id, max(t) FILTER (kind = 1) AS partial, max(t) FILTER (kind = 2) AS final FROM l GROUP BY session_id""")
-def transcript_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages in each form of the speech service, also broken ones, to each session's last partial and final text."""
-    t = F.regexp_replace(F.left("text", F.lit(30)), "[^A-Za-z ]", "")
-    forms = ('{"event": "transcript.partial", "transcript": "%s"}', '{"transcript": "%s"}', '{"event": "transcript.final", "transcript": "%s"}', '{"transcript": "%s', '{"transcript": "%s", "is_final": false, "x": 1}', '{"type": "data", "data": {"transcript": "%s"}}')
-    body = F.element_at(F.array(*[F.format_string(x, t) for x in forms]), (F.col("turn") % len(forms) + 1).cast("int"))
-    return voice.transcripts(voice.messages(table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), body.alias("body"))))
-
-
 @query(r"""SELECT k.query_id, 'USER QUERY:' || chr(10) || any_value(b.text) || chr(10) || chr(10) || 'CONTEXT PASSAGES:' || chr(10) ||
   string_agg('[PASSAGE ' || rank || '] (doc_id=' || k.doc_id || ', lang=' || coalesce(d.lang, '??') || ', relevance=' || printf('%.3f', rrf) || ')' || chr(10) || regexp_replace(d.text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY rank)
   || chr(10) || chr(10) || 'Remember: Respond with ONLY valid JSON matching the required schema. No other text.' AS prompt
@@ -334,21 +335,3 @@ SELECT *, CASE WHEN length(coalesce(partial, '')) > length(coalesce(final, ''))
 def transcript_final(spark: SparkSession, sf: str) -> DataFrame:
     said = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), (F.col("role") == "assistant").alias("is_final"), "text")
     return voice.transcripts(said).withColumn("winner", tx.transcript_winner(F.col("final"), F.col("partial")))
-
-
-@query(r"""WITH m AS (SELECT conv_id, turn, trim(regexp_replace(left(text, 25), '[^A-Za-z ]', '', 'g')) AS t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole, conv_id % 6 AS k FROM conversations)
-SELECT conv_id, turn, CASE WHEN k IN (0, 1, 2) THEN t WHEN k = 3 THEN NULL WHEN length(whole) > 0 AND length(whole) < 300 THEN whole END AS answer,
-  CASE WHEN k = 0 THEN 0.5 WHEN k = 1 THEN 0 WHEN k = 2 THEN 0.95 WHEN k = 3 THEN 0 WHEN length(whole) > 0 AND length(whole) < 300 THEN 0.9 ELSE 0 END::DOUBLE AS confidence,
-  CASE WHEN k IN (0, 1, 2) THEN false WHEN k = 3 THEN true ELSE NOT (length(whole) > 0 AND length(whole) < 300) END AS refused,
-  CASE WHEN k = 3 THEN 'parse_error' WHEN k IN (4, 5) AND whole = '' THEN 'insufficient_context' WHEN k IN (4, 5) AND length(whole) >= 300 THEN 'parse_error' END AS refusal_reason,
-  CASE k WHEN 0 THEN 'q1_p2,q3_p4' WHEN 1 THEN '' WHEN 2 THEN 'q7_p0' WHEN 3 THEN '' ELSE CASE WHEN length(whole) > 0 AND length(whole) < 300 THEN 'general_knowledge' ELSE '' END END AS sources FROM m""")
-def answer_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies of a model as whole JSON in a fence, with keys missing behind a think tag, cut off, broken, and as text."""
-    t = F.trim(F.regexp_replace(F.left("text", F.lit(25)), "[^A-Za-z ]", ""))
-    forms = (
-        '```json\n{"answer": "%s", "sources": ["q1_p2", "q3_p4"], "confidence": 0.5, "language": "en", "refused": false, "refusal_reason": null}\n``` done',
-        '<think>hm {"answer": "no"}</think> {"answer": "%s"} bye', '{"answer": "%s", "sources": ["q7_p0"', "{nothing of use: %s",
-    )
-    body = F.element_at(F.array(*[F.format_string(x, t) for x in forms], F.col("text"), F.col("text")), (F.col("conv_id") % 6 + 1).cast("int"))
-    a = table(spark, sf, "conversations").select("conv_id", "turn", answers.repaired(body).alias("a"))
-    return a.select("conv_id", "turn", "a.answer", "a.confidence", "a.refused", "a.refusal_reason", F.array_join("a.sources", ",").alias("sources"))

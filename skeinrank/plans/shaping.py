@@ -62,31 +62,20 @@ def search_hits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(shaping.hit(payload, F.col("n_chars") / 1000).alias("h")).select("h.*")
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 4 = 0 THEN '' ELSE text END AS asked, CASE WHEN conv_id % 3 = 0 THEN 'heard' END AS heard, CASE WHEN turn % 2 = 1 THEN left(text, 20) ELSE '' END AS said,
+@query(f"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 4 = 0 THEN '' ELSE text END AS asked, CASE WHEN conv_id % 3 = 0 THEN 'heard' END AS heard, CASE WHEN turn % 2 = 1 THEN text ELSE '' END AS said,
   CASE WHEN conv_id % 2 = 0 THEN 0.5 END::DOUBLE AS sure, {_sql_pick("conv_id", ("en-IN", "", None))} AS spoken, CASE WHEN conv_id % 5 = 0 THEN true END AS no FROM conversations)
 SELECT conv_id, turn, CASE WHEN asked = '' THEN 'No query provided' ELSE coalesce(heard, asked) END AS transcription, CASE WHEN asked = '' THEN 'Please speak or type a question.' ELSE coalesce(nullif(said, ''), 'Acknowledged.') END AS reply,
   CASE WHEN asked = '' THEN 0 ELSE coalesce(sure, 0.95) END::DOUBLE AS confidence, CASE WHEN asked = '' THEN 'hi-IN' ELSE coalesce(nullif(spoken, ''), 'hi-IN') END AS language, asked <> '' AND coalesce(no, false) AS refused FROM a""")
 def api_replies(spark: SparkSession, sf: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     document = F.struct(
-        F.when(c % 3 == 0, "heard").alias("transcription"), F.when(t % 2 == 1, F.left("text", F.lit(20))).otherwise("").alias("answer"), F.when(c % 2 == 0, 0.5).alias("confidence"),
+        F.when(c % 3 == 0, "heard").alias("transcription"), F.when(t % 2 == 1, F.col("text")).otherwise("").alias("answer"), F.when(c % 2 == 0, 0.5).alias("confidence"),
         _pick("conv_id", ("en-IN", "", None)).alias("language"), F.when(c % 5 == 0, True).alias("refused"),
     )
     asked = F.when((t == 0) & (c % 4 == 0), "").otherwise(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", shaping.reply(document, asked, F.lit("hi-IN")).alias("r")).select("conv_id", "turn", "r.*")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 30), '[^A-Za-z ]', '', 'g') AS t, turn % 5 AS k FROM conversations)
-SELECT conv_id, turn, CASE k WHEN 0 THEN 'query' WHEN 1 THEN 'chat' ELSE 'voice' END AS kind, CASE WHEN k < 3 THEN t END AS text, CASE WHEN k = 3 THEN 'YWI=' END AS audio, CASE WHEN k = 2 THEN 'audio/webm' WHEN k = 3 THEN 'audio/wav' END AS mime,
-  CASE k WHEN 1 THEN 'calm' WHEN 2 THEN 'brutalist' WHEN 3 THEN 'brutalist' END AS persona, CASE k WHEN 0 THEN 'en' WHEN 1 THEN 'hi-IN' END AS lang, CASE WHEN k = 0 THEN 'sliding' END AS strategy FROM t WHERE k < 4""")
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Bodies of each of the interface's shapes to requests; broken ones are left out."""
-    t = F.regexp_replace(F.left("text", F.lit(30)), "[^A-Za-z ]", "")
-    forms = ('{"query": "%s", "strategy": "sliding"}', '{"message": "%s", "persona": "calm", "lang_code": "hi-IN"}', '{"textInput": "%s", "history": []}', '{"audioBase64": "YWI=", "mimeType": "audio/wav", "n": "%s"}', '{"query": "%s')
-    body = F.element_at(F.array(*[F.format_string(x, t) for x in forms]), (F.col("turn") % len(forms) + 1).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", shaping.request(body).alias("r")).where("r is not null").select("conv_id", "turn", "r.*")
-
-
 @query(f"""SELECT conv_id, turn, NULL::VARCHAR AS answer, 0::INT AS sources, 0.0::DOUBLE AS confidence, coalesce({_sql_pick("conv_id", ("hi-IN", None))}, 'en-IN') AS language, true AS refused,
   CASE WHEN turn % 2 = 0 THEN 'off_topic' ELSE 'insufficient_context' END AS refusal_reason FROM conversations""")
 def refusal_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,26 +118,6 @@ def request_marks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", shaping.request_id("q", ts).alias("request_id"), shaping.utc_text(ts).alias("at"))
 
 
-_THOUGHTS = ("{t}", "<think>hm {t}</think>- \"{t}\"", "Thinking Process:\n1. Analyze {t}\nIt is so.\n2. {t}", "**Analyze** x\n**Formulate Answer:**\n\n* {t}", "thinking process\n- a\n- {t}")
-
-
-def _sql_thoughts() -> str:
-    return "[" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{t}", "' || t || '") + "'" for x in _THOUGHTS) + "]"
-
-
-@query(rf"""WITH t AS (SELECT conv_id, turn, left({_S.format("regexp_replace(text, '[^A-Za-z ]', '', 'g')")}, 40) AS t FROM conversations), r AS (SELECT conv_id, turn, ({_sql_thoughts()})[(conv_id % 5 + 1)::INT] AS raw FROM t),
-c AS (SELECT *, regexp_replace(raw, '<think>.*?</think>', '', 'gis') AS cut, contains(lower(raw), 'thinking process') OR contains(lower(raw), '**analyze') OR contains(lower(raw), '<think>') AS shows FROM r),
-l AS (SELECT *, regexp_extract(cut, '\*\*Formulate Answer:?\*\*\s*[\r\n]+(.+)$', 1, 'is') AS after, list_filter(list_transform(string_split(cut, chr(10)), lambda x: {_S.format("x")}), lambda x: x <> '') AS lines FROM c),
-p AS (SELECT *, list_filter(lines, lambda x: NOT regexp_matches(x, '^([1-5]\.|[-*#])') AND NOT regexp_matches(lower(x), 'thinking process|analyze|determine|formulate')) AS plain FROM l),
-f AS (SELECT conv_id, turn, CASE WHEN NOT shows THEN raw WHEN after <> '' THEN {_S.format("after")} WHEN len(plain) > 0 THEN plain[-1] WHEN len(lines) > 0 THEN lines[-1] ELSE cut END AS x FROM p)
-SELECT conv_id, turn, {_S.format("regexp_replace(regexp_replace(x, '^[-\\s*•\"''`:]+', ''), '[\"''`]+$', '')")} AS text FROM f""".replace("\\\\s*•", "\\s*•"))
-def cleaned_thinking(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies with their reasoning, in every form it is shown in, cleaned."""
-    t = F.left(tx.strip(F.regexp_replace("text", "[^A-Za-z ]", "")), F.lit(40))
-    raw = F.replace(_pick("conv_id", _THOUGHTS), F.lit("{t}"), t)
-    return table(spark, sf, "conversations").select("conv_id", "turn", shaping.cleaned_thinking(raw).alias("text"))
-
-
 @query("SELECT 'documents' AS collection, coalesce(lang, '') AS lang, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM documents GROUP BY lang")
 def collection_counts(spark: SparkSession, sf: str) -> DataFrame:
     per = table(spark, sf, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n"))
@@ -183,17 +152,17 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, substr(md5(doc_id::VARCHAR), 1, 24) AS id, text, lang FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE ('0x' || substr(id, 10, 15))::BIGINT % 2147483648 END AS query_id, left(text, 50) AS query, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(lang, '') END AS answer,
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE ('0x' || substr(id, 10, 15))::BIGINT % 2147483648 END AS query_id, md5(text || '?') AS query, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(lang, '') END AS answer,
   'squad://' || CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 't' || doc_id END AS url, md5(text) AS digest FROM d""")
 def squad_records(spark: SparkSession, sf: str) -> DataFrame:
     """Passages of a second source in the shape of question records; ids that aren't hexadecimal are shown as -1 here."""
     d = F.col("doc_id")
     rows = table(spark, sf, "documents").select(
         "doc_id", F.when(d % 7 == 0, F.concat(F.lit("x"), d.cast("string"))).otherwise(F.substring(F.md5(d.cast("string")), 1, 24)).alias("id"), F.when(d % 4 != 0, F.concat(F.lit("t"), d.cast("string"))).alias("title"),
-        F.col("text").alias("context"), F.left("text", F.lit(50)).alias("question"), F.struct(F.when(d % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.coalesce("lang", F.lit("")))).alias("text")).alias("answers"),
+        F.col("text").alias("context"), F.concat("text", F.lit("?")).alias("question"), F.struct(F.when(d % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.coalesce("lang", F.lit("")))).alias("text")).alias("answers"),
     )
     made = records.from_squad(rows, keep=("doc_id",))
-    return made.select("doc_id", F.when(d % 7 == 0, F.lit(-1)).otherwise(F.col("query_id")).alias("query_id"), "query", F.col("Eng_Answer").alias("answer"), F.get("passages.url", F.lit(0)).alias("url"), F.md5(F.get("passages.Translated_passages", F.lit(0))).alias("digest"))
+    return made.select("doc_id", F.when(d % 7 == 0, F.lit(-1)).otherwise(F.col("query_id")).alias("query_id"), F.md5("query").alias("query"), F.col("Eng_Answer").alias("answer"), F.get("passages.url", F.lit(0)).alias("url"), F.md5(F.get("passages.Translated_passages", F.lit(0))).alias("digest"))
 
 
 @query("SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS i FROM events WHERE event_type <> 'error' AND value > 1) WHERE i <= 5000")
@@ -255,13 +224,14 @@ def audio_frames(spark: SparkSession, sf: str) -> DataFrame:
     return audio.frames(table(spark, sf, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 7 * 400 + 100).alias("n")))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'தமிழ் ' ELSE '' END || left(text, 10) AS anchored, CASE conv_id % 4 WHEN 1 THEN 'తెలుగు ' ELSE '' END || left(text, (turn * 7)::INT) AS general FROM conversations)
+@query("""WITH p AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'தமிழ் ' ELSE '' END || text AS anchored, CASE conv_id % 4 WHEN 1 THEN 'తెలుగు ' ELSE '' END || CASE WHEN turn % 3 = 0 THEN text || '.' WHEN turn % 3 = 1 THEN reverse(text) ELSE split_part(text, ' ', 1) END AS general FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(anchored, '[\\x{0B80}-\\x{0BFF}\\x{0900}-\\x{097F}]') THEN anchored WHEN regexp_matches(general, '[\\x{0C00}-\\x{0C7F}]') THEN general WHEN length(general) > length(anchored) THEN general ELSE anchored END AS winner FROM p""")
 def two_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     """Two transcripts of the same speech, by different calls, to one."""
-    c = F.col("conv_id") % 4
-    anchored = F.concat(F.when(c == 0, F.lit("தமிழ் ")).otherwise(""), F.left("text", F.lit(10)))
-    general = F.concat(F.when(c == 1, F.lit("తెలుగు ")).otherwise(""), F.left("text", (F.col("turn") * 7).cast("int")))
+    c, turn = F.col("conv_id") % 4, F.col("turn") % 3
+    heard = F.when(turn == 0, F.concat("text", F.lit("."))).when(turn == 1, F.reverse("text")).otherwise(F.substring_index("text", " ", 1))
+    anchored = F.concat(F.when(c == 0, F.lit("தமிழ் ")).otherwise(""), "text")
+    general = F.concat(F.when(c == 1, F.lit("తెలుగు ")).otherwise(""), heard)
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.transcript_winner(anchored, general).alias("winner"))
 
 

@@ -112,6 +112,26 @@ def test_exact_probe(spark):
     assert [tuple(r) for r in routing.exact_probe(asked, cached).collect()] == [(1, "ta", "r1")]
 
 
+def test_probe_cuts_regions_from_languages(spark):
+    asked = spark.createDataFrame([(1, "bn-IN", "Hello"), (2, "EN_us", "hello "), (3, None, "hello"), (4, "te", "x")], "query_id int, lang string, text string")
+    cached = spark.createDataFrame([("bn", "hello", "r1"), ("en-GB", "hello", "r2"), (None, "x", "r3")], "lang string, text string, response string")
+    assert sorted(tuple(r) for r in routing.exact_probe(asked, cached).collect()) == [(1, "bn", "r1"), (2, "en", "r2"), (3, "en", "r2"), (4, "auto", "r3")]
+
+
+def test_answers_in_every_state(spark):
+    fix = lambda t: tuple(one(spark, t, lambda c: answers.repaired(c, "hi")))
+    assert fix('<think>unclosed {"answer":"no"}') == ("no", [], 0.0, "hi", False, None)
+    assert fix('{"answer": "x", "confidence": 0.5} and {"b": 1}') == ("x", ["general_knowledge"], 0.95, "hi", False, None)
+    assert fix('{"answer": "x"}, {"b": 1}')[2] == fix('{"answer": "x"}} , {"b": 1}')[2] == fix("{'b': 'x', \"answer\": \"x\"}")[2] == 0.95
+    assert fix('```json\n{"answer":"A","sources":null,"confidence":null,"language":"te"}\n```') == ("A", None, None, "te", False, None)
+    assert fix('{"answer":"a\\u00e9\\nb","x":')[0] == "aé\nb" and fix('{"answer": "é \\n ü"')[0] == "é \n ü" and fix('{"answer": "a \\u12" ')[0] == "a \\u12"
+    assert fix('Sources "q1_p2" "general_knowledge" q9_p9 "q1_p2" {"answer": "z')[:2] == ("z", ["q1_p2", "general_knowledge"])
+    assert fix('{"answer": "", "sources": [') == ("", ["general_knowledge"], 0.95, "hi", False, None)
+    assert fix('{"answer": "Thinking process\\n- a\\nSo it is."}')[0] == "So it is." and fix("thinking process\n1. x\n**Yes.**")[:3] == ("Yes.**", ["general_knowledge"], 0.9)
+    assert fix("<think>a</think>")[5] == fix("x" * 300)[5] == fix("{")[5] == "parse_error" and fix(" \n")[5] == fix(None)[5] == "insufficient_context"
+    assert len(fix('{"answer": "' + '\\"a' * 50_000 + '", "')[0]) == 150_000
+
+
 def test_answers(spark):
     fix = lambda t: one(spark, t, answers.repaired)
     assert fix('<think>x</think>```json\n{"answer": "Paris", "confidence": 0.5}\n``` bye').answer == "Paris"
