@@ -13,15 +13,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as tx
-from ..functions.vectors import hash_matrix, hash_vector, unit_rows
+from ..sources.work import written
+from .sparse_index import SparseIndex
+from ..functions.vectors import hash_cells, hash_matrix, hash_vector, unit_rows
 
 #: Queries of one block of dense search, and rows that may be broadcast.
 BLOCK, FEW = 4096, 200_000
+#: Languages that documents may have.
+MOST_LANGUAGES = 10_000
 
 
 def few(df: DataFrame, limit: int = FEW) -> Callable[[DataFrame], DataFrame]:
@@ -43,9 +48,11 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 def weights(vocab: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(corpus, term, idf, avgdl): Okapi weights; negative ones become a share of the mean over the corpus' vocabulary."""
-    corpora = F.broadcast(vocab.where("term is null").select("corpus", F.col("n").alias("docs"), (F.col("size") / F.col("n")).alias("avgdl")))  # a row per language
+    corpora = vocab.where("term is null").select("corpus", F.col("n").alias("docs"), (F.col("size") / F.col("n")).alias("avgdl"))  # a row per language
+    small = few(corpora)
+    corpora = small(corpora)
     raw = vocab.where("term is not null").join(corpora, "corpus").select("corpus", "term", "avgdl", (F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
-    mean = F.broadcast(raw.groupBy("corpus").agg(F.avg("raw").alias("mean")))  # a row per language
+    mean = small(raw.groupBy("corpus").agg(F.avg("raw").alias("mean")))
     return raw.join(mean, "corpus").select("corpus", "term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * config.bm25_epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
@@ -69,11 +76,12 @@ def bm25(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataF
 def hash_vectors(texts: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
     """(key, bucket, value): unit vectors of hashed lower-case words, as their cells; no words: the first axis.
 
-    The sign of a word is that of its bucket, as the number of axes is even. Words are hashed once per Python worker.
+    The sign of a word is that of its bucket, as the number of axes is even. Words are hashed once per Python worker, and
+    only cells that aren't zero leave it.
     """
-    cells = texts.select(key, hash_vector(config.dims)(F.col("text")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return cells.select(key, norm.alias("norm"), F.posexplode("v").alias("bucket", "n")).where("n <> 0").select(key, "bucket", (F.col("n") / F.col("norm")).alias("value"))
+    kind = texts.schema[key].dataType
+    made = texts.select(key, "text").mapInArrow(hash_cells(config.dims, to_arrow_type(kind)), f"key {kind.simpleString()}, bucket int, value double")
+    return made.withColumnRenamed("key", key)
 
 
 def blocks(queries: DataFrame, size: int = BLOCK) -> list[DataFrame]:
@@ -129,7 +137,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, matrix: Callable[[pa.Re
 
 def _own_corpus(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """queries with grp: the language if there are documents in it, else null."""
-    known = [r.corpus for r in docs.select(_key(docs).alias("corpus")).distinct().collect()]  # languages
+    known = [r.corpus for r in docs.select(_key(docs).alias("corpus")).distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is lang a language?")
     return queries.withColumn("grp", F.when(_key(queries).isin(known), _key(queries)))
 
 
@@ -176,38 +186,49 @@ def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def fuse(dense: DataFrame, sparse: DataFrame, spots: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Reciprocal ranks of the dense candidates: (query_id, doc_id, dense_rank, sparse_rank, rrf).
 
-    dense: query_id, corpus (null: no sparse part), doc_id, rank. The sparse rank counts the better documents of the
-    whole corpus; those without a shared term score 0, and equals stand in order of doc_id. spots: see `places`.
+    dense: query_id, corpus (null: no sparse part), doc_id, rank, at most `candidates` rows a query. The sparse rank counts the better
+    documents of the whole corpus; those without a shared term score 0, and equals stand in order of doc_id. spots: see `places`.
+    Each hit of a query is counted once, by its place among the query's candidates, in order of score and in order of id.
     """
+    small = few(dense)
     own = dense.select("query_id", "corpus", "doc_id", F.col("rank").alias("dense_rank")).join(sparse, ["query_id", "doc_id"], "left").withColumn("s", F.coalesce("score", F.lit(0.0))).drop("score")
-    c = few(dense)(own.where("corpus is not null").select("query_id", F.col("doc_id").alias("c"), "s"))
-    ahead = sparse.join(c, "query_id").groupBy("query_id", F.col("c").alias("doc_id")).agg(
-        F.count_if((F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc_id") < F.col("c")))).alias("above"),
-        F.count_if(F.col("doc_id") < F.col("c")).alias("before"), F.count("*").alias("hits"),
+    by_score = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("k"), "doc_id"))), lambda x: F.struct((-x["k"]).alias("s"), x["doc_id"].alias("doc_id")))
+    lists = own.where("corpus is not null").groupBy("query_id").agg(by_score.alias("best"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    hit = sparse.join(small(lists), "query_id")
+    ahead = F.size(F.filter("best", lambda x: (x["s"] > F.col("score")) | ((x["s"] == F.col("score")) & (x["doc_id"] <= F.col("doc_id")))))
+    cells = hit.select("query_id", ahead.alias("a"), F.size(F.filter("ids", lambda x: x <= F.col("doc_id"))).alias("b")).groupBy("query_id", "a", "b").agg(F.count("*").alias("n"))
+    tables = cells.groupBy("query_id").agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"), F.sum("n").alias("hits"))  # at most a cell for each pair of places
+    added = lambda keep: F.aggregate(F.filter("cells", keep), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    at = lambda kind: F.col(f"p.{kind}")
+    spot = F.transform("best", lambda x, i: F.struct(x["doc_id"].alias("doc_id"), i.alias("a"), (F.array_position("ids", x["doc_id"]) - 1).alias("b")))
+    counted = lists.join(tables, "query_id").select("query_id", "cells", "hits", F.explode(spot).alias("p")).select(
+        "query_id", at("doc_id").alias("doc_id"), "hits", added(lambda x: x["a"] <= F.col("p.a")).alias("above"), added(lambda x: x["b"] <= F.col("p.b")).alias("before")
     )
-    both = own.join(ahead, ["query_id", "doc_id"], "left").na.fill(0, ["above", "before", "hits"]).join(F.broadcast(spots), ["corpus", "doc_id"], "left")
+    both = own.join(counted, ["query_id", "doc_id"], "left").na.fill(0, ["above", "before", "hits"]).join(F.broadcast(spots), ["corpus", "doc_id"], "left")
     zeros = F.when(F.col("s") < 0, F.col("docs") - F.col("hits")).when(F.col("s") == 0, F.col("place") - F.col("before")).otherwise(F.lit(0))
     both = both.withColumn("sparse_rank", F.when(F.col("corpus").isNotNull(), F.col("above") + zeros))
     score = 1 / (config.rrf_k + F.col("dense_rank")) + F.coalesce(config.sparse_weight / (config.rrf_k + F.col("sparse_rank")), F.lit(0.0))
     return both.select("query_id", "doc_id", "dense_rank", "sparse_rank", F.round(score, 9).alias("rrf"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def hybrid(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, index: SparseIndex | None = None) -> DataFrame:
     """The final_k documents of each query: dense candidates re-ranked by fusion with the sparse ranks of their language.
 
-    A query of a language without documents, or without a token, keeps its dense order. Queries are taken in blocks.
+    A query of a language without documents, or without a token, keeps its dense order. Queries are taken in blocks. With an index
+    of docs, sparse scores come from its postings and statistics.
     """
-    parts = [_hybrid(docs, part, config) for part in blocks(queries)]
+    parts = [_hybrid(docs, part, config, index) for part in blocks(queries)]
     return _union(parts) if parts else docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rrf double, rank int")
 
 
-def _hybrid(docs: DataFrame, queries: DataFrame, config: Config) -> DataFrame:
+def _hybrid(docs: DataFrame, queries: DataFrame, config: Config, index: SparseIndex | None) -> DataFrame:
     found = dense_top(docs, queries, config.candidates, config).select("query_id", "doc_id", "rank").collect()  # `candidates` rows a query
     near = docs.sparkSession.createDataFrame(found, "query_id long, doc_id long, rank int")
     corpus = F.when(F.size(tx.bm25_tokens(F.coalesce("text", F.lit("")))) > 0, F.col("grp"))
     near = near.join(_own_corpus(docs, queries).select("query_id", corpus.alias("corpus")), "query_id")
     spots = places(docs, near.where("corpus is not null").select("corpus", "doc_id"))
-    fused = fuse(near, bm25(docs, queries, config), spots, config)
+    sparse = index.scores(queries) if index else bm25(docs, queries, config)
+    fused = fuse(near, written(sparse, "sparse-scores"), spots, config)
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "dense_rank")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.final_k).select("query_id", "doc_id", "rrf", "rank")
 

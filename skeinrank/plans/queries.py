@@ -9,7 +9,9 @@ from ..config import DEFAULT, REFUSALS, ROMANISED
 from ..functions import text as tx
 from ..functions.ids import DNS_NAMESPACE, chunk_id, uuid5
 from ..operators import answers, chunking, evaluation, retrieval, routing
+from ..operators.sparse_index import SparseIndex
 from ..sources.store import table
+from ..sources.work import kept_path
 from ..streaming import latency, voice
 from .registry import QUERIES, query  # noqa: F401
 
@@ -17,6 +19,15 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", "lang")
 
 
+def _index(spark: SparkSession, sf: str) -> SparseIndex:
+    """The sparse index of the documents, kept as long as their files stay what they are."""
+    path, new = kept_path(_docs(spark, sf), "sparse-index")
+    index = SparseIndex(spark, path)
+    if new:
+        index.upsert(_docs(spark, sf))
+    return index
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark's texts as questions, in the documents' languages and in one that has no documents."""
     lang = F.element_at(F.array(*map(F.lit, ASKED_LANGUAGES)), (F.col("item_id") % len(ASKED_LANGUAGES) + 1).cast("int"))
@@ -114,7 +125,7 @@ bm AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.2
 
 @query(f"WITH {_BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM bm) SELECT query_id, doc_id, score, rank::INT AS rank FROM k WHERE rank < 20")
 def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.top(retrieval.bm25(_docs(spark, sf), _asked(spark, sf)), DEFAULT.candidates)
+    return _index(spark, sf).search(_asked(spark, sf), DEFAULT.candidates)[0]
 
 
 _BUCKET = "((('0x' || substr(md5(w), 1, 2))::BIGINT % 384) * 256 + (('0x' || substr(md5(w), 3, 15))::BIGINT % 384) * 256 + ('0x' || substr(md5(w), 18, 15))::BIGINT % 384) % 384"
@@ -146,7 +157,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr)
 
 @query(f"WITH {_HYBRID} SELECT query_id, doc_id, rrf, rank::INT AS rank FROM k WHERE rank <= 2")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.hybrid(_docs(spark, sf), _asked(spark, sf))
+    return retrieval.hybrid(_docs(spark, sf), _asked(spark, sf), index=_index(spark, sf))
 
 
 _KNN = """p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score, q.label FROM embeddings v JOIN embeddings q ON v.label = q.label AND q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
@@ -286,7 +297,7 @@ def vad_segments(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT item_id, 'USER QUERY:' || chr(10) || text || chr(10) || chr(10) || 'CONTEXT PASSAGES:' || chr(10) || '[NO CONTEXT AVAILABLE]' || chr(10) || chr(10) ||
   'Remember: Respond with ONLY valid JSON matching the required schema. No other text.' FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM (WITH """ + _HYBRID + """ SELECT query_id FROM k))""")
 def context_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    hits = retrieval.hybrid(_docs(spark, sf), _asked(spark, sf)).join(_docs(spark, sf), "doc_id").withColumnRenamed("rrf", "score")
+    hits = retrieval.hybrid(_docs(spark, sf), _asked(spark, sf), index=_index(spark, sf)).join(_docs(spark, sf), "doc_id").withColumnRenamed("rrf", "score")
     return answers.prompts(_asked(spark, sf), hits)
 
 
