@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_BITS = 32_768
 
 _scratch: list[list[str]] = []
+#: Tables that the last stage of a chain has left, for its successor to delete.
+_left: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -42,7 +45,44 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage is cut and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders, if they are there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in paths:
+        path = hadoop(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `staged` returned and that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, [df._staged])
+
+
+def chained(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose result is written before the next stage is called on what was written: what it has staged is deleted then.
+
+    Nothing that docs still reads is deleted.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        gone = [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)]
+        delete(spark, gone)
+        _left.clear()
+        _scratch.append(_left)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _scratch[:] = [x for x in _scratch if x is not _left]
+
+    return run
 
 
 @contextmanager
@@ -52,10 +92,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for name in _scratch.pop():
-            path = hadoop(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _scratch.pop())
 
 
 def same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:

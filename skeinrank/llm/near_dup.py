@@ -8,9 +8,9 @@ bitmap of parities, so that the ones in the XOR of two sketches tell the number
 precisely for high similarities. Candidates whose estimate is far too low are dropped, and the rest are confirmed on
 the full sets.
 
-Buckets may be of any size, so their pairs are not written out. First each bucket's least member is compared with the
-others, and components of the confirmed links are found. Only members of buckets that still hold several components can
-have further links. They get an exact index in place of the bands: in an order of shingles by rising (sketched)
+Buckets may be of any size, so their pairs are not written out. First the least member of each bucket of a few bands is compared with
+the others, and components of the confirmed links are found; then, in all bands, with one member of each other component in its
+bucket, and components are found again. Only members of buckets that still hold several components can have further links. They get an exact index in place of the bands: in an order of shingles by rising (sketched)
 frequency, two sets that are similar enough must share one of their first n - ceil(t n) + 1, and enough must follow it. What sets a document apart
 from its group stands first there, so that documents far from all others of a large group of near copies meet hardly
 any. In each round a bucket of this index compares a few hubs, members of its smallest components so far, with its
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import among, attach, fan, heavy, meet, staged, without
+from .common import among, attach, drop, fan, heavy, meet, staged, without
 
 NO_ID = 2**63 - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -51,6 +51,7 @@ class NearDup:
     rows: int = 4
     miss: float = 1e-8
     sketch_bits: int = 512
+    first_bands: int = 4
     small: int = 24
     hubs: int = 8
 
@@ -181,21 +182,36 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, p: NearDup, nam
     rows = staged(classes.join(nodes, "node", "left_semi").select("node", "least.doc_id", "least.text_hash"), f"{name}-rows")
     key = ["doc_id", "text_hash"]
     found = staged(among(docs, rows.select(*key), key).join(rows, key).select("node", "text").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), name)
+    drop(rows)
     # Equal rows give a set each.
     return found if found.groupBy("node").count().where("count > 1").isEmpty() else staged(found.dropDuplicates(["node"]), name)
 
 
+def _beside(pairs: DataFrame, dim: DataFrame, at: str, other: str) -> DataFrame:
+    """pairs with the columns of dim (node, ...) for the node at `at`: nodes of very many pairs are dealt by the `other` one."""
+    total = pairs.count()
+    sizes = staged(pairs.groupBy(at).agg(F.count("*").alias("__pairs")), "pair-sizes")
+    own = dim.withColumnRenamed("node", at)
+    most = heavy(total, 1024)
+    hot = sizes.where(F.col("__pairs") > most)
+    if hot.isEmpty():
+        return pairs.join(own, at)
+    tagged = pairs.join(F.broadcast(hot), at, "left").withColumn("__pairs", F.coalesce("__pairs", F.lit(0)))  # at most total / most nodes
+    return fan(tagged, own.join(F.broadcast(hot), at, "left").withColumn("__pairs", F.coalesce("__pairs", F.lit(0))), at, "__pairs", most, other)
+
+
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, p: NearDup) -> DataFrame:
     """Those of pairs (a, b) that the sketches don't rule out and whose full sets are similar enough."""
     sk = classes.select("node", "sketch")
-    near = pairs.join(sk.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(sk.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
+    near = _beside(_beside(pairs, sk.withColumnRenamed("sketch", "sa"), "a", "b"), sk.withColumnRenamed("sketch", "sb"), "b", "a")
     near = staged(near.where(_estimate(p, F.col("sa"), F.col("sb")) >= p.least_estimate).select("a", "b"), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "node")
     sets = _sets(docs, classes, ids, p, "sets")
-    both = near.join(sets.withColumnsRenamed({"node": "a", "set": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "t"}), "b")
-    inter = F.size(F.array_intersect("s", "t"))
-    both = both.withColumn("inter", inter)
-    return staged(both.where(F.col("inter") * 100 >= (F.size("s") + F.size("t") - F.col("inter")) * p.percent).select("a", "b").distinct(), "links")
+    both = _beside(_beside(near, sets.withColumnRenamed("set", "s"), "a", "b"), sets.withColumnRenamed("set", "t"), "b", "a")
+    both = both.withColumn("inter", F.size(F.array_intersect("s", "t")))
+    linked = staged(both.where(F.col("inter") * 100 >= (F.size("s") + F.size("t") - F.col("inter")) * p.percent).select("a", "b").distinct(), "links")
+    drop(near, sets)
+    return linked
 
 
 def _counter(slots: int):
@@ -233,7 +249,7 @@ def prefixes(sets: DataFrame, percent: int, slots: int = 2**20) -> DataFrame:
     counts = sets.mapInArrow(_counter(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(slots, np.int64)
     frequency[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    found = staged(sets.mapInArrow(_prefixer(frequency, percent), "key long, node long, size long, pos long"), "prefixes")
+    found = staged(sets.mapInArrow(_prefixer(frequency, percent), "key long, node long, size long, pos long"), "all-prefixes")
     # A row counts only if what stands from it on could be enough with the smallest set of its bucket.
     low = staged(found.groupBy("key").agg(F.min("size").alias("low"), F.count("*").alias("n")).where("n > 1"), "prefix-keys")
     other = F.greatest(F.col("low"), F.col("size") * percent / 100)
@@ -249,16 +265,25 @@ def _undone(member: DataFrame, labels: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """(node, label) of the classes that are linked with another; docs: doc_id, text_hash, text; classes: node, least, bands, sketch."""
-    member = staged(classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node"), "bands")
-    buckets = staged(member.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "hubs")
-    member = staged(meet(member, buckets, ["key"], member.count()), "buckets")
-    tested = staged(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    every = staged(classes.select(F.posexplode("bands").alias("band", "key"), "node"), "bands")
+    buckets = staged(every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "hubs")
+    member = staged(meet(every, buckets, ["key"], every.count()), "buckets")
+    drop(every, buckets)
+    # A few bands link most of a group of near copies.
+    tested = staged(member.where((F.col("band") < p.first_bands) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = _confirm(docs, classes, tested, p)
     labels = staged(components(found), "labels")
-    # A bucket of two is done by its one pair; the hub of a larger one has met all of it.
-    rest = _undone(member.where("n > 2 and node <> hub").select("key", "node"), labels).select("node").distinct()
+    # In all bands one member of each component stands for the others; the hub is the least of its own.
+    several = _undone(member.select("key", "node", "hub"), labels)
+    pairs = several.groupBy("key", "hub", "label").agg(F.min("node").alias("node")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found, tested = found.union(_confirm(docs, classes, pairs, p)), tested.union(pairs)
+    labels = staged(components(found), "labels")
+    # A bucket of two is done by its one pair.
+    rest = _undone(member.where("n > 2").select("key", "node"), labels).select("node").distinct()
     sets = _sets(docs, classes, staged(rest, "open"), p, "open-sets")
     open_ = staged(prefixes(sets, p.percent), "prefixes")
+    drop(sets)
     many = p.hubs
 
     def fits(a: Column, b: Column, at: Column, bt: Column) -> Column:
@@ -308,6 +333,9 @@ def _verdict(docs: DataFrame, p: NearDup) -> DataFrame:
     classes = full.groupBy(*key).agg(F.min(mine).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("n"))
     # A class is a node by the place of its least row, which no other row has.
     classes = staged(classes.withColumn("node", F.col("least.row")), "classes")
+    fat, signed = signed, staged(signed.select("doc_id", "text_hash", "row", *key), "rows")
+    drop(fat)
+    full = signed.where("n_shingles > 0")
     labels = links(core, classes, p)
     firsts = classes.join(labels, "node").groupBy(F.col("label").alias("of")).agg(F.min("least").alias("first"))
     named = classes.join(labels, "node", "left").select(*key, "n", "least", "node", F.coalesce("label", "node").alias("label"))
