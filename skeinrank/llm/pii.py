@@ -10,17 +10,18 @@ in the same text (but behind an article, where it may be a common word). The tex
 
 The distinct values of the corpus are checked: where two values would share a surrogate, or a surrogate equals a value that
 occurs, all but the first draw again, until all are distinct. Values that draw again get longer surrogates by and by, so
-that there is always a free one. Family names are settled before full names, so that a person keeps one family name. Only
+that there is always a free one (IP addresses stay addresses and are drawn from all of them). Family names are settled before full names, so that a person keeps one family name. Only
 the values that had to draw again are carried to the documents: by a broadcast if they are at most `limit`, else each row
 that holds some is joined with its own.
 
 Detected are e-mail and IP addresses (4 and 6), hardware addresses, phone, card, account and social security numbers,
-secrets behind a word for one, keys of known forms, long hexadecimal digests, and names behind a title (Latin, Cyrillic,
-Chinese) or with a given name of the lists. Other names without a title are not.
+secrets behind a word for one, keys of known forms, long hexadecimal digests, local phone numbers, birthdays and passport numbers behind
+a word for them, and names behind a title (Latin, Cyrillic, Chinese) or with a given name of the lists, with hyphens, apostrophes
+and particles. Other names without a title, and names all in small letters, are not; offices behind a title are no names.
 
 Edge cases: the body of a secret without letters and digits is replaced by letters; a null text stays null and an empty one
 empty; texts without entities are unchanged; version numbers and short numbers are no entities; repeated rows give equal
-rows; very long texts are read whole; an empty table gives no rows; other columns, whatever their names, are kept by
+rows; very long texts are read whole, in time in proportion to them, also without a blank; an empty table gives no rows; other columns, whatever their names, are kept by
 `replace` and left out by `surrogates`.
 """
 
@@ -45,42 +46,61 @@ CHINESE_TITLES = ("先生", "女士", "小姐", "太太")
 MALE_NAMES = (
     "Adam", "Andrew", "Anthony", "Brian", "Bruno", "Carl", "Carlos", "Charles", "Daniel", "David", "Edward", "Emil", "Felix", "Frank", "George", "Hans", "Henry", "Hugo", "Ivan", "James", "Jean", "John",
     "Jonas", "Jorge", "Joseph", "Juan", "Karl", "Kevin", "Leon", "Luis", "Martin", "Michael", "Oscar", "Paul", "Peter", "Pierre", "Robert", "Simon", "Stefan", "Thomas", "Victor", "William",
+    "Ahmed", "Ali", "Arjun", "Chen", "Dmitri", "Hassan", "Hiroshi", "Ibrahim", "Kenji", "Li", "Ming", "Mohammed", "Omar", "Raj", "Rajesh", "Sergei", "Vladimir", "Wei", "Yusuf",
 )
 FEMALE_NAMES = (
     "Ada", "Alice", "Anna", "Barbara", "Bella", "Carmen", "Clara", "Diana", "Elena", "Elizabeth", "Emma", "Eva", "Flora", "Greta", "Hannah", "Helena", "Irene", "Isabel", "Jane", "Jennifer", "Julia", "Karen",
     "Laura", "Linda", "Lucia", "Margaret", "Maria", "Marie", "Mary", "Nancy", "Nora", "Olga", "Patricia", "Paula", "Sarah", "Sofia", "Susan", "Vera",
+    "Aisha", "Ananya", "Fatima", "Leila", "Mei", "Natasha", "Priya", "Sakura", "Yuki", "Zainab",
 )
 NEUTRAL_NAMES = ("Alex", "Andrea", "Charlie", "Dana", "Kim", "Robin", "Sam", "Sascha")
 GIVEN = {"m": MALE_NAMES, "f": FEMALE_NAMES, "n": NEUTRAL_NAMES}
 SYLLABLES = ("ba", "bel", "cor", "dan", "del", "fer", "gar", "hol", "kar", "lan", "lor", "mar", "mon", "nor", "par", "ros", "sal", "tor", "val", "win")
+#: Particles of family names, and words behind a title that are no names.
+PARTICLES = ("van", "von", "de", "del", "della", "di", "da", "dos", "das", "du", "la", "le", "den", "der", "ten", "ter", "zu", "zur", "bin", "ibn", "al", "el", "st")
+OFFICES = (
+    "President", "Chairman", "Chairwoman", "Chair", "Speaker", "Minister", "Secretary", "Ambassador", "Justice", "Judge", "Mayor", "Governor", "Senator", "Director", "Commissioner", "Doctor", "Professor",
+    "Präsident", "Präsidentin", "Minister", "Ministerin", "Direktor", "Bürgermeister", "Président", "Présidente", "Ministre", "Directeur", "Presidente", "Presidenta", "Ministro", "Ministra",
+    "The", "A", "An", "And", "Or", "Of", "In", "On", "At", "To", "Is", "Who", "He", "She", "It", "This", "That", "Right", "Wrong",
+)
 ARTICLES = ("a", "an", "the", "A", "An", "The", "der", "die", "das", "le", "la", "el", "un", "une", "una")
 
 _GENDER = {t: "m" for t in MALE_TITLES} | {t: "f" for t in FEMALE_TITLES}
 _OF_NAME = {name: g for g, names in GIVEN.items() for name in names}
 _TITLES = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
 _GIVEN = "|".join(sorted(_OF_NAME, key=len, reverse=True))
-_NAME = r"[^\W\d_a-zа-яё][^\W\d_]+"
+#: A capitalised name, also with a hyphen or an apostrophe in it, and a family name with the particles before it.
+_CAPITAL = r"[^\W\d_a-zа-яё]"
+_NAME = rf"(?:{_CAPITAL}['’])?{_CAPITAL}[^\W\d_]+(?:[\-'’]{_CAPITAL}[^\W\d_]+)*"
+_FAMILY = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME}"
+#: What a title stands before without a name.
+_NO_NAME = rf"(?!(?:{'|'.join(OFFICES)})\b)"
+_DATE = r"\d{1,2}[./\-]\d{1,2}[./\-](?:\d{4}|\d{2})|\d{4}[./\-]\d{1,2}[./\-]\d{1,2}"
 _HEX4 = "[0-9A-Fa-f]{1,4}"
 PATTERN = re.compile(
-    r"(?P<email>[\w.%+\-]+@(?:[\w\-]+\.)+[^\W\d_]{2,})"
+    r"(?P<email>(?<![\w.%+\-])[\w.%+\-]++@(?:[\w\-]++\.)+[^\W\d_]{2,})"
     r"|(?P<secret>\b(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s?[=:]\s?[\"']?[^\s\"']{6,})"
+    rf"|(?P<dated>\b(?i:born(?: on)?|date of birth|dob|d\.o\.b\.|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[ :]{{1,3}}(?P<date>{_DATE})(?![\d]))"
+    r"|(?P<papers>\b(?i:passport|passeport|reisepass|pasaporte)(?: (?i:no|nr|number|nummer|numéro|número))?[.:]{0,2} ?(?P<passport>(?=[A-Z]{0,3}\d)[A-Z0-9]{6,9})\b)"
+    r"|(?P<called>\b(?i:phone|telephone|tel|call|mobile|cell|fax|text)(?: (?i:me at|us at|at|no|number))?[.:]{0,2} (?P<local>\d{3}[\-. ]\d{4})(?![\d\-]))"
     r"|(?P<key>\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|sk-[A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,})\b)"
     r"|(?P<mac>\b[0-9A-Fa-f]{2}(?:[:\-][0-9A-Fa-f]{2}){5}\b(?![:\-]))"
     rf"|(?P<ipv6>(?<![\w:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:{_HEX4}(?::{_HEX4}){{0,5}})?::(?:{_HEX4}(?::{_HEX4}){{0,5}})?)(?![\w:]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}[\-. ]\d{3}[\-. ]\d{4}(?![\d\-])|(?<![\d\-.])0\d{2,4} \d{3,4} \d{4}(?![\d\-]))"
+    r"|(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}[\-. ]\d{3}[\-. ]\d{4}(?![\d\-])|(?<![\d\-.])0\d{2,4} \d{3,4} \d{4}(?![\d\-])|(?<![\d\-.])0[1-9](?:[ .]\d{2}){4}(?![\d\-]))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d))"
     r"|(?P<hex>\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b)"
-    rf"|(?P<name>\b(?P<title>{_TITLES})\.? (?P<first>{_NAME})(?: (?P<last>{_NAME}))?)"
-    rf"|(?P<person>\b(?P<given>{_GIVEN}) (?P<family>{_NAME}))"
+    rf"|(?P<name>\b(?P<title>{_TITLES})\.? {_NO_NAME}(?P<first>{_FAMILY})(?: (?P<last>{_FAMILY}))?)"
+    rf"|(?P<person>\b(?P<given>(?:{_GIVEN})(?:-(?:{_GIVEN}))?) (?P<family>{_FAMILY}))"
     rf"|(?P<chinese>(?<![\u4e00-\u9fff])[\u4e00-\u9fff]{{1,3}}(?={'|'.join(CHINESE_TITLES)}))"
 )
 #: An entity holds one of these, or begins with a title, a given name or a key's mark: elsewhere the pattern isn't tried.
 _ANCHOR = re.compile(r"[@0-9=:]+")
-_TITLE = re.compile(rf"\b(?:{_TITLES})\.? |\b(?:{_GIVEN}) |AKIA|ASIA|sk-|gh[pousr]_|xox|{'|'.join(CHINESE_TITLES)}")
+_TITLE = re.compile(rf"\b(?:{_TITLES})\.? |\b(?:{_GIVEN})[ \-]|AKIA|ASIA|sk-|gh[pousr]_|xox|{'|'.join(CHINESE_TITLES)}")
 _REACH = 24
+_BLANK = re.compile(r"[ \n]")
 _WORD_BEFORE = re.compile(r"(?:^|\W)(\w+) $")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -176,8 +196,13 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0, family: int =
     if kind in ("hex", "mac", "ipv6"):
         return _shape(value + "0" * more, draw, hexes=True)
     if kind == "ip":
-        made = ".".join(str(draw.below(254) + 1) for _ in range(4))
-        return f"{made}:{_shape('0' * more, draw)}" if more else made
+        return ".".join(str(draw.below(254) + 1) for _ in range(4))
+    if kind == "birthday" and attempt < 16:
+        # Day and month fit either order; years keep their length.
+        year = lambda x: str(1930 + draw.below(80)) if len(x) == 4 else f"{draw.below(100):02d}"
+        parts = re.split(r"([./\-])", value)
+        four = [i for i in (0, 4) if len(parts[i]) == 4] or [4]
+        return "".join(year(x) if i in four else x if i % 2 else str(1 + draw.below(12)).zfill(len(x)) for i, x in enumerate(parts))
     if kind == "card":
         made = [c for c in _shape(value + "0" * more, draw)]
         places = [i for i, c in enumerate(made) if c.isdigit()]
@@ -207,17 +232,25 @@ def _named(m: re.Match) -> tuple[str, str, int, int]:
     start = m.start("first" if m["title"] else "given")
     if last is None:
         return "family", first, start, m.end()
-    gender = _GENDER.get(m["title"] or "") or _OF_NAME.get(first, "n")
+    gender = _GENDER.get(m["title"] or "") or _OF_NAME.get(first.partition("-")[0], "n")
     return "name", f"{gender}|{first}|{last}", start, m.end()
 
 
+#: Entities told by a word before them: the group that holds them, and their kind.
+_INNER = {"dated": ("date", "birthday"), "papers": ("passport", "passport"), "called": ("local", "phone")}
+
+
 def entities(text: str | None) -> list[tuple[str, str, int, int]]:
     """(kind, value, start, end) of every entity of a text, in order."""
     out = []
     for a, b in _windows(text) if text else ():
         for m in PATTERN.finditer(text, a, b):
             kind = m.lastgroup
-            out.append(_named(m) if kind in ("name", "person", "chinese") else (kind, m[0], m.start(), m.end()))
+            if kind in _INNER:
+                inner, shown = _INNER[kind]
+                out.append((shown, m[inner], m.start(inner), m.end(inner)))
+            else:
+                out.append(_named(m) if kind in ("name", "person", "chinese") else (kind, m[0], m.start(), m.end()))
     return out
 
 
@@ -231,9 +264,11 @@ def _windows(text: str) -> list[tuple[int, int]]:
                 continue
             a = out.pop()[0]
         else:
-            a = max(text.rfind(" ", 0, max(0, a)), text.rfind("\n", 0, max(0, a))) + 1
-        ends = [x for x in (text.find(" ", b), text.find("\n", b)) if x >= 0]
-        out.append((a, min(ends, default=len(text))))
+            # No further back than the last window, nor on than the next blank: every character is looked at a few times.
+            low = out[-1][1] if out else 0
+            a = max(text.rfind(" ", low, max(0, a)), text.rfind("\n", low, max(0, a)), low - 1) + 1
+        end = _BLANK.search(text, b)
+        out.append((a, end.start() if end else len(text)))
     return out
 
 
@@ -244,6 +279,8 @@ def rewrite(text: str | None, key: bytes, again: dict[tuple[str, str], int]) ->
         return text, []
     last = lambda kind, value: value.split("|")[-1] if kind in ("name", "family") else ""
     families = {last(k, v): surrogate("family", last(k, v), key, again.get(("family", last(k, v)), 0)) for k, v, *_ in found if last(k, v)}
+    # Written in capitals it is the same name.
+    families = {n.upper(): made.upper() for n, made in families.items() if len(n) > 2} | families
     # A family name that also stands alone refers to the same person.
     alone = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(families, key=len, reverse=True)))})(?!\w)") if families else None
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,16 @@ LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The secret key of surrogates: the session's setting skeinrank.pii.key; without it, one for tests."""
-    return spark.conf.get("skeinrank.pii.key", "for tests only").encode()
+    """The secret key of surrogates: the session's setting skeinrank.pii.key.
+
+    Without it a random one is drawn and set, so that one session's surrogates agree and nobody else can tell them from guessed values; those of
+    two sessions then differ.
+    """
+    key = spark.conf.get("skeinrank.pii.key", "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("skeinrank.pii.key", key)
+    return key.encode()[:64]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
