@@ -14,8 +14,9 @@ the blocks, also inside the article, and in one variant all names are drawn at r
 and the order of the blocks must tell. Pages with names in no list are labelled by these. Where no page of the sample marks
 its parts, the longer blocks without links stand for main text in made-up pages.
 
-Edge cases: a null or empty page has empty text; broken and unclosed tags are read as browsers do, roughly; a page
-without any text is empty; very long pages are labelled whole; repeated rows give equal rows; an empty table gives no
+Edge cases: a null or empty page has empty text; broken and unclosed tags are read as browsers do, roughly, and an open tag ends at the next
+< at the latest; text without any tag is main text; a page without any text is empty; very long pages are labelled whole, in time and
+memory in proportion to their blocks, their inputs read in slices; repeated rows give equal rows; an empty table gives no
 rows; other columns, whatever their names, are ignored.
 """
 
@@ -23,6 +24,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -45,13 +48,15 @@ NEVER_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 
+#: Attributes: quoted values may hold > but no <, at which an open tag ends; nothing is read twice.
+_ATTRS = r"(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>]|[\"'])*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(RAW)})\b{_ATTRS}(?:>.*?(?:</\1\s*>|\Z)|(?=<)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRS})(?:>|(?=<)|\Z)|<[!?/][^<>]*+>?|[^<]+|<",
     re.S | re.I,
 )
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+_ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 128, 32, 6, 16
@@ -63,25 +68,116 @@ DIMS = PATH_DIMS + WORD_DIMS + NUMBERS
 Node = tuple[str, tuple[str, ...]]
 
 
+class Path:
+    """The open tags above a block, as a link to the path above: what a path tells is added up as it grows."""
+
+    __slots__ = ("above", "depth", "inside", "marks", "names", "never", "node")
+
+    def __init__(self, above: Path | None = None, node: Node | None = None):
+        self.above, self.node = above, node
+        if above is None or node is None:
+            self.depth, self.names, self.never, self.marks, self.inside = 0, 0, False, False, False
+            return
+        tag, words = node
+        self.depth, self.names = above.depth + 1, above.names
+        for name in (tag, *(f".{w}" for w in words)):
+            self.names |= 1 << _slot(name, PATH_DIMS)
+        self.inside = above.inside or tag in ("article", "main")
+        # A header counts unless it is an article's own.
+        self.never = above.never or tag in NEVER_TAGS or (tag == "header" and not self.inside) or (tag not in ("html", "body", "article", "main") and not NEVER_WORDS.isdisjoint(words))
+        self.marks = above.marks or tag in ("article", "main") or (tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(words))
+
+    @property
+    def marked(self) -> bool:
+        """The labels' rule."""
+        return self.marks and not self.never
+
+    def nodes(self) -> list[Node]:
+        out, at = [], self
+        while at.above is not None:
+            out.append(at.node)
+            at = at.above
+        return out[::-1]
+
+
+TOP = Path()
+
+
+def path_of(nodes: tuple[Node, ...]) -> Path:
+    out = TOP
+    for node in nodes:
+        out = Path(out, node)
+    return out
+
+
 @dataclass(frozen=True)
 class Block:
-    path: tuple[Node, ...]
+    path: Path
     text: str
     linked: float
 
 
-def _node(tag: str, attrs: str) -> Node:
+def _read(tag: str, attrs: str) -> tuple[Node, bool]:
+    """A tag with the words of its class, id and role, and whether it is hidden."""
     words: list[str] = []
-    if "=" in attrs:
-        for m in _NAMES.finditer(attrs):
-            words += _WORD.findall((m[1] or m[2] or m[3] or "").lower())
-    return tag, tuple(words)
+    hidden = False
+    if attrs:
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id", "role"):
+                words += _WORD.findall(value.lower())
+            elif name == "hidden":
+                hidden = True
+            elif name == "aria-hidden":
+                hidden = hidden or value.lower() == "true"
+            elif name == "style":
+                hidden = hidden or bool(_NONE.search(value))
+    return (tag, tuple(words)), hidden
+
+
+class _Stack:
+    """The open tags, with the number of each that is open, in all and since the last container."""
+
+    def __init__(self):
+        self.open: list[Path] = [TOP]
+        self.all: Counter = Counter()
+        self.since: list[Counter] = [Counter()]
+
+    @property
+    def top(self) -> Path:
+        return self.open[-1]
+
+    def push(self, node: Node) -> None:
+        self.open.append(Path(self.top, node))
+        self.all[node[0]] += 1
+        if node[0] in CONTAINERS:
+            self.since.append(Counter())
+        else:
+            self.since[-1][node[0]] += 1
+
+    def pop(self) -> str:
+        tag = self.open.pop().node[0]
+        self.all[tag] -= 1
+        if tag in CONTAINERS:
+            self.since.pop()
+        else:
+            self.since[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Closes the last of a tag and all in it; a stray end tag doesn't close what holds it."""
+        if self.all[tag] if tag in CONTAINERS else self.since[-1][tag]:
+            while self.pop() != tag:
+                pass
+
+    def __len__(self) -> int:
+        return len(self.open) - 1
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order, with character references decoded and white space joined."""
     out: list[Block] = []
-    stack: list[Node] = []
+    stack = _Stack()
     parts: list[str] = []
     links = [0, 0]  # open links, characters of the block inside them
     hidden: list[int] = []
@@ -90,7 +186,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, min(1.0, links[1] / len(text))))
+                out.append(Block(stack.top, text, min(1.0, links[1] / len(text))))
             parts.clear()
         links[1] = 0
 
@@ -117,21 +213,14 @@ def blocks(page: str | None) -> list[Block]:
         end()
         links[0] = 0
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in CONTAINERS and stack[i][0] in CONTAINERS:
-                    break  # a stray end tag doesn't close what holds it
+            stack.close(tag)
         elif tag not in VOID and not m[4].rstrip().endswith("/"):
-            shut = SELF_CLOSING.get(tag)
-            if shut:
-                while stack and stack[-1][0] in shut:
-                    stack.pop()
-            elif stack and stack[-1][0] == "p":
+            shut = SELF_CLOSING.get(tag, ("p",))
+            while len(stack) and stack.top.node[0] in shut:
                 stack.pop()
-            stack.append(_node(tag, m[4]))
-            if _HIDDEN.search(m[4]):
+            node, unseen = _read(tag, m[4])
+            stack.push(node)
+            if unseen:
                 hidden.append(len(stack))
         while hidden and hidden[-1] > len(stack):
             hidden.pop()
@@ -139,50 +228,22 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def never(path: tuple[Node, ...]) -> bool:
-    """Whether a path goes through a part that is never main text; a header counts unless it is an article's own."""
-    inside = False
-    for tag, words in path:
-        inside = inside or tag in ("article", "main")
-        if tag in NEVER_TAGS or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and not NEVER_WORDS.isdisjoint(words)):
-            return True
-    return False
-
-
-def marked(path: tuple[Node, ...]) -> bool:
-    """The labels' rule."""
-    return any(tag in ("article", "main") or (tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(words)) for tag, words in path) and not never(path)
-
-
 def _slot(name: str, dims: int) -> int:
     return crc32(name.encode()) % dims
 
 
-_PATHS: dict[tuple[Node, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[Node, ...]) -> np.ndarray:
-    found = _PATHS.get(path)
-    if found is None:
-        found = np.zeros(PATH_DIMS)
-        for tag, words in path:
-            for name in (tag, *(f".{w}" for w in words)):
-                found[_slot(name, PATH_DIMS)] = 1.0
-        if len(_PATHS) > 20_000:
-            _PATHS.clear()
-        _PATHS[path] = found
-    return found
-
-
-def vectors(page: list[Block]) -> np.ndarray:
-    """(blocks, DIMS): what the labeller reads of a page."""
-    out = np.zeros((len(page), DIMS))
-    for i, b in enumerate(page):
-        words = b.text.split(" ")
-        out[i, :PATH_DIMS] = _path_vector(b.path)
+def vectors(page: list[Block], a: int = 0, b: int | None = None) -> np.ndarray:
+    """(blocks, DIMS): what the labeller reads of a page, or of its blocks from a to b."""
+    some = page[a:b]
+    out = np.zeros((len(some), DIMS))
+    if some:
+        bits = b"".join(x.path.names.to_bytes(PATH_DIMS // 8, "little") for x in some)
+        out[:, :PATH_DIMS] = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+    for i, x in enumerate(some):
+        words = x.text.split(" ")
         slots = np.bincount([len(w) * 7 % WORD_DIMS if len(w) > 3 else crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD_DIMS for w in words], minlength=WORD_DIMS)
         out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = slots / len(words)
-        out[i, PATH_DIMS + WORD_DIMS :] = (np.log1p(len(words)) / 5, b.linked, i / len(page), 1.0 if b.text[-1] in ".!?" else 0.0, len(b.path) / 10, sum(c.isdigit() for c in b.text[:200]) / 20)
+        out[i, PATH_DIMS + WORD_DIMS :] = (np.log1p(len(words)) / 5, x.linked, (a + i) / len(page), 1.0 if x.text[-1] in ".!?" else 0.0, min(x.path.depth, 40) / 10, sum(c.isdigit() for c in x.text[:200]) / 20)
     return out
 
 
@@ -199,7 +260,7 @@ class Labeller:
         self.p["o"], self.p["ob"] = rng.standard_normal(2 * HIDDEN) * 0.1, np.zeros(1)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction; x: (pages, steps, DIMS), mask: (pages, steps)."""
+        """Hidden states of one direction, with what its gradients need; x: (pages, steps, DIMS), mask: (pages, steps)."""
         n, steps, _ = x.shape
         h, c, past = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), []
         out = np.zeros((n, steps, HIDDEN))
@@ -217,9 +278,24 @@ class Labeller:
             out[:, t] = h
         return out, past
 
-    def score(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d)[0] for d in "fb"], axis=2)
-        return both @ self.p["o"] + self.p["ob"]
+    def score(self, read: Callable[[int, int], np.ndarray], mask: np.ndarray, width: int = 2048) -> np.ndarray:
+        """(pages, steps): the output for each block; read(a, b) gives the inputs of steps a to b, which are read in slices."""
+        n, steps = mask.shape
+        total = np.full((n, steps), self.p["ob"][0])
+        slices = [(a, min(a + width, steps)) for a in range(0, steps, width)]
+        for k, d in enumerate("fb"):
+            h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+            out = self.p["o"][k * HIDDEN : (k + 1) * HIDDEN]
+            for a, b in slices if d == "f" else reversed(slices):
+                z_in = read(a, b) @ self.p[f"w{d}"] + self.p[f"c{d}"]
+                for t in range(a, b) if d == "f" else range(b - 1, a - 1, -1):
+                    z = z_in[:, t - a] + h @ self.p[f"u{d}"]
+                    g = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
+                    m = mask[:, t, None]
+                    c2 = g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+                    h, c = m * (g[:, 2 * HIDDEN :] * np.tanh(c2)) + (1 - m) * h, m * c2 + (1 - m) * c
+                    total[:, t] += h @ out
+        return total
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         runs = {d: self._run(x, mask, d) for d in "fb"}
@@ -284,10 +360,26 @@ OTHER_FORMS = (
     (("div", ("ad",)),), (("div", ("ads",)), ("p", ())), (("div", ("advert",)),), (("div", ("banner",)),), (("div", ("menu",)), ("ul", ()), ("li", ())), (("div", ("sidebar",)), ("p", ())),
     (("div", ("cookie", "notice")),), (("div", ("notice",)), ("p", ())), (("div", ("footer",)), ("p", ())), (("div", ("header",)),), (("div", ("newsletter",)), ("p", ())), (("div", ("related",)), ("ul", ()), ("li", ())),
     (("section", ("comments",)), ("div", ("comment",)), ("p", ())), (("div", ("comments",)), ("p", ())), (("ol", ("comments",)), ("li", ("comment",)), ("p", ())), (("div", ("comment",)), ("p", ())), (("div", ("share",)),),
+    (("header", ()), ("h1", ())), (("header", ()), ("h1", ())), (("header", ()), ("p", ())), (("header", ()), ("div", ("logo",))), (("footer", ()), ("p", ())), (("nav", ()), ("p", ())), (("aside", ()), ("p", ())), (("aside", ()), ("table", ()), ("tr", ()), ("td", ())),
     (("header", ()), ("div", ())), (("div", ("cookie",)),), (("div", ("promo",)), ("p", ())), (("ul", ("nav",)), ("li", ())), (("section", ("comments",)), ("article", ("comment",)), ("p", ())),
 )
+#: Kinds of blocks of main text; the first three are headings of an article.
+LEAVES = (
+    (("h1", ()),), (("header", ()), ("h1", ())), (("header", ()), ("p", ())), (("h2", ()),), (("h3", ()),), (("blockquote", ()),), (("blockquote", ()), ("p", ())), (("ul", ()), ("li", ())), (("ol", ()), ("li", ())),
+    (("pre", ()),), (("table", ()), ("tr", ()), ("td", ())), (("table", ()), ("tr", ()), ("th", ())), (("table", ()), ("tbody", ()), ("tr", ()), ("td", ())), (("table", ()), ("caption", ())), (("figure", ()), ("figcaption", ())),
+    (("dl", ()), ("dt", ())), (("dl", ()), ("dd", ())), (("div", ()),), (("section", ()), ("p", ())), (("address", ()),), (("details", ()), ("summary", ())), (("details", ()), ("p", ())), (),
+)
 ROOT: tuple[Node, ...] = (("html", ()), ("body", ()))
-_TAGS = ("div", "section", "span", "td")
+_TAGS = ("div", "section")
+#: Tags that tell a kind of block, not a part of the page.
+PLAIN = frozenset("html body p li ul ol pre table tbody tr td th caption figure figcaption dl dt dd blockquote h1 h2 h3".split())
+
+
+def _leaf(first: bool, rng: np.random.Generator) -> tuple[Node, ...]:
+    """Where a block of main text stands in its part: a heading, a paragraph, or any other kind of block."""
+    if first and rng.random() < 0.7:
+        return LEAVES[rng.integers(3)]
+    return LEAVES[3 + rng.integers(len(LEAVES) - 3)] if rng.random() < 0.45 else (("p", ()),)
 
 
 def _anonymous(page: list[Block], rng: np.random.Generator) -> list[Block]:
@@ -295,13 +387,13 @@ def _anonymous(page: list[Block], rng: np.random.Generator) -> list[Block]:
     names: dict[Node, Node] = {}
 
     def other(node: Node) -> Node:
-        if node[0] in ("html", "body", "p", "li", "ul"):
+        if node[0] in PLAIN:
             return node[0], ()
         if node not in names:
             names[node] = (_TAGS[rng.integers(2)], ("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6)),))
         return names[node]
 
-    return [Block(tuple(other(n) for n in b.path), b.text, b.linked) for b in page]
+    return [Block(path_of(tuple(other(n) for n in b.path.nodes())), b.text, b.linked) for b in page]
 
 
 def _renamed(form: tuple[Node, ...], words: list[str], rng: np.random.Generator) -> tuple[Node, ...]:
@@ -320,9 +412,9 @@ def varied(pages: list[list[Block]], seed: int = 9, skip: frozenset[str] = froze
     never_words, main_words = sorted(NEVER_WORDS - skip), sorted(MAIN_WORDS - skip)
     kept = lambda forms: [f for f in forms if not any(tag in skip or not skip.isdisjoint(words) for tag, words in f)]
     main_forms, other_forms = kept(MAIN_FORMS), kept(OTHER_FORMS)
-    some_marked = any(marked(b.path) for p in pages for b in p)
+    some_marked = any(b.path.marked for p in pages for b in p)
     for page in pages:
-        y = np.array([marked(b.path) if some_marked else len(b.text) > 60 and b.linked < 0.5 for b in page], float)
+        y = np.array([b.path.marked if some_marked else len(b.text) > 60 and b.linked < 0.5 for b in page], float)
         if some_marked:
             out.append((vectors(page), y))
         if y.any():
@@ -338,17 +430,21 @@ def varied(pages: list[list[Block]], seed: int = 9, skip: frozenset[str] = froze
                     for _ in range(1 + int(rng.integers(4))):
                         t = texts[rng.integers(len(texts))]
                         t = t if rng.random() < 0.5 else " ".join(t.split(" ")[: 1 + int(rng.integers(5))])
-                        mixed.append((Block(kind, t, float(rng.random() < 0.4)), 0.0))
+                        mixed.append((Block(path_of(kind), t, float(rng.random() < 0.4)), 0.0))
 
             others(int(rng.integers(1, 4)), ROOT)
             for k, b in enumerate(main):
                 if k and rng.random() < 0.08:
                     others(1, ROOT + form)
-                leaf = (("h1", ()),) if k == 0 and rng.random() < 0.7 else (("p", ()),) if rng.random() < 0.8 else (("blockquote", ()), ("p", ())) if rng.random() < 0.3 else (("ul", ()), ("li", ())) if rng.random() < 0.5 else (("h2", ()),)
-                mixed.append((Block(ROOT + form + leaf, b.text, 0.0), 1.0))
+                text = b.text if rng.random() < 0.7 else " ".join(b.text.split(" ")[: 1 + int(rng.integers(8))])
+                mixed.append((Block(path_of(ROOT + form + _leaf(k == 0, rng)), text, 0.0), 1.0))
             others(int(rng.integers(0, 3)), ROOT + form if rng.random() < 0.3 else ROOT)
             others(int(rng.integers(1, 3)), ROOT)
             out.append((vectors([b for b, _ in mixed]), np.array([v for _, v in mixed])))
+        if main and rng.random() < 0.4:
+            # Text without any part is the page's text.
+            bare = [Block(path_of(((), ROOT)[int(rng.integers(2))] + ((), (("p", ()),), (("div", ()),))[int(rng.integers(3))]), b.text if rng.random() < 0.5 else " ".join(b.text.split(" ")[: 2 + int(rng.integers(8))]), 0.0) for b in main[: 1 + int(rng.integers(6))]]
+            out.append((vectors(bare), np.ones(len(bare))))
     return [(x, y) for x, y in out if 0 < len(x) <= LONGEST]
 
 
@@ -370,6 +466,21 @@ def main_text(page: list[Block], flags: np.ndarray) -> str:
     return "\n".join(b.text for b, f in zip(page, flags, strict=True) if f)
 
 
+def _scores(model: Labeller, pages: list[list[Block]]) -> np.ndarray:
+    steps = max(map(len, pages))
+    mask = np.array([np.arange(steps) < len(p) for p in pages], float)
+
+    def read(a: int, b: int) -> np.ndarray:
+        x = np.zeros((len(pages), b - a, DIMS))
+        for r, page in enumerate(pages):
+            if len(page) > a:
+                own = vectors(page, a, b)
+                x[r, : len(own)] = own
+        return x
+
+    return model.score(read, mask)
+
+
 def _extractor(weights: dict[str, np.ndarray] | None, group: int = 64):
     def run(batches):
         model = Labeller()
@@ -384,7 +495,7 @@ def _extractor(weights: dict[str, np.ndarray] | None, group: int = 64):
             while at < len(order):
                 some = order[at : at + max(1, min(group, 20_000 // len(pages[order[min(at + group, len(order)) - 1]])))]
                 at += len(some)
-                scores = model.score(*padded([vectors(pages[i]) for i in some]))
+                scores = _scores(model, [pages[i] for i in some])
                 for r, i in enumerate(some):
                     texts[i] = main_text(pages[i], scores[r, : len(pages[i])] > 0)
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -259,11 +259,11 @@ def test_html_labels_pages_whose_names_are_in_no_list(spark):
         got = []
         for h, want in some:
             blocks = html_extract.blocks(h)
-            got.append(html_extract.main_text(blocks, model.score(*html_extract.padded([html_extract.vectors(blocks)]))[0] > 0) == want)
+            got.append(html_extract.main_text(blocks, html_extract._scores(model, [blocks])[0] > 0) == want)
         return np.mean(got)
 
     # The rule that labels the sample finds nothing on such pages.
-    assert not any(html_extract.marked(b.path) for h, _ in other for b in html_extract.blocks(h))
+    assert not any(b.path.marked for h, _ in other for b in html_extract.blocks(h))
     assert exact(usual[200:]) >= 0.95 and exact(other) >= 0.8
     assert html_extract.extract(pages.limit(0)).count() == 0
 
@@ -275,7 +275,7 @@ def test_html_gradients():
     model = html_extract.Labeller()
 
     def loss():
-        s = model.score(x, mask)
+        s = model.score(lambda a, b: x[:, a:b], mask, width=2)
         return ((np.log1p(np.exp(-np.abs(s))) + np.maximum(s, 0) - s * y) * mask).sum() / mask.sum()
 
     g = model.gradients(x, mask, y)
