@@ -13,11 +13,13 @@ matrix product for all; once few are, only these are read on. What is left is sc
 original vectors. Blocks and bundles of queries meet by list, block and chunk of bundles, so that a large list is many
 tasks, and none of them sees more than one block with `chunk` bundles.
 
-Equal vectors are stored once, with their k + 1 smallest ids: no more of them can be among a query's k nearest.
+Equal vectors are stored once, as a node with their k + 1 smallest ids: no more of them can be among a query's k nearest. Nodes have
+numbers of their own, in order of their least id.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose
-length isn't the most frequent one (ties: the longest); rows that repeat an id and vector count once; ties go to the
-smaller id; fewer candidates than k are all returned if their lists are probed (probing goes on until 4 (k + 1) vectors
+length isn't the most frequent one (ties: the longest); rows that repeat an id and vector count once; rows that share an id and not
+the vector are rows of their own, each a candidate with its own score, also for each other, and each a query with its own ranks; ties go to
+the smaller id; fewer candidates than k are all returned if their lists are probed (probing goes on until 4 (k + 1) vectors
 are reached); an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
@@ -44,7 +46,7 @@ class Adaptive:
     block_rows: int = 8_192
     query_rows: int = 256
     chunk: int = 64
-    probe_share: float = 0.75
+    probe_share: float = 0.8
     columns: int = 16
     epsilon: float = 2.1
     seed: int = 7
@@ -84,7 +86,7 @@ def valid(vectors: DataFrame) -> DataFrame:
 def fit(points: DataFrame, rows: int, p: Adaptive) -> Space:
     """points: (node, v) of distinct vectors, `rows` of them; only the sample reaches the driver."""
     longest = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
-    sample = np.array([r.v for r in points.orderBy(F.xxhash64("node"), "node").limit(p.sample).collect()])
+    sample = np.array([r.v for r in points.orderBy(F.xxhash64("v"), "node").limit(p.sample).collect()])
     rng = np.random.default_rng(p.seed)
     rotation = np.linalg.qr(rng.standard_normal((sample.shape[1] + 1,) * 2))[0]
     lists = max(1, min(len(sample) // 8, max(round(rows**0.5 / 8), rows // p.list_rows), 4096))
@@ -206,7 +208,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: Adaptive = Adap
     clean = valid(vectors).distinct()
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     few = clean.withColumn("i", place).where(F.col("i") <= k + 1)
-    nodes = staged(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("node", F.get("ids", F.lit(0))), "ann-nodes")
+    # Numbers that rise with the least id, so that ties between nodes go to it.
+    held = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).orderBy(F.get("ids", F.lit(0)), "v")
+    nodes = staged(held.withColumn("node", F.monotonically_increasing_id()), "ann-nodes")
     rows = nodes.count()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -231,10 +235,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: Adaptive = Adap
     second = _scanned(rest, blocks, shards, space, k + 1, bundles, p, "ann-second")
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
     top = first.union(second).withColumn("i", best).where(F.col("i") <= k + 1).select("q", "node", "score")
-    rows_of = top.join(nodes.select("node", "ids"), "node").select("q", "score", F.explode("ids").alias("vec_id"))
-    again = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    rows_of = top.join(nodes.select("node", "ids"), "node").select("q", "node", "score", F.explode("ids").alias("vec_id"))
+    again = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "node"))
     short = rows_of.withColumn("i", again).where(F.col("i") <= k + 1)
-    near = staged(short.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("i", "vec_id", "score"))).alias("near")), "ann-near")
-    own = asked.join(near, asked["node"] == near["q"]).select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
+    near = staged(short.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("i", "vec_id", "score", "node"))).alias("near")), "ann-near")
+    # The row itself, and no other of its id, is left out.
+    itself = lambda x: (x["vec_id"] == F.col("query_id")) & (x["node"] == F.col("q"))
+    own = asked.join(near, asked["node"] == near["q"]).select("query_id", F.filter("near", lambda x: ~itself(x)).alias("near"))
     out = own.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

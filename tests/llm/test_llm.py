@@ -172,6 +172,21 @@ def test_neighbours_of_equal_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (2, [0.0, 1.0]), (3, [-1.0, 0.2]), (4, [3.0, 1.0]), (4, [3.0, 1.0])]
+    docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "vec_id long, embedding array<double>, node string, score int")
+    got = ann.search(docs, F.col("vec_id").isin(1, 2), 3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    found = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got.collect())
+    assert found == sorted([(1, 1, 4, 3.0), (1, 2, 2, 1.0), (1, 3, 2, 0.0), (2, 1, 4, 3.5), (2, 2, 1, 1.0), (2, 3, 2, 0.5), (2, 1, 4, 1.0), (2, 2, 2, 0.5), (2, 3, 3, 0.2)])
+
+
+def test_neighbours_of_ties_go_to_smaller_ids(spark):
+    rows = [(i, [1.0, float(i % 3) - 1]) for i in range(60)] + [(100, [1.0, 0.0]), (5, [1.0, 0.25])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100, 20).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == sorted([i for i in range(60)] + [5])[:20] and {r.score for r in got} == {1.0}
+
+
 def test_neighbours_reach_the_recall(spark):
     for n, dims in ((600, 24), (6000, 32)):
         rng = np.random.default_rng(n)
