@@ -48,5 +48,5 @@ def append_log(log: DataFrame, path: str) -> None:
 
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Stored evaluation reports, newest first."""
-    return spark.read.json(path, multiLine=True).withColumn("modified", F.col("_metadata.file_modification_time")).orderBy(F.desc("modified"))
+    """Stored evaluation reports, newest first; files that are no JSON are left out."""
+    return spark.read.json(path, multiLine=True, mode="DROPMALFORMED").withColumn("modified", F.col("_metadata.file_modification_time")).orderBy(F.desc("modified"))
