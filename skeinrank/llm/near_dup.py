@@ -39,6 +39,8 @@ from pyspark.sql.window import Window
 from .common import among, attach, drop, fan, heavy, meet, staged, without
 
 NO_ID = 2**63 - 1
+#: Pairs of a node from which on they are dealt by their other node, and edges of a graph up to which one task takes a round without shuffling.
+HOT_PAIRS, SMALL_GRAPH = 65_536, 100_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -151,11 +153,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the connected component of each node of edges (a, b).
 
     Large and small stars in turn until the edges stop changing; every round is a pair of aggregations and joins, and
-    only a count and a checksum reach the driver.
+    only a count and a checksum reach the driver. A graph of at most SMALL_GRAPH edges (counted) stays in one partition, so that its rounds need
+    no exchange.
     """
     now, before = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc"), None
+    edges_left = now.count()
     while True:
-        sym = now.select(F.col("b").alias("u"), F.col("a").alias("v")).union(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if edges_left <= SMALL_GRAPH:
+            now = now.coalesce(1)
+        both = F.array(F.struct(F.col("b").alias("u"), F.col("a").alias("v")), F.struct(F.col("a").alias("u"), F.col("b").alias("v")))
+        sym = now.select(F.explode(both).alias("e")).select("e.u", "e.v")
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # Small star: every node's smaller neighbours are tied to the smallest of them.
@@ -166,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if state == before or state[0] == 0:
             break
-        before = state
+        before, edges_left = state, state[0]
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
@@ -182,17 +189,19 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, p: NearDup, nam
     rows = staged(classes.join(nodes, "node", "left_semi").select("node", "least.doc_id", "least.text_hash"), f"{name}-rows")
     key = ["doc_id", "text_hash"]
     found = staged(among(docs, rows.select(*key), key).join(rows, key).select("node", "text").mapInArrow(_shingler(p.shingle), "node long, set array<long>"), name)
-    drop(rows)
     # Equal rows give a set each.
-    return found if found.groupBy("node").count().where("count > 1").isEmpty() else staged(found.dropDuplicates(["node"]), name)
+    once = found if found.count() == rows.count() else staged(found.dropDuplicates(["node"]), name)
+    drop(rows)
+    return once
 
 
 def _beside(pairs: DataFrame, dim: DataFrame, at: str, other: str) -> DataFrame:
     """pairs with the columns of dim (node, ...) for the node at `at`: nodes of very many pairs are dealt by the `other` one."""
-    total = pairs.count()
+    total, own = pairs.count(), dim.withColumnRenamed("node", at)
+    most = heavy(total, HOT_PAIRS)
+    if total <= most:  # no node can have more
+        return pairs.join(own, at)
     sizes = staged(pairs.groupBy(at).agg(F.count("*").alias("__pairs")), "pair-sizes")
-    own = dim.withColumnRenamed("node", at)
-    most = heavy(total, 1024)
     hot = sizes.where(F.col("__pairs") > most)
     if hot.isEmpty():
         return pairs.join(own, at)
