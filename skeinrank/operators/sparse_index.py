@@ -100,7 +100,7 @@ class SparseIndex:
         # Changes of documents, tokens and frequencies; nothing is counted anew.
         rows = _entries(new, 1) if old is None else _entries(new, 1).unionByName(_entries(old, -1))
         delta = rows.groupBy("corpus", "term").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where("n <> 0 or size <> 0")
-        self._write(delta.withColumn("part", _part()), "statistics", gen, "part")
+        self._write(delta.withColumn("part", _part()).repartition("part"), "statistics", gen, "part")
         moved = self._files("statistics", STATISTICS).where((F.col("gen") == gen) & F.col("term").isNotNull())
         before = self._statistics().where("term is not null").select("corpus", "term", F.col("n").alias("was"))
         was = F.coalesce("was", F.lit(0).cast("long"))
