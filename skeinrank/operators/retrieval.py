@@ -13,15 +13,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULT, Config
 from ..functions import text as tx
+from ..functions.vectors import hash_cells
 from ..sources.work import written
+from .embedders import Embedder, vectors
 from .sparse_index import SparseIndex
-from ..functions.vectors import hash_cells, hash_matrix, hash_vector, unit_rows
 
 #: Queries of one block of dense search, and rows that may be broadcast.
 BLOCK, FEW = 4096, 200_000
@@ -143,13 +144,13 @@ def _own_corpus(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.withColumn("grp", F.when(_key(queries).isin(known), _key(queries)))
 
 
-def dense_top(docs: DataFrame, queries: DataFrame, k: int, config: Config = DEFAULT) -> DataFrame:
-    """(query_id, doc_id, score, rank): the nearest documents by hashed unit vectors, in the query's language or in all."""
+def dense_top(docs: DataFrame, queries: DataFrame, k: int, config: Config = DEFAULT, embed: Embedder | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the nearest documents by unit vectors (hashed ones without an embedder), in the query's language or in all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _key(docs).alias("grp"), "text")
     asked = _own_corpus(docs, queries)
-    asked = asked.select("query_id", "grp", hash_vector(config.dims, unit=True)(F.col("text")).alias("q"))
-    dims = config.dims
-    return nearest(rows, asked, k, lambda batch: unit_rows(hash_matrix(batch["text"].to_pylist(), dims))).withColumnRenamed("id", "doc_id")
+    made = embed or Embedder(config.dims)
+    asked = asked.select("query_id", "grp", vectors(made, F.col("text")).alias("q"))
+    return nearest(rows, asked, k, lambda batch: made.matrix(batch["text"].to_pylist())).withColumnRenamed("id", "doc_id")
 
 
 def top(scores: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
