@@ -15,7 +15,7 @@ _MARK = re.compile(r"(?<=[^\W_])[.,]")
 _TAIL = re.compile(r"(\w+)([^\w\s]+)")
 _OTHER_SPACE = re.compile(r"[^\S\n]")
 #: Words kept in each of the two generations of a worker's memory.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 160_000
 
 
 def _byte_letters() -> dict[int, str]:
