@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, REFUSALS, ROMANISED
 from ..functions import text as tx
 from ..functions.ids import DNS_NAMESPACE, chunk_id, uuid5
-from ..operators import answers, chunking, evaluation, retrieval, routing
+from ..operators import answers, chunking, evaluation, graph_index, retrieval, routing
 from ..operators.sparse_index import SparseIndex
 from ..sources.store import table
 from ..sources.work import kept_path
@@ -174,6 +174,17 @@ def knn_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf, 20).select("query_id", "vec_id", "score", "rank")
 
 
+@query(f"WITH {_KNN} SELECT query_id, vec_id, score, rank::INT AS rank FROM k WHERE rank < 20")
+def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """knn_by_label from the kept graph index: exact, as its SQL is, while a label has no more rows than the beam."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    path, new = kept_path(v, "vector-graph")
+    if new:
+        graph_index.build(v).write.parquet(path)
+    asked = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    return graph_index.search(spark.read.parquet(path), asked, 20, beam=256, skip_own=True).drop("distances")
+
+
 @query(f"WITH {_KNN} SELECT query_id, vec_id, score, score >= 0.94 AS hit FROM k WHERE rank = 0")
 def semantic_cache_probe(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf, 1).select("query_id", "vec_id", "score", (F.col("score") >= DEFAULT.cache_threshold).alias("hit"))
