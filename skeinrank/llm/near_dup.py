@@ -15,7 +15,8 @@ frequency, two sets that are similar enough must share one of their first n - ce
 from its group stands first there, so that documents far from all others of a large group of near copies meet hardly
 any. In each round a bucket of this index compares a few hubs, members of its smallest components so far, with its
 members of other components; a hub has then met the whole bucket and leaves it. Buckets of up to `small` members compare
-what is open at once. A bucket is done when its remaining members are in one component: what it has not compared could
+what is open at once. A pair is written out only if the parity bitmaps of the two full sets allow it: the ones in their XOR are never more
+than the elements that only one of the sets holds, so that no link is lost, and few pairs are written that aren't links. A bucket is done when its remaining members are in one component: what it has not compared could
 only link what is linked already. So no link between components is lost but by the bands themselves, whose number makes
 that less likely than `miss` for a pair at the threshold.
 
@@ -53,6 +54,7 @@ class NearDup:
     rows: int = 4
     miss: float = 1e-8
     sketch_bits: int = 512
+    parity_bits: int = 2048
     first_bands: int = 4
     small: int = 24
     hubs: int = 8
@@ -149,6 +151,22 @@ def _shingler(k: int):
     return split
 
 
+def _folder(bits: int):
+    """The parity bitmap of each set: place i tells whether an odd number of its shingles falls there."""
+
+    def fold(batches):
+        for batch in batches:
+            rows = []
+            for one in batch["set"]:
+                parity = np.bincount(_slots(one.values, bits).astype(np.int64), minlength=bits) & 1
+                rows.append(np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8"))
+            ends = np.arange(0, len(rows) * (bits // 64) + 1, bits // 64, dtype=np.int32)
+            flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "parity"])
+
+    return fold
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the connected component of each node of edges (a, b).
 
@@ -177,9 +195,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """The number of places in which two bitmaps differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def _estimate(p: NearDup, a: Column, b: Column) -> Column:
     """The similarity that two odd sketches tell."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    ones = _differing(a, b)
     free = F.greatest(1 - 2 * ones / F.lit(float(p.sketch_bits)), F.lit(1e-9))
     return 1 + F.log(free) * p.sketch_bits / (4.0 * p.samples)
 
@@ -195,13 +218,16 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, p: NearDup, nam
     return once
 
 
-def _beside(pairs: DataFrame, dim: DataFrame, at: str, other: str) -> DataFrame:
-    """pairs with the columns of dim (node, ...) for the node at `at`: nodes of very many pairs are dealt by the `other` one."""
-    total, own = pairs.count(), dim.withColumnRenamed("node", at)
+def _beside(pairs: DataFrame, dim: DataFrame, at: str, other: str, counted: DataFrame) -> DataFrame:
+    """pairs with the columns of dim (node, ...) for the node at `at`: nodes of very many pairs are dealt by the `other` one.
+
+    counted: the staged table with the same pairs, which is cheap to count.
+    """
+    total, own = counted.count(), dim.withColumnRenamed("node", at)
     most = heavy(total, HOT_PAIRS)
     if total <= most:  # no node can have more
         return pairs.join(own, at)
-    sizes = staged(pairs.groupBy(at).agg(F.count("*").alias("__pairs")), "pair-sizes")
+    sizes = staged(counted.groupBy(at).agg(F.count("*").alias("__pairs")), "pair-sizes")
     hot = sizes.where(F.col("__pairs") > most)
     if hot.isEmpty():
         return pairs.join(own, at)
@@ -210,13 +236,13 @@ def _beside(pairs: DataFrame, dim: DataFrame, at: str, other: str) -> DataFrame:
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, p: NearDup) -> DataFrame:
-    """Those of pairs (a, b) that the sketches don't rule out and whose full sets are similar enough."""
+    """Those of pairs (a, b), a staged table, that the sketches don't rule out and whose full sets are similar enough."""
     sk = classes.select("node", "sketch")
-    near = _beside(_beside(pairs, sk.withColumnRenamed("sketch", "sa"), "a", "b"), sk.withColumnRenamed("sketch", "sb"), "b", "a")
+    near = _beside(_beside(pairs, sk.withColumnRenamed("sketch", "sa"), "a", "b", pairs), sk.withColumnRenamed("sketch", "sb"), "b", "a", pairs)
     near = staged(near.where(_estimate(p, F.col("sa"), F.col("sb")) >= p.least_estimate).select("a", "b"), "near")
     ids = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "node")
     sets = _sets(docs, classes, ids, p, "sets")
-    both = _beside(_beside(near, sets.withColumnRenamed("set", "s"), "a", "b"), sets.withColumnRenamed("set", "t"), "b", "a")
+    both = _beside(_beside(near, sets.withColumnRenamed("set", "s"), "a", "b", near), sets.withColumnRenamed("set", "t"), "b", "a", near)
     both = both.withColumn("inter", F.size(F.array_intersect("s", "t")))
     linked = staged(both.where(F.col("inter") * 100 >= (F.size("s") + F.size("t") - F.col("inter")) * p.percent).select("a", "b").distinct(), "links")
     drop(near, sets)
@@ -292,6 +318,7 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     rest = _undone(member.where("n > 2").select("key", "node"), labels).select("node").distinct()
     sets = _sets(docs, classes, staged(rest, "open"), p, "open-sets")
     open_ = staged(prefixes(sets, p.percent), "prefixes")
+    parity = staged(sets.mapInArrow(_folder(p.parity_bits), "node long, parity array<long>"), "parity")
     drop(sets)
     many = p.hubs
 
@@ -299,22 +326,27 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         """Whether sets of sizes a and b whose first common shingle has the places at and bt can be similar enough."""
         return (F.least(a - at, b - bt) * (100 + p.percent) >= (a + b) * p.percent) & (F.least(a, b) * 100 >= F.greatest(a, b) * p.percent)
 
+    def may(a: Column, b: Column, ap: Column, bp: Column) -> Column:
+        """Whether sets of sizes a and b with the parity bitmaps ap and bp can be similar enough: at least so many elements differ."""
+        return (a + b - _differing(ap, bp)) * (100 + p.percent) >= 2 * (a + b) * p.percent
+
     while True:
         left = staged(_undone(open_, labels).select("key", "node", "size", "pos", "label", "n"), "open")
         if left.isEmpty():
             return labels
+        left = staged(left.join(parity, "node"), "open")
         x, y = (left.where(F.col("n") <= p.small).alias(c) for c in "xy")
-        each = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.size"), F.col("y.size"), F.col("x.pos"), F.col("y.pos"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        each = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.size"), F.col("y.size"), F.col("x.pos"), F.col("y.pos")) & may(F.col("x.size"), F.col("y.size"), F.col("x.parity"), F.col("y.parity"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         big = left.where(F.col("n") > p.small).withColumnRenamed("n", "of")
         counts = staged(big.groupBy("key", "label").agg(F.count("*").alias("n")), "counts")
         total = left.count()
         order = Window.partitionBy("key").orderBy("n", "node")
         least = meet(big, counts, ["key", "label"], total).withColumn("i", F.row_number().over(order)).where(F.col("i") <= many)
-        hubs = staged(least.select("key", "of", F.col("node").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hs"), F.col("pos").alias("hp")), "hubs")
+        hubs = staged(least.select("key", "of", F.col("node").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hs"), F.col("pos").alias("hp"), F.col("parity").alias("hb")), "hubs")
         # A bucket's hubs come to its members as one array, and a member's hubs of all its buckets are made distinct before they are paired.
-        several = staged(hubs.groupBy("key", "of").agg(F.collect_list(F.struct("h", "hl", "hs", "hp")).alias("hubs")), "hub-lists")
+        several = staged(hubs.groupBy("key", "of").agg(F.collect_list(F.struct("h", "hl", "hs", "hp", "hb")).alias("hubs")), "hub-lists")
         met = fan(big, several, "key", "of", heavy(total), "node")
-        open_hubs = F.filter("hubs", lambda x: (x["hl"] != F.col("label")) & fits(F.col("size"), x["hs"], F.col("pos"), x["hp"]))
+        open_hubs = F.filter("hubs", lambda x: (x["hl"] != F.col("label")) & fits(F.col("size"), x["hs"], F.col("pos"), x["hp"]) & may(F.col("size"), x["hs"], F.col("parity"), x["hb"]))
         met = met.select("node", F.transform(open_hubs, lambda x: x["h"]).alias("hubs")).where(F.size("hubs") > 0)
         met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
         star = met.select("node", F.explode("hubs").alias("h")).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))

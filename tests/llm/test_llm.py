@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,46 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {d: find(d) for d in sets}
 
 
+def test_near_copies_that_are_not_linked_are_not_paired(spark, monkeypatch):
+    """Copies of one text with three words changed differ by too much from each other and from most with one or two: no pair of these is joined."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for d in range(240):
+        words = list(base)
+        for at in rng.choice(140, 2 if d % 8 == 0 else 3, replace=False):
+            words[at + 5] = f"u{d}x{at}"
+        rows.append((d, " ".join(words)))
+    sets, root, links = {d: set(near_dup.shingles(t, 5).tolist()) for d, t in rows}, {d: d for d, _ in rows}, 0
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    paired, confirm = [], near_dup._confirm
+    monkeypatch.setattr(near_dup, "_confirm", lambda docs, classes, pairs, p: paired.append(pairs.count()) or confirm(docs, classes, pairs, p))
+    p = near_dup.NearDup(first_bands=1, small=4, hubs=2)
+    got = {r.doc_id: r.component_id for r in near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert got == {d: find(d) for d in sets}
+    assert sum(paired[2:]) <= links
+
+
+def test_parity_bitmaps_never_rule_out_a_link():
+    rng, p = np.random.default_rng(6), near_dup.NearDup()
+    for n in (1, 3, 40, 700, 9000):
+        one = rng.integers(-(2**62), 2**62, n)
+        other = np.concatenate([one[n // 8 :], rng.integers(-(2**62), 2**62, n // 9)])
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([one, other], pa.list_(pa.int64()))], names=["node", "set"])
+        a, b = next(near_dup._folder(p.parity_bits)([batch]))["parity"].to_pylist()
+        ones = sum((x ^ y & 2**64 - 1).bit_count() for x, y in zip(np.array(a).view("<u8").tolist(), np.array(b).view("<u8").tolist(), strict=True))
+        differ = len(set(one.tolist()) ^ set(other.tolist()))
+        assert ones <= differ and (ones - differ) % 2 == 0 and (n > 100 or ones >= 0.8 * differ)
+
+
 def test_near_duplicates_of_shared_and_missing_ids(spark):
     text = lambda name, change="": " ".join([f"{name}{i}" for i in range(60)] + [change])
     rows = [
