@@ -131,9 +131,9 @@ def _writer(tokenizer: str, end_id: int, shard_ids: int):
         enc, partition = encoder(tokenizer), TaskContext.get().partitionId()
         docs, parts, held, before = [], [], 0, 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), enc.encode_all(batch["text"]), strict=True):
                 docs.append(doc)
-                parts.append(enc.encode(text.as_py() or "") + end)
+                parts.append(ids + end)
                 held += len(parts[-1]) // 4
                 if held >= shard_ids:
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([write_shard(partition, before, docs, parts)], pa.binary())})

@@ -78,6 +78,19 @@ def test_random_texts_match_the_plain_tokenizer():
     assert not [t for t in texts if plain.encode(t, add_special_tokens=False).ids != np.frombuffer(enc.encode(t), "<u4").tolist()]
 
 
+def test_texts_of_a_batch_match_the_plain_tokenizer_and_few_need_a_closer_look(spark, monkeypatch):
+    enc, rng = Encoder(byte_bpe_path()), random.Random(7)
+    bits = ["ab", "Éa", "ñ", "x1", "٣", "你", "é́", "क", "कि", "_", "'s", "3.5", "...", ".", ",", "!", "$%", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2003", "\0", "<|endoftext|>", "½", "🙂", "ÿ×", "Ͱ"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(6000)] + [None, "", ".", "a.", "a.b,c\nd", "a .b", "a\n.b", "é.", "×."]
+    for kind in (pa.string(), pa.large_string()):
+        assert list(enc.encode_all(pa.array(texts, kind))) == [enc._whole(t) if t else b"" for t in texts]
+    table = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want, looked = [enc.encode(t or "") for t in table], []
+    monkeypatch.setattr(enc, "encode", lambda t, one=enc.encode: looked.append(t) or one(t))
+    assert list(enc.encode_all(pa.array(table))) == want
+    assert len([t for t in looked if t]) < 0.2 * len(table)
+
+
 def test_shards_are_written_byte_for_byte(spark, tmp_path):
     texts = ["", "a b", "ümläut 😀", "x " * 3000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 5)], "doc_id long, text string")
