@@ -64,8 +64,8 @@ def _cutter(tokenizer: str, end_id: int, length: int):
         full = FULL | place
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = enc.encode(text.as_py() or "") + end
+            for doc, ids in zip(batch["doc_id"].to_pylist(), enc.encode_all(batch["text"]), strict=True):
+                ids += end
                 for at in range(0, len(ids), 4 * length):
                     piece = ids[at : at + 4 * length]
                     whole = len(piece) == 4 * length
