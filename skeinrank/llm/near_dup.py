@@ -195,6 +195,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label), staged, with the components that links (a, b) join put together; only links between components are followed."""
+    at = lambda end: labels.select(F.col("node").alias(f"__{end}"), F.col("label").alias(f"l{end}"))
+    named = attach(attach(links, at("a"), {"a": "__a"}, ["b"]), at("b"), {"b": "__b"}, ["a"])
+    between = named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    top = staged(components(between).select(F.col("node").alias("of"), F.col("label").alias("to")), "merges")
+    every = labels.union(top.select(F.col("of").alias("node"), F.col("of").alias("label"))).distinct()
+    # A node that was in no component has become one; what was a component's label is a node of it.
+    return staged(attach(every, top, {"label": "of"}, ["node"]).select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def _differing(a: Column, b: Column) -> Column:
     """The number of places in which two bitmaps differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -306,14 +317,12 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     drop(every, buckets)
     # A few bands link most of a group of near copies.
     tested = staged(member.where((F.col("band") < p.first_bands) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    found = _confirm(docs, classes, tested, p)
-    labels = staged(components(found), "labels")
+    labels = staged(components(_confirm(docs, classes, tested, p)), "labels")
     # In all bands one member of each component stands for the others; the hub is the least of its own.
     several = _undone(member.select("key", "node", "hub"), labels)
     pairs = several.groupBy("key", "hub", "label").agg(F.min("node").alias("node")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    found, tested = found.union(_confirm(docs, classes, pairs, p)), tested.union(pairs)
-    labels = staged(components(found), "labels")
+    labels, tested = merged(labels, _confirm(docs, classes, pairs, p)), tested.union(pairs)
     # A bucket of two is done by its one pair.
     rest = _undone(member.where("n > 2").select("key", "node"), labels).select("node").distinct()
     sets = _sets(docs, classes, staged(rest, "open"), p, "open-sets")
@@ -351,8 +360,7 @@ def links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
         star = met.select("node", F.explode("hubs").alias("h")).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
         pairs = staged(each.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found, tested = found.union(_confirm(docs, classes, pairs, p)), tested.union(pairs)
-        labels = staged(components(found), "labels")
+        labels, tested = merged(labels, _confirm(docs, classes, pairs, p)), tested.union(pairs)
         open_ = big.join(hubs.select("key", F.col("h").alias("node")), ["key", "node"], "left_anti").select("key", "node", "size", "pos")
         many *= 4
 

@@ -191,6 +191,16 @@ def test_near_copies_that_are_not_linked_are_not_paired(spark, monkeypatch):
     assert sum(paired[2:]) <= links
 
 
+def test_only_links_between_components_are_followed(spark, monkeypatch):
+    followed, components = [], near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda edges: followed.append(edges.count()) or components(edges))
+    labels = common.staged(spark.createDataFrame([(i, i // 100 * 100) for i in range(300)], "node long, label long"), "labels")
+    links = [(100 + i, 299 - i) for i in range(100)] + [(i, i + 1) for i in range(99)] + [(7, 500), (501, 500), (600, 601)]
+    got = {r.node: r.label for r in near_dup.merged(labels, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(100)} | {i: 100 for i in range(100, 300)} | {500: 0, 501: 0, 600: 600, 601: 600}
+    assert followed == [4]
+
+
 def test_parity_bitmaps_never_rule_out_a_link():
     rng, p = np.random.default_rng(6), near_dup.NearDup()
     for n in (1, 3, 40, 700, 9000):
