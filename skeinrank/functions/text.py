@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ TOKEN_GAP = r"""[\s.,;:!?()\[\]{}"'\-/\\।॥]+"""
 CHILDREN = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("chunk_index", T.IntegerType())]))
 #: Fixed value: white space of any kind.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_TOKEN = re.compile(r"""[^ \t\n\x0b\f\r.,;:!?()\[\]{}"'\-/\\।॥]{2,}""")
+_WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_ODD = re.compile("[\x1c-\x1f]")
 SENTENCE_GAP = r"(?<=[।॥.!?؟])\s+|(?<=\n)\s*"
 
 
@@ -32,6 +37,16 @@ def bm25_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_GAP), lambda x: F.length(x) > 1)
 
 
+def find_tokens(lowered: str) -> list[str]:
+    """`bm25_tokens` of a lower-cased text, in Python."""
+    return _TOKEN.findall(lowered)
+
+
+def split_words(text: str) -> list[str]:
+    """`words` of a text, in Python, whose own split also takes four control characters for white space."""
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
+
+
 def _packed(c: Column, least: int) -> Column:
     """Words joined greedily: a piece ends with the first word that makes it `least` characters or longer."""
     return F.regexp_extract_all(F.array_join(words(c), " "), F.lit(rf"(?s) ?(.{{{least}}}[^ ]*|.+)"), F.lit(1))
