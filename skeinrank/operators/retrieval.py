@@ -1,9 +1,9 @@
 """Sparse and dense retrieval, rank fusion, and what follows it.
 
 A query is searched in the documents of its language, or in all where its language has none (there is no sparse corpus
-then). Sparse search joins documents with the queries' terms right where they are tokenized, so that postings of other
-terms are never shuffled. Dense search scores documents against blocks of queries, of bounded size, where they are read,
-and keeps the best of each Arrow batch. Ranks among all documents are counted for the few fused candidates only.
+then). `bm25` joins documents with the queries' terms right where they are tokenized, so that postings of other
+terms are never shuffled; `sparse_scan` scores documents against blocks of queries where they are read. So does dense search,
+which keeps the best of each task. Ranks among all documents are counted for the few fused candidates only.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..config import DEFAULT, Config
 from ..functions import text as tx
 from ..functions.vectors import hash_cells
 from ..sources.work import written
+from . import sparse_scan
 from .embedders import Embedder, vectors
 from .sparse_index import SparseIndex
 
@@ -96,26 +97,46 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _scorer(matrix: Callable[[pa.RecordBatch], np.ndarray], ids: np.ndarray, groups: list[str | None], wanted: np.ndarray, k: int, skip_own: bool):
+    """For mapInArrow on rows (id, grp and what matrix reads): the k best of a task for each query."""
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    wanted = np.ascontiguousarray(wanted.T)
+    odd = not np.isfinite(wanted).all()
+
+    def best(at: np.ndarray, own: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best (place of a query, id, score) of each query, in order of the queries."""
+        order = np.lexsort((own, -score, at))
+        at, own, score = at[order], own[order], score[order]
+        top = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[top], own[top], score[top]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, more, n = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+        bar = np.full(len(ids), -np.inf)  # the k-th best score so far
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 own, group = batch["id"].to_numpy(), np.array(batch["grp"].to_pylist(), object)
-                score = np.round(matrix(batch) @ wanted.T, 9)
+                score = np.round((x := matrix(batch)) @ wanted, 9)
+                if odd or not np.isfinite(x).all():
+                    score[np.isnan(score)] = -np.inf
                 for g in set(groups):
                     if g is not None:
                         score[np.ix_(group != g, [i for i, x in enumerate(groups) if x == g])] = -np.inf
                 if skip_own:
                     score[own[:, None] == ids[None, :]] = -np.inf
-                least = np.partition(score, -k, axis=0)[-k] if len(own) > k else np.full(len(ids), -np.inf)
-                r, c = np.nonzero((score >= least) & (score > -np.inf))
-                order = np.lexsort((own[r], -score[r, c], c))
-                r, c = r[order], c[order]
-                top = np.arange(len(c)) - np.searchsorted(c, c) < k
-                r, c = r[top], c[top]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[c]), pa.array(own[r]), pa.array(score[r, c])], schema=schema)
+                if not np.isfinite(bar).all() and len(own) > k:
+                    bar = np.maximum(bar, np.partition(score, -k, axis=0)[-k])
+                r, c = np.nonzero((score >= bar) & (score > -np.inf))
+                more.append((c, own[r], score[r, c]))
+                n += len(r)
+                if n >= k * len(ids):  # no more than these are held beside those that are kept
+                    kept, more, n = best(*map(np.concatenate, zip(kept, *more, strict=True))), [], 0
+                    full = np.bincount(kept[0], minlength=len(ids)) == k
+                    last = np.searchsorted(kept[0], np.nonzero(full)[0], "right") - 1
+                    bar[full] = np.maximum(bar[full], kept[2][last])
+        kept = best(*map(np.concatenate, zip(kept, *more, strict=True)))
+        if len(kept[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], schema=schema)
 
     return run
 
@@ -124,7 +145,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, matrix: Callable[[pa.Re
     """(query_id, id, score, rank): each query's k best rows by inner product (to nine places), ties to the smaller id.
 
     rows: id, grp and what matrix reads; queries: query_id, grp (null: all rows) and the vector q. Queries are taken in
-    blocks, each against all rows; a row meets a query where it is read, and only the best of a batch are shuffled.
+    blocks, each against all rows; a row meets a query where it is read, and only the best of a task are shuffled.
     """
     found = []
     for part in blocks(queries):
@@ -156,7 +177,8 @@ def dense_top(docs: DataFrame, queries: DataFrame, k: int, config: Config = DEFA
 def top(scores: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
     """The k best rows of each query with their rank from 0, ties by item."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), item)
-    return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    # The row number itself is filtered: so each task drops what can't be among the best before it is shuffled.
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -208,28 +230,38 @@ def fuse(dense: DataFrame, sparse: DataFrame, spots: DataFrame, config: Config =
     both = own.join(counted, ["query_id", "doc_id"], "left").na.fill(0, ["above", "before", "hits"]).join(F.broadcast(spots), ["corpus", "doc_id"], "left")
     zeros = F.when(F.col("s") < 0, F.col("docs") - F.col("hits")).when(F.col("s") == 0, F.col("place") - F.col("before")).otherwise(F.lit(0))
     both = both.withColumn("sparse_rank", F.when(F.col("corpus").isNotNull(), F.col("above") + zeros))
-    score = 1 / (config.rrf_k + F.col("dense_rank")) + F.coalesce(config.sparse_weight / (config.rrf_k + F.col("sparse_rank")), F.lit(0.0))
-    return both.select("query_id", "doc_id", "dense_rank", "sparse_rank", F.round(score, 9).alias("rrf"))
+    return both.select("query_id", "doc_id", "dense_rank", "sparse_rank", reciprocal(config).alias("rrf"))
+
+
+def reciprocal(config: Config = DEFAULT) -> Column:
+    """The fused score of dense_rank and sparse_rank, which may be null."""
+    return F.round(1 / (config.rrf_k + F.col("dense_rank")) + F.coalesce(config.sparse_weight / (config.rrf_k + F.col("sparse_rank")), F.lit(0.0)), 9)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, index: SparseIndex | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, index: SparseIndex | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """The final_k documents of each query: dense candidates re-ranked by fusion with the sparse ranks of their language.
 
     A query of a language without documents, or without a token, keeps its dense order. Queries are taken in blocks. With an index
-    of docs, sparse scores come from its postings and statistics.
+    of docs, sparse scores come from its postings and statistics; else documents are counted where they are read. vocab: `vocabulary` of
+    docs, if it is written already.
     """
-    parts = [_hybrid(docs, part, config, index) for part in blocks(queries)]
+    if index is None and vocab is None:
+        vocab = written(sparse_scan.vocabulary(docs), "vocabulary")
+    parts = [_hybrid(docs, part, config, index, vocab) for part in blocks(queries)]
     return _union(parts) if parts else docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rrf double, rank int")
 
 
-def _hybrid(docs: DataFrame, queries: DataFrame, config: Config, index: SparseIndex | None) -> DataFrame:
+def _hybrid(docs: DataFrame, queries: DataFrame, config: Config, index: SparseIndex | None, vocab: DataFrame | None) -> DataFrame:
     found = dense_top(docs, queries, config.candidates, config).select("query_id", "doc_id", "rank").collect()  # `candidates` rows a query
     near = docs.sparkSession.createDataFrame(found, "query_id long, doc_id long, rank int")
     corpus = F.when(F.size(tx.bm25_tokens(F.coalesce("text", F.lit("")))) > 0, F.col("grp"))
     near = near.join(_own_corpus(docs, queries).select("query_id", corpus.alias("corpus")), "query_id")
-    spots = places(docs, near.where("corpus is not null").select("corpus", "doc_id"))
-    sparse = index.scores(queries) if index else bm25(docs, queries, config)
-    fused = fuse(near, written(sparse, "sparse-scores"), spots, config)
+    if index:
+        spots = places(docs, near.where("corpus is not null").select("corpus", "doc_id"))
+        fused = fuse(near, written(index.scores(queries), "sparse-scores"), spots, config)
+    else:
+        counted = sparse_scan.ranks(docs, queries, near.where("corpus is not null").select("query_id", "corpus", "doc_id"), vocab, config)
+        fused = near.withColumnRenamed("rank", "dense_rank").join(counted, ["query_id", "doc_id"], "left").withColumn("rrf", reciprocal(config))
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "dense_rank")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.final_k).select("query_id", "doc_id", "rrf", "rank")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinrank.functions import text as tx
 from skeinrank.operators import chunking, retrieval
+from skeinrank.operators.sparse_index import SparseIndex
 from skeinrank.plans.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string"
@@ -16,23 +17,24 @@ def prose(rng, n, words):
     return "".join(rng.choice(words) + rng.choice((" ", " ", " ", ", ", ".\n", " ", "-")) for _ in range(n))
 
 
-def on_disk(spark):
-    """Bytes of each file of Spark's own on disk: what was shuffled or spilled, as long as it is held."""
-    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    return {files.apply(i).getPath(): files.apply(i).length() for i in range(files.size())}
+def grown(spark, run):
+    """What run returns, and the bytes that its stages have shuffled, spilled or written."""
+    sc, jvm = spark._jsc.sc(), spark._jvm
 
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in map(found.apply, range(found.size()))}
 
-def grown(spark, run):
-    """What run returns, and the bytes of the files that Spark has made meanwhile."""
-    before = on_disk(spark)
+    before = max(stages(), default=-1)
     out = run()
-    return out, sum(n for f, n in on_disk(spark).items() if f not in before)
+    return out, sum(n for i, n in stages().items() if i > before)
 
 
 def tables(spark, path):
     """Documents with copies, blanks, gaps of any kind and texts beyond a window, and questions of words of theirs; returns the bytes of the documents."""
     rng = random.Random(4)
-    words = ["".join(rng.choices(string.ascii_letters + "äÉßΣ", k=rng.randrange(1, 9))) for _ in range(6000)]
+    words = ["".join(rng.choices(string.ascii_letters + "äÉßΣ", k=rng.randrange(1, 9))) for _ in range(1500)]
     docs = [(i, prose(rng, rng.choice((5, 256, 257, 900, 3000)), words), LANGS[i % 4]) for i in range(400)]
     docs += [(1000 + i, docs[i][1], LANGS[i % 4]) for i in range(60)] + [(2000, None, "en"), (2001, " \t", "de"), (2002, "", None), (2003, "lone", "en")]
     asked = [(i, " ".join(rng.choices(docs[rng.randrange(400)][1].split(), k=6))) for i in range(40)]
@@ -41,10 +43,10 @@ def tables(spark, path):
     return sum(p.stat().st_size for p in (path / "documents.parquet").glob("*.parquet"))
 
 
-@pytest.fixture(scope="module")
-def made(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("tables")
-    return str(path), tables(spark, path)
+@pytest.fixture
+def made(spark, tmp_path):
+    """Tables of a test's own: nothing is kept of them yet."""
+    return str(tmp_path), tables(spark, tmp_path)
 
 
 def questions(spark, path):
@@ -72,4 +74,15 @@ def test_windows_are_found_without_shuffling_texts_or_postings(spark, made):
     want = rows(retrieval.best_per_document(scores.join(chunks.select("doc_id", "id"), "id"), 2).join(docs, "doc_id").select("query_id", "doc_id", "id", "score", "rank", F.md5("text")))
     got, wrote = grown(spark, lambda: rows(QUERIES["window_hits_to_parents"](spark, path).select("query_id", "doc_id", "id", "score", "rank", "digest")))
     assert got == want and len(got) > 50
-    assert wrote < size
+    assert wrote < 2 * size
+
+
+def test_hybrid_counts_documents_without_shuffling_hits(spark, made, tmp_path):
+    path, size = made
+    docs, asked = spark.read.parquet(f"{path}/documents.parquet"), questions(spark, path)
+    index = SparseIndex(spark, f"file://{tmp_path}/index")
+    index.upsert(docs)
+    want = rows(retrieval.hybrid(docs, asked, index=index))
+    got, wrote = grown(spark, lambda: rows(QUERIES["hybrid_rrf"](spark, path)))
+    assert got == want == rows(retrieval.hybrid(docs, asked)) and len(got) == 80
+    assert wrote < 2 * size
