@@ -101,3 +101,17 @@ def test_bm25_top_scans(spark, made):
     got, wrote = grown(spark, lambda: rows(QUERIES["bm25_top"](spark, path)))
     assert got == want and len(got) > 500
     assert wrote < 2 * size
+
+
+def test_recall_mrr_scans(spark, made):
+    path, size = made
+    labels = [(i, int(i % 3 == 0), 0) for i in range(0, 400, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{path}/labels.parquet")
+    got, wrote = grown(spark, lambda: QUERIES["recall_mrr"](spark, path).first())
+    want: dict[int, int] = {}
+    good = {i for i, q, _ in labels if q}
+    for q, doc, _, rank in rows(QUERIES["bm25_top"](spark, path)):
+        want[q] = min(want.get(q, 99), rank + 1 if doc in good else 99)
+    assert got.n == len(want) and got.recall_5 == round(sum(r <= 5 for r in want.values()) / len(want), 4)
+    assert got.mrr == pytest.approx(sum(1 / r for r in want.values() if r < 99) / len(want), abs=1e-4)
+    assert wrote < 2 * size
