@@ -9,7 +9,7 @@ from skeinrank.operators import retrieval
 from skeinrank.plans.queries import QUERIES
 
 #: Queries over the gold chunks nearest to each question.
-READ_HITS = ("gold_hit", "grounding_gate", "source_context")
+READ_HITS = ("gold_hit", "grounding_gate", "source_context", "retrieval_report")
 
 
 def conversations(spark, path):
